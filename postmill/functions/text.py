@@ -80,16 +80,20 @@ def normalise_text(col: Column) -> Column:
 
 def trading_name(col: Column) -> Column:
     """What follows 't/a' or 'trading as', else the whole name."""
-    traded = F.regexp_extract(col, java(r"\<(?:t/a|trading as)\>\s*(.+)\z"), 1)
-    return F.when(traded != "", traded).otherwise(col)
+    return F.regexp_replace(col, java(r"^.*?\<(?:t/a|trading as)\>\s*(.+)\z"), "$1")
 
 
 def core_phrase(name: Column) -> Column:
-    """The distinctive words of a company name, joined by spaces."""
+    """The distinctive words of a company name, joined by spaces.
+
+    A chain of single replacements: nothing is evaluated twice, so the generated
+    code stays small enough to compile. A name made of legal words alone is
+    marked first and then left as it is.
+    """
+    legal, trailing = "|".join(rules.LEGAL_WORDS), "|".join(rules.TRAILING_WORDS)
     plain = normalise_text(F.regexp_replace(trading_name(name), r"\(.*?\)", " "))
-    legal = F.trim(F.regexp_replace(plain, java(words(*rules.LEGAL_WORDS), False) + " ?", ""))
-    kept = F.when(legal == "", plain).otherwise(legal)
-    trailing = "|".join(rules.TRAILING_WORDS)
+    marked = F.regexp_replace(plain, rf"^((?:(?:{legal})(?: |\z))+)\z", "\u0001$1")
+    kept = F.trim(F.regexp_replace(marked, rf"^\u0001(.*)\z|\b(?:{legal})\b ?", "$1"))
     return F.regexp_replace(kept, rf"^(\S+ \S+(?: \S+)*?)(?: (?:{trailing}))+\z", "$1")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,9 +43,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so an iterative job survives the loss of executors."""
+    """Write the rows to the shared folder and read them back.
+
+    A written table survives the loss of executors, and unlike a checkpointed RDD
+    it keeps column pruning and size statistics for the joins that follow.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(checkpoint_folder(spark))
-    return df.checkpoint()
+    path = f"{checkpoint_folder(spark).rstrip('/')}/postmill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
