@@ -170,8 +170,7 @@ def facet_counts(df: DataFrame, preds: Predicates, facets: dict[str, Column]) ->
     none = F.array().cast("array<struct<facet:string,value:string>>")
     parts = []
     for name, values in facets.items():
-        listed = F.transform(values, lambda v, n=name: F.struct(F.lit(n).alias("facet"), v.alias("value")))
-        parts.append(F.when(others(name), F.coalesce(listed, none)).otherwise(none))
+        parts.append(F.when(others(name), F.coalesce(_labelled(name, values), none)).otherwise(none))
     total = F.array(F.struct(F.lit("total").alias("facet"), F.lit(None).cast("string").alias("value")))
     parts.append(F.when(others(""), total).otherwise(none))
     return (
@@ -181,6 +180,10 @@ def facet_counts(df: DataFrame, preds: Predicates, facets: dict[str, Column]) ->
     )
 
 
+def _labelled(facet: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(facet).alias("facet"), v.alias("value")))
+
+
 def _single(name: str) -> Column:
     return F.when(F.col(name).isNotNull(), F.array(F.col(name)))
 
