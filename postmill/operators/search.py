@@ -174,7 +174,8 @@ def facet_counts(df: DataFrame, preds: Predicates, facets: dict[str, Column]) ->
     total = F.array(F.struct(F.lit("total").alias("facet"), F.lit(None).cast("string").alias("value")))
     parts.append(F.when(others(""), total).otherwise(none))
     return (
-        flagged.select(F.inline(F.concat(*parts)))
+        flagged.select(F.inline_outer(F.concat(*parts)))
+        .where("facet is not null")
         .groupBy("facet", "value")
         .agg(F.count(F.lit(1)).alias("count"))
     )

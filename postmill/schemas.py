@@ -2,34 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 PROVENANCE = "map<string,struct<status:string,source:string,confidence:double,detail:string,checked_at:timestamp>>"
 EVIDENCE = "array<struct<tag:string,source:string,detail:string>>"
 PAY = "struct<min:double,max:double,currency:string,period:string>"
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+
+def columns(ddl: str) -> dict[str, str]:
+    """Column names and types of a schema text, in order; commas inside <> do not split."""
+    out, depth, start = {}, 0, 0
+    for i, ch in enumerate(ddl + ","):
+        depth += (ch == "<") - (ch == ">")
+        if ch == "," and depth == 0:
+            name, kind = ddl[start:i].strip().rsplit(" ", 1)
+            out[name.strip("`")] = kind
+            start = i + 1
+    return out
 
 
-REGISTER_ROW = _schema(
+REGISTER_ROW = (
     "`Organisation Name` string, `Town/City` string, County string, `Type & Rating` string, Route string"
 )
 
-REGISTER_IMPORTS = _schema(
+REGISTER_IMPORTS = (
     "import_id long, source string, published_on date, row_count long, org_count long, "
     "added long, removed long, changed long, started_at timestamp, finished_at timestamp"
 )
 
-ORGS = _schema(
+ORGS = (
     "org_id long, name_key string, town_key string, name string, town string, county string, rating string, "
     "ratings array<string>, worker_types array<string>, routes array<string>, sector_tags array<string>, "
     "status string, first_import_id long, last_import_id long, removed_at timestamp, created_at timestamp, "
     "updated_at timestamp"
 )
 
-PROFILES = _schema(
+PROFILES = (
     "name_key string, resolve_status string, website string, website_confidence double, website_source string, "
     "website_candidate string, careers_url string, ats_type string, ats_slug string, wikidata_id string, "
     "companies_house_no string, ch_status string, incorporated_on date, sic_codes array<string>, "
@@ -40,14 +47,14 @@ PROFILES = _schema(
 )
 
 # What a board reports about one posting, before normalisation. description_text null means "not fetched".
-RAW_JOB = _schema(
+RAW_JOB = (
     "name_key string, source string, slug string, scan_id long, ordinal long, external_id string, title string, "
     "locations array<string>, country_codes array<string>, apply_url string, posted_at timestamp, "
     "department string, employment_type_raw string, work_mode string, description_text string, "
     f"salary {PAY}"
 )
 
-POSTING_FIELDS = _schema(
+POSTING_FIELDS = (
     "title string, role_family string, seniority string, location_raw string, city string, work_mode string, "
     "employment_type string, salary_min int, salary_max int, salary_currency string, salary_period string, "
     "department string, skills array<string>, years_experience int, degree_mentioned boolean, apply_url string, "
@@ -55,35 +62,35 @@ POSTING_FIELDS = _schema(
     "content_hash string, provenance map<string,struct<status:string,source:string,detail:string>>"
 )
 
-POSTINGS = _schema(
+POSTINGS = (
     "posting_id long, name_key string, source string, external_id string, "
-    + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in POSTING_FIELDS)
+    + POSTING_FIELDS
     + ", first_seen_at timestamp, last_seen_at timestamp, changed_at timestamp, expired_at timestamp, "
     "status string, missed_scans int, repost_count int"
 )
 
-SCANS = _schema(
+SCANS = (
     "scan_id long, name_key string, source string, slug string, started_at timestamp, finished_at timestamp, "
     "ok boolean, complete boolean, http_status int, jobs_found long, jobs_kept long, added long, changed long, "
     "expired long, error string"
 )
 
-USERS = _schema(
+USERS = (
     "user_id long, email string, created_at timestamp, last_login_at timestamp, digest_opt_in boolean, "
     "last_digest_at timestamp"
 )
 
-USER_PROFILES = _schema(
+USER_PROFILES = (
     "user_id long, roles array<string>, locations array<string>, work_modes array<string>, "
     "employment_types array<string>, level string, skills array<string>, years_experience int, "
     "needs_sponsorship string, min_salary int, hide_refusals boolean, updated_at timestamp"
 )
 
-MARKS = _schema("user_id long, posting_id long, mark string, created_at timestamp")
-SAVED_ORGS = _schema("user_id long, org_id long, created_at timestamp")
-RUN_STEPS = _schema(
+MARKS = ("user_id long, posting_id long, mark string, created_at timestamp")
+SAVED_ORGS = ("user_id long, org_id long, created_at timestamp")
+RUN_STEPS = (
     "run_id long, run_date date, trigger string, all_steps boolean, started_at timestamp, finished_at timestamp, "
     "step string, status string, seconds long, error string, "
     "summary struct<boards:long,failed:long,queued:long,added:long,changed:long,expired:long,stopped_early:boolean>"
 )
-COMPANY_IMPORTS = _schema("snapshot_date date, rows_read long, matched long, created long, updated long")
+COMPANY_IMPORTS = ("snapshot_date date, rows_read long, matched long, created long, updated long")
