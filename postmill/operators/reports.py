@@ -128,8 +128,8 @@ def fold_runs(steps: DataFrame) -> DataFrame:
 def abandon_stale(runs: DataFrame, as_of, hours: int = 8) -> DataFrame:
     """A run still 'running' after ``hours`` gave no result: relabel it failed."""
     stale = (F.col("status") == "running") & (F.col("started_at") <= dates.hours_before(as_of, hours))
-    return runs.withColumn("status", F.when(stale, "failed").otherwise(F.col("status"))).withColumn(
-        "error", F.when(stale, "abandoned: no result recorded")
+    return runs.withColumn("error", F.when(stale, "abandoned: no result recorded")).withColumn(
+        "status", F.when(F.col("error").isNotNull(), "failed").otherwise(F.col("status"))
     )
 
 
@@ -184,16 +184,14 @@ def followed_orgs(follows: DataFrame, orgs: DataFrame, profiles: DataFrame, post
     )
 
 
-def with_marks(rows: DataFrame, marks: DataFrame, follows: DataFrame, user_ids: DataFrame) -> DataFrame:
-    """Rows for each given person with their mark and whether they follow the employer."""
-    wanted = user_ids.select("user_id")
-    mine = marks.join(wanted, "user_id", "left_semi").select("user_id", "posting_id", "mark")
-    followed = follows.join(wanted, "user_id", "left_semi").select("user_id", "org_id").withColumn("following", F.lit(True))
-    return (
-        rows.join(mine, ["user_id", "posting_id"], "left")
-        .join(followed, ["user_id", "org_id"], "left")
-        .withColumn("following", F.coalesce("following", F.lit(False)))
-    )
+def marks_on_page(marks: DataFrame, page: DataFrame) -> DataFrame:
+    """Everyone's marks on the postings of one page."""
+    return marks.join(page.select("posting_id"), "posting_id", "left_semi")
+
+
+def follows_on_page(follows: DataFrame, page: DataFrame) -> DataFrame:
+    """Who follows an employer shown on one page."""
+    return follows.join(page.select("org_id"), "org_id", "left_semi")
 
 
 # ---------------------------------------------------------------- queues
@@ -310,9 +308,14 @@ def _request_counts(requests: DataFrame, recent: Column) -> DataFrame:
     keyed = requests.withColumn("_recent", recent).select(
         "_recent",
         F.inline(F.array(
-            F.struct(F.lit("email").alias("kind"), F.col("email").alias("key")),
-            F.struct(F.lit("email_client"), F.concat_ws(" ", "email", "client")),
-            F.struct(F.lit("client"), F.col("client")),
+            *[
+                F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+                for kind, key in (
+                    ("email", F.col("email")),
+                    ("email_client", F.concat_ws(" ", "email", "client")),
+                    ("client", F.col("client")),
+                )
+            ]
         )),
     )
     return keyed.groupBy("kind", "key").agg(
