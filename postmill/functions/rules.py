@@ -471,3 +471,14 @@ WORK_MODES = ("remote", "hybrid", "onsite")
 EMPLOYMENT_TYPES = ("full_time", "part_time", "contract", "internship", "temporary")
 LEVELS = ("entry", "mid", "senior", "lead", "principal", "executive")
 SPONSORSHIP_NEEDS = ("yes", "no", "unsure")
+
+# --------------------------------------------------------------------------
+# Limits of the page evidence rules
+# --------------------------------------------------------------------------
+FOOTER_CHARS = 1500
+PAGE_TEXT_CHARS = 20000
+SIGNAL_CHARS = 30000
+PARKED_CHARS = 50000
+EMPTY_PAGE_CHARS = 80
+ACCEPT_WEBSITE, CANDIDATE_WEBSITE, STRONG_WEBSITE, CLAIMED_WEBSITE = 0.6, 0.4, 0.8, 0.85
+MAX_DOMAINS, MAX_SLUGS, MAX_CAREER_LINKS, MAX_JOB_LINKS = 16, 5, 5, 30

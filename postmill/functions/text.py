@@ -15,6 +15,15 @@ def matches(col: Column, pattern: str, ignore_case: bool = True) -> Column:
     return col.rlike(java(pattern, ignore_case))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it.
+
+    Expressions are trees: naming a long one five times makes five copies, and
+    nesting such functions multiplies them. A one-element transform binds it instead.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def lookup(mapping: dict, key: Column, default: Column | None = None) -> Column:
     """Value of ``key`` in a small literal mapping, as a CASE expression."""
     out = reduce(

@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank_to_null, trim
+from .text import blank_to_null, let, trim
 
 _ABSOLUTE = r"^(?i)(https?):/*([^/?#\\]+)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
 def safe_http_url(col: Column) -> Column:
     """Canonical http(s) URL, or null: nothing else may become a link."""
-    text = trim(col)
-    scheme = F.lower(F.regexp_extract(text, _ABSOLUTE, 1))
-    host = F.lower(F.regexp_extract(text, _ABSOLUTE, 2))
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(
-        F.regexp_replace(host, ":443$", "")
-    )
-    path = F.regexp_extract(text, _ABSOLUTE, 3)
-    rest = F.concat(F.regexp_extract(text, _ABSOLUTE, 4), F.regexp_extract(text, _ABSOLUTE, 5))
-    ok = (scheme != "") & ~host.rlike(r"[\s<>^|%\[\]]")
-    full = F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), rest)
-    return F.when(ok, F.regexp_replace(full, " ", "%20"))
+
+    def canonical(text: Column) -> Column:
+        part = lambda i: F.regexp_extract(text, _ABSOLUTE, i)
+        address = F.regexp_replace(
+            F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2))), "^(http://[^:]*):80$|^(https://[^:]*):443$", "$1$2"
+        )
+        path_ = F.regexp_replace(part(3), "^$", "/")
+        ok = text.rlike(_ABSOLUTE) & ~part(2).rlike(r"[\s<>^|%\[\]]")
+        return F.when(ok, F.replace(F.concat(address, path_, part(4), part(5)), F.lit(" "), F.lit("%20")))
+
+    return let(trim(col), canonical)
 
 
 def safe_href(col: Column) -> Column:
@@ -46,8 +46,7 @@ def first_label(col: Column) -> Column:
 
 
 def path(col: Column) -> Column:
-    found = F.regexp_extract(col, r"^(?i)https?://[^/?#]+([^?#]*)", 1)
-    return F.when(found == "", "/").otherwise(found)
+    return F.regexp_replace(F.regexp_extract(col, r"^(?i)https?://[^/?#]+([^?#]*)", 1), "^$", "/")
 
 
 def query(col: Column) -> Column:
@@ -60,34 +59,39 @@ def origin(col: Column) -> Column:
 
 def _tidy_path(p: Column) -> Column:
     """Resolve '.' and '..' segments."""
-    steps = F.split(F.substr(p, F.lit(2)), "/", -1)
-    kept = F.aggregate(
-        steps,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.array_append(acc, s)),
-    )
-    tail = F.when(p.rlike(r"/\.\.?$"), "/").otherwise("")
-    return F.when(p.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), tail)).otherwise(p)
+
+    def walk(x: Column) -> Column:
+        kept = F.aggregate(
+            F.split(F.substr(x, F.lit(2)), "/", -1),
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(s == ".", acc)
+            .otherwise(F.array_append(acc, s)),
+        )
+        tail = F.when(x.rlike(r"/\.\.?$"), "/").otherwise("")
+        return F.when(x.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), tail)).otherwise(x)
+
+    return let(p, walk)
 
 
 def resolve(href: Column, page: Column) -> Column:
     """Absolute http(s) form of a link found on ``page``; null for any other scheme."""
-    h = trim(href)
-    before = F.regexp_extract(h, r"^([^?#]*)", 1)
-    after = F.regexp_extract(h, r"^[^?#]*(.*)$", 1)
-    base_dir = F.regexp_extract(path(page), r"^(.*/)", 1)
-    absolute = (
-        F.when(h.rlike(r"^(?i)https?:"), h)
-        .when(h.rlike(r"^//"), F.concat(F.regexp_extract(page, r"^(?i)(https?:)", 1), h))
-        .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
-        .when(h.rlike(r"^/"), F.concat(origin(page), _tidy_path(before), after))
-        .when(h.rlike(r"^\?"), F.concat(origin(page), path(page), h))
-        .when((h == "") | h.rlike("^#"), F.concat(origin(page), path(page), query(page), h))
-        .otherwise(F.concat(origin(page), _tidy_path(F.concat(base_dir, before)), after))
-    )
-    return safe_http_url(absolute)
+
+    def absolute(h: Column) -> Column:
+        before = F.regexp_extract(h, r"^([^?#]*)", 1)
+        after = F.regexp_extract(h, r"^[^?#]*(.*)$", 1)
+        folder = F.regexp_extract(path(page), r"^(.*/)", 1)
+        relative = F.when(F.startswith(h, F.lit("/")), before).otherwise(F.concat(folder, before))
+        return (
+            F.when(h.rlike(r"^(?i)https?:"), h)
+            .when(h.rlike(r"^//"), F.concat(F.regexp_extract(page, r"^(?i)(https?:)", 1), h))
+            .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+            .when(h.rlike(r"^\?"), F.concat(origin(page), path(page), h))
+            .when(h.rlike("^#|^$"), F.concat(origin(page), path(page), query(page), h))
+            .otherwise(F.concat(origin(page), _tidy_path(relative), after))
+        )
+
+    return safe_http_url(let(trim(href), absolute))
 
 
 def without_fragment(col: Column) -> Column:
