@@ -308,7 +308,9 @@ def _uses(sql: str) -> set[str]:
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. The text tables are single small files, so they are spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.repartition(spark.sparkContext.defaultParallelism) if name in ("documents", "pages") else df
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

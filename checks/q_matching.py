@@ -195,7 +195,7 @@ def preference_tests(spark, sf):
 
 
 # ---------------------------------------------------------------- profiles
-@query("B14 B15", """
+@query("B14 B15", r"""
     WITH listed AS (SELECT c_custkey AS user_id, [c_mktsegment, lower(c_mktsegment), concat(' ', c_name, '  x '), 'software', 'SOFTWARE', ''] AS raw,
         c_acctbal FROM customer),
       tidy AS (SELECT *, list_filter(list_transform(raw, lambda v: substring(trim(regexp_replace(v, '\s+', ' ', 'g')), 1, 30)), lambda v: v <> '') AS vs FROM listed),

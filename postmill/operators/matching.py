@@ -40,7 +40,40 @@ def _say(*parts) -> Column:
     return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
 
 
-def topics(p, j, as_of) -> list[list[tuple]]:
+def prepare_people(people: DataFrame) -> DataFrame:
+    """What scoring needs of a person alone, computed once per person.
+
+    Their own skills and years get names no posting column has.
+    """
+    return (
+        people.withColumn("my_skills", F.col("skills"))
+        .withColumn("my_years", F.col("years_experience"))
+        .withColumn("my_level", lookup(rules.LEVEL_RANK, F.col("level")))
+        .withColumn("needs", F.coalesce(F.col("needs_sponsorship").isin("yes", "unsure"), F.lit(False)))
+        .withColumn("skills_lower", F.transform("skills", lambda s: F.lower(F.trim(s))))
+        .withColumn("locations_lower", F.transform("locations", lambda s: F.lower(F.trim(s))))
+        .withColumn("most", max_points(_named(people)))
+        .drop("skills", "years_experience")
+    )
+
+
+def prepare_jobs(view: DataFrame, as_of) -> DataFrame:
+    """What scoring needs of a posting alone, computed once per posting, not once per pair."""
+    age = dates.elapsed_seconds(as_of, F.coalesce("posted_at", "first_seen_at")) / 86400
+    top = extract.annual_gbp(F.coalesce("salary_max", "salary_min"), F.col("salary_currency"), F.col("salary_period"))
+    return (
+        view.withColumn("job_skills_lower", F.transform("skills", lambda s: F.lower(F.trim(s))))
+        .withColumn("counted_skills", F.least(F.size("skills"), F.lit(6)))
+        .withColumn("job_level", lookup(rules.LEVEL_RANK, F.col("seniority")))
+        .withColumn("here", F.lower(F.trim(F.coalesce("city", F.lit("")))))
+        .withColumn("raw_place", F.lower(F.trim("location_raw")))
+        .withColumn("signal", F.coalesce("sponsorship_signal", F.lit("unmentioned")))
+        .withColumn("top_pay", F.when(F.col("salary_min").isNotNull(), top))
+        .withColumn("is_fresh", age <= 7)
+    )
+
+
+def topics(p, j) -> list[list[tuple]]:
     """The scoring rules. Each topic is a list of (condition, kind, text, points).
 
     Within a topic the first condition that holds speaks; if none does, the topic
@@ -56,18 +89,19 @@ def topics(p, j, as_of) -> list[list[tuple]]:
         (asked("roles"), "-", _say("Role type is ", role, ", which is not one you chose"), -15),
     ]
 
+    hits = F.size(F.array_intersect(j["job_skills_lower"], p["skills_lower"]))
     hit = F.filter(j["skills"], lambda s: F.array_contains(p["skills_lower"], F.lower(F.trim(s))))
-    most = F.least(F.size(j["skills"]), F.lit(6))
-    skill_points = F.least(F.lit(25), dates.round_half_up(F.size(hit) / most * 25).cast("int"))
+    most = j["counted_skills"]
+    skill_points = F.least(F.lit(25), dates.round_half_up(hits / most * 25).cast("int"))
     both = asked("skills") & (F.size(j["skills"]) > 0)
     skill_topic = [
-        (both & (F.size(hit) > 0), "+",
-         _say("Mentions ", F.size(hit).cast("string"), " of your skills: ", F.array_join(F.slice(hit, 1, 4), ", ")),
+        (both & (hits > 0), "+",
+         _say("Mentions ", hits.cast("string"), " of your skills: ", F.array_join(F.slice(hit, 1, 4), ", ")),
          skill_points),
         (both, "=", "None of your listed skills appear in the posting", 0),
     ]
 
-    step = lookup(rules.LEVEL_RANK, j["seniority"]) - lookup(rules.LEVEL_RANK, p["level"])
+    step = j["job_level"] - p["my_level"]
     level = lookup(rules.LEVEL_NAME, j["seniority"])
     level_topic = [
         (p["level"].isNotNull() & j["seniority"].isNull(), "=", "The posting does not state a level", 3),
@@ -84,8 +118,7 @@ def topics(p, j, as_of) -> list[list[tuple]]:
         (asks <= has, "+", _say(asked_years, ", within your ", has.cast("string")), 5),
     ]
 
-    here = F.lower(F.trim(F.coalesce(j["city"], F.lit(""))))
-    raw = F.lower(F.trim(j["location_raw"]))
+    here, raw = j["here"], j["raw_place"]
     shown = F.coalesce(j["city"], F.split_part(j["location_raw"], F.lit(" | "), F.lit(1)))
     placed = F.exists(
         p["locations_lower"], lambda w: ((here != "") & F.startswith(here, w)) | F.contains(raw, w)
@@ -113,8 +146,7 @@ def topics(p, j, as_of) -> list[list[tuple]]:
     ]
 
     # Only the posting's own words count here; every employer is licensed already.
-    needs = p["needs_sponsorship"].isin("yes", "unsure")
-    signal = F.coalesce(j["sponsorship_signal"], F.lit("unmentioned"))
+    needs, signal = p["needs"], j["signal"]
     sponsorship_topic = [
         (needs & (signal == "offered"), "+", "The posting says it offers visa sponsorship", 20),
         (needs & (signal == "not_offered"), "-", "The posting says it does not offer visa sponsorship", -40),
@@ -124,8 +156,7 @@ def topics(p, j, as_of) -> list[list[tuple]]:
         (needs, "=", "The posting does not mention sponsorship (the employer is a licensed sponsor)", 0),
     ]
 
-    top = extract.annual_gbp(F.coalesce(j["salary_max"], j["salary_min"]), j["salary_currency"], j["salary_period"])
-    top = F.when(j["salary_min"].isNotNull(), top)
+    top = j["top_pay"]
     figure = _say("£", labels.thousands(top), " a year)")
     pay_topic = [
         (top < p["min_salary"], "-", _say("Pay tops out below your minimum (", figure), -15),
@@ -133,9 +164,8 @@ def topics(p, j, as_of) -> list[list[tuple]]:
     ]
 
     # The employer's own date counts first: an old advert just discovered is not new.
-    age = dates.elapsed_seconds(as_of, F.coalesce(j["posted_at"], j["first_seen_at"])) / 86400
     fresh_text = F.when(j["posted_at"].isNotNull(), "Posted in the last 7 days").otherwise("Found in the last 7 days")
-    fresh_topic = [(age <= 7, "+", fresh_text, 3)]
+    fresh_topic = [(j["is_fresh"], "+", fresh_text, 3)]
     stale_topic = [
         (j["stale_reason"].isNotNull(), "-", _say("Possibly stale: ", F.lower(j["stale_reason"])), -5)
     ]
@@ -173,8 +203,7 @@ def reasons(rule_topics) -> Column:
 
 def is_hidden(p, j) -> Column:
     """The posting refuses, the person needs sponsorship and asked not to see refusals."""
-    refuses = j["sponsorship_signal"] == "not_offered"
-    return F.coalesce(p["needs_sponsorship"].isin("yes", "unsure") & refuses & p["hide_refusals"], F.lit(False))
+    return F.coalesce(p["needs"] & (j["signal"] == "not_offered") & p["hide_refusals"], F.lit(False))
 
 
 def score_of(total: Column, most: Column) -> Column:
@@ -207,7 +236,7 @@ def _shelves(view: DataFrame, sets: DataFrame, as_of, look_back: bool, depth: in
     First per single role, which cuts any number of postings to a few thousand
     rows; only those are then combined into sets.
     """
-    live = view.where("status = 'live'").select(*_JOB)
+    live = prepare_jobs(view.where("status = 'live'").select(*_JOB), as_of)
     if look_back:
         # Whole hours of look-back that reach this posting; nothing older than the longest is kept.
         hours = F.floor(dates.elapsed_seconds(as_of, F.col("first_seen_at")) / 3600).cast("int") + 1
@@ -245,18 +274,13 @@ def rank_for_people(
     """
     dismissed = marks.where("mark = 'dismissed'").select("user_id", "posting_id")
     counts = dismissed.groupBy("user_id").agg(F.count(F.lit(1)).alias("dismissals"))
-    # The person's own skills and years, under names no posting column has.
-    people = people.withColumn("my_skills", F.col("skills")).withColumn("my_years", F.col("years_experience"))
     who = (
-        people.join(counts, "user_id", "left")
+        prepare_people(people)
+        .join(counts, "user_id", "left")
         .withColumn("dismissals", F.coalesce("dismissals", F.lit(0)))
         .withColumn("since_hours", F.col("since_hours") if look_back else F.lit(0))
         .withColumn("shelf", F.when(F.size("roles") > 0, F.array_join(F.array_sort(F.array_distinct("roles")), ","))
                     .otherwise(_ANY_ROLE))
-        .withColumn("skills_lower", F.transform("skills", lambda s: F.lower(F.trim(s))))
-        .withColumn("locations_lower", F.transform("locations", lambda s: F.lower(F.trim(s))))
-        .withColumn("most", max_points({c: F.col(c) for c in people.columns}))
-        .drop("skills", "years_experience")
     )
     sets = who.select("since_hours", "shelf").distinct()
     deepest = counts.agg(F.max("dismissals")).first()[0] or 0
@@ -274,28 +298,39 @@ def rank_for_people(
         left = left.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= CANDIDATES).drop("_n")
         found = found.unionByName(left)
 
-    cols = {c: F.col(c) for c in found.columns}
-    rule_topics = topics(
-        {**cols, "skills": F.col("my_skills"), "years_experience": F.col("my_years")},
-        cols, as_of,
-    )
-    scored = found.withColumn("hidden", is_hidden(cols, cols)).withColumn(
-        "score", score_of(points(rule_topics), F.col("most"))
+    # Score first, then carry only ids and the score through the sort; the
+    # reasons are written afterwards, for the rows that are left.
+    narrow = found.select(
+        "user_id", "posting_id", "first_seen_at", is_hidden(_named(found), _named(found)).alias("hidden"),
+        score_of(points(_topics_over(found)), F.col("most")).alias("score"),
     )
     if min_score is not None:
-        scored = scored.where(F.col("hidden") | (F.col("score") >= min_score))
+        narrow = narrow.where(F.col("hidden") | (F.col("score") >= min_score))
     best = Window.partitionBy("user_id").orderBy(
         F.col("hidden"), F.col("score").desc(), F.col("first_seen_at").desc(), F.col("posting_id").desc()
     )
-    scored = scored.withColumn("rank", F.row_number().over(best))
+    ranked = narrow.withColumn("rank", F.row_number().over(best))
     if top is not None:
-        scored = scored.where((F.col("rank") <= top) & ~F.col("hidden"))
-    return scored.select(
-        "user_id", "posting_id", "score", "hidden", reasons(rule_topics).alias("reasons"),
+        ranked = ranked.where((F.col("rank") <= top) & ~F.col("hidden"))
+    ranked = ranked.drop("first_seen_at")
+    jobs = shelves.drop("since_hours", "shelf", "place").dropDuplicates(["posting_id"])
+    explained = ranked.join(who, "user_id").join(jobs, "posting_id")
+    return explained.select(
+        "user_id", "posting_id", "score", "hidden", reasons(_topics_over(explained)).alias("reasons"),
         F.when(~F.col("hidden"), F.col("rank")).alias("rank"),
     )
 
 
+def _named(df: DataFrame) -> dict[str, Column]:
+    return {c: F.col(c) for c in df.columns}
+
+
+def _topics_over(df: DataFrame):
+    """The rules over joined rows, where a person's own skills and years go by other names."""
+    cols = _named(df)
+    return topics({**cols, "skills": F.col("my_skills"), "years_experience": F.col("my_years")}, cols)
+
+
 def page(ranked: DataFrame, number: int = 1, size: int = PAGE) -> DataFrame:
     return ranked.where(F.col("rank").between((number - 1) * size + 1, number * size))
 

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Partial top-k before the shuffle is what keeps a hot group out of one task.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
+    # A generated method above this size is never compiled by the JVM; the stage is then cut up instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
