@@ -90,6 +90,11 @@ def already_imported(log: DataFrame, published_on) -> bool:
     return not log.where(F.col("published_on") == F.lit(published_on)).limit(1).isEmpty()
 
 
+def new_publications(files: DataFrame, log: DataFrame) -> DataFrame:
+    """Register files whose publication date is not in the import log yet."""
+    return files.join(log.select("published_on"), "published_on", "left_anti")
+
+
 _CONTENT = ["name", "town", "county", "rating", "ratings", "worker_types", "routes", "sector_tags"]
 
 
