@@ -1 +1 @@
-
+"""Jobs end to end, composed from operators."""

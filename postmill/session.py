@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -20,12 +21,14 @@ SETTINGS = {
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", partitions: int | None = None,
-                  app: str = "postmill") -> SparkSession:
+                  app: str = "postmill", checkpoint: str | None = None) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for name, value in SETTINGS.items():
         builder = builder.config(name, value)
     builder = builder.config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", memory).config("spark.ui.enabled", "false")
+    if checkpoint:
+        builder = builder.config("spark.checkpoint.dir", checkpoint)
     builder = builder.config("spark.sql.shuffle.partitions", str(partitions or 8))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -39,9 +42,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="postmill-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="postmill-checkpoint-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
