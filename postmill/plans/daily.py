@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import company_match, lifecycle, matching, people, postings, register, reports, search, sectors
+from ..operators.ids import assign_ids
+from ..session import cut_lineage
 from ..sources import boards  # noqa: F401  (registers the vendors)
 from ..sources.registry import read_boards
 
@@ -31,8 +33,8 @@ def scan(payloads: DataFrame, outcomes: DataFrame, stored: DataFrame, details: d
     for name, landed in (details or {}).items():
         own = postings.enrich(raw.where(raw["source"] == name), boards.DETAILS[name](landed))
         raw = raw.where(raw["source"] != name).unionByName(own)
-    merged = lifecycle.merge_scan(stored, postings.normalise(raw), outcomes)
-    return merged, lifecycle.scan_log(merged, outcomes)
+    merged = cut_lineage(lifecycle.merge_scan(stored, postings.normalise(raw), outcomes))
+    return assign_ids(merged, "posting_id", lifecycle.KEY), lifecycle.scan_log(merged, outcomes)
 
 
 def refresh_sectors(profiles: DataFrame, orgs: DataFrame, stored: DataFrame, as_of) -> DataFrame:

@@ -228,3 +228,33 @@ def test_plans(spark):
     assert "PythonUDF" not in normal and "EvalPython" not in normal
     top = matching._numbered(i.raw("postings"), ["role_family"], 400)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in top
+
+
+def test_daily_plans_end_to_end(spark):
+    import json
+
+    from postmill.plans import daily
+
+    rows = spark.createDataFrame([("Acme Ltd", "Leeds", "", "Worker (A rating)", "Skilled Worker", 1)],
+                                 "name string, town string, county string, type_rating string, route string, row_no long")
+    orgs = daily.import_register(rows, register.empty_orgs(spark), 1, day(0), minimum=1).drop("action")
+    lever = [{"id": "a1", "text": "Data Engineer", "hostedUrl": "https://x.com/1", "categories": {"location": "London"}, "descriptionPlain": "Python and SQL. Visa sponsorship is available."}]
+    listing = {"content": [{"id": "s1", "name": "Developer", "location": {"city": "Leeds", "country": "gb"}}, {"id": "s2", "name": "Chef", "location": {"city": "Leeds", "country": "gb"}}]}
+    detail = {"postingUrl": "https://x.com/s1", "jobAd": {"sections": {"a": {"text": "<p>No sponsorship.</p>"}}}}
+    payloads = spark.createDataFrame([("acme ltd", "lever", "acme", 1, 0, json.dumps(lever), day(1)), ("acme ltd", "smartrecruiters", "acme", 1, 0, json.dumps(listing), day(1))],
+                                     "name_key string, source string, slug string, scan_id long, page long, payload string, fetched_at timestamp")
+    details = spark.createDataFrame([("acme ltd", "smartrecruiters", "s1", json.dumps(detail))], "name_key string, source string, external_id string, payload string")
+    outs = spark.createDataFrame([("acme ltd", s, 1, True, True, day(1)) for s in ("lever", "smartrecruiters")],
+                                 "name_key string, source string, scan_id long, ok boolean, complete boolean, scanned_at timestamp")
+    merged, log = daily.scan(payloads, outs, lifecycle.empty_postings(spark), {"smartrecruiters": details})
+    got = {r.external_id: r for r in merged.collect()}
+    assert set(got) == {"a1", "s1"} and sorted(r.posting_id for r in got.values()) == [1, 2]
+    assert got["a1"].sponsorship_signal == "offered" and got["a1"].skills == ["Python", "SQL"] and got["s1"].sponsorship_signal == "not_offered"
+    assert {(r.source, r.added) for r in log.collect()} == {("lever", 1), ("smartrecruiters", 1)}
+    profiles = orgs.select("name_key", F.lit("https://acme.com").alias("website"), F.lit(None).cast("string").alias("careers_url"), F.lit("lever").alias("ats_type"))
+    raw = spark.createDataFrame([(7, ["data"], ["London"], [], [], "boss", ["python"], "5", "yes", "", True)],
+                                "user_id long, roles array<string>, locations array<string>, work_modes array<string>, employment_types array<string>, level string, "
+                                "skills array<string>, years_experience string, needs_sponsorship string, min_salary string, hide_refusals boolean")
+    marks = spark.createDataFrame([], "user_id long, posting_id long, mark string")
+    best = daily.rank_everyone(raw, lifecycle.stored(merged), orgs, profiles, marks, day(2)).collect()
+    assert [(r.user_id, r.posting_id, r.rank) for r in best] == [(7, got["a1"].posting_id, 1)] and best[0].score > 90
