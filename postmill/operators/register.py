@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, rules, text
@@ -15,10 +15,10 @@ _KEY = ["name_key", "town_key"]
 def collapse(rows: DataFrame) -> DataFrame:
     """One record per (employer, town) from rows of (name, town, county, type_rating, route, row_no).
 
-    Three aggregations, two shuffles. The first has only fixed-width buffers and
-    runs map-side, so an employer holding a third of the register has shrunk to
-    its few distinct rows before anything is exchanged. The data is then laid out
-    by employer once, which serves both later aggregations.
+    Two shuffles. The first aggregation has only fixed-width buffers and runs
+    map-side, so an employer holding a third of the register has shrunk to its few
+    distinct rows before anything is exchanged. The data is then laid out by
+    employer once, which serves both the spelling counts and the last aggregation.
     """
     shaped = rows.select(
         text.key(F.col("name")).alias("name_key"),
@@ -38,22 +38,17 @@ def collapse(rows: DataFrame) -> DataFrame:
 
     ranks = sorted(rules.RATING_RANK.values())
     kinds = ("worker", "temporary_worker")
-    per_spelling = laid_out.groupBy(*_KEY, "name").agg(
-        F.sum("n").alias("n"),
-        F.min("row").alias("row"),
-        F.min(F.struct("row", "town")).alias("town"),
-        F.min(F.when(F.col("county") != "", F.struct("row", "county"))).alias("county"),
+    # How often each spelling occurs; the layout already keeps its rows together.
+    spelling = Window.partitionBy(*_KEY, "name")
+    counted = laid_out.withColumn("times", F.sum("n").over(spelling)).withColumn("since", F.min("row").over(spelling))
+    merged = counted.groupBy(*_KEY).agg(
+        F.max_by("name", F.struct(F.col("times"), -F.col("since"))).alias("name"),
+        F.min_by("town", "row").alias("town"),
+        F.coalesce(F.min_by("county", F.when(F.col("county") != "", F.col("row"))), F.lit("")).alias("county"),
         *[F.min(F.when(F.col("rank") == r, F.col("row"))).alias(f"r{r}") for r in ranks],
         *[F.min(F.when(F.col("worker_type") == k, F.col("row"))).alias(k) for k in kinds],
-        F.collect_set(text.blank_to_null(F.col("route"))).alias("routes"),
-    )
-    merged = per_spelling.groupBy(*_KEY).agg(
-        F.max_by("name", F.struct(F.col("n"), -F.col("row"))).alias("name"),
-        F.min("town")["town"].alias("town"),
-        F.min("county")["county"].alias("county"),
-        *[F.min(f"r{r}").alias(f"r{r}") for r in ranks],
-        *[F.min(k).alias(k) for k in kinds],
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("routes")))).alias("routes"),
+        # At most one entry per route of the register's vocabulary, whatever the number of rows.
+        F.array_sort(F.collect_set(text.blank_to_null(F.col("route")))).alias("routes"),
     )
     best = F.greatest(*[F.when(F.col(f"r{r}").isNotNull(), r) for r in ranks])
     return merged.select(
