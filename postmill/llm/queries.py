@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, sharding
+from . import decontaminate, mixing, near_dedup, sharding, topk_search, url_filter
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -42,3 +42,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(near_dedup.sql(3, 85))
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, percent=85)
+
+
+@query(topk_search.SQL)
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk_search.search(vectors, vectors.filter("id % 100 = 0"), k=10)
+
+
+@query(url_filter.SQL)
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), keep=["page_id"])
