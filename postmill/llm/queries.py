@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, near_dedup, sharding, token_counts, topk_search, toxicity, url_filter
+from . import decontaminate, language, mixing, near_dedup, sharding, suffix_dedup, token_counts, topk_search, toxicity, url_filter
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -71,3 +71,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.identify(docs, language.train(docs), keep=["doc_id"])
+
+
+@query()
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
