@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.session import cut_lineage
+
 
 def without(df: DataFrame, *names: str) -> DataFrame:
     """The frame without columns of these names, whatever their case: an operator's own columns replace them."""
@@ -21,3 +23,11 @@ def key_hash(key: Column) -> Column:
 def crc_of_id(key: str) -> Column:
     """crc32 of an id written as text (null: of the empty text)."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Rows that are few for the number of shuffle partitions, written to the shared folder and read again.
+
+    A few tasks per core write them, so that small tables do not become thousands of files.
+    """
+    return cut_lineage(df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism))

@@ -21,10 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.session import cut_lineage
-
 from . import bytewords as bw
-from .columns import without
+from .columns import without, written
 
 WINDOW = 10
 GRAM = 5
@@ -156,14 +154,14 @@ def judge(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     # Items of one wording are one row, however often they come.
     wording = items.filter(F.col(f"`{item_text}`").isNotNull()).groupBy(F.col(f"`{item_text}`").alias("text")).agg(
         F.collect_set(F.coalesce(F.col(f"`{item_key}`").cast("string"), F.lit(""))).alias("ids"))
-    wording = cut_lineage(wording.withColumn("item", F.xxhash64("text", F.lit(1))))
-    prints = cut_lineage(_fingerprints(wording, "item", "text", window, gram, (), True).withColumnRenamed("id", "item"))
+    wording = wording.withColumn("item", F.xxhash64("text", F.lit(1)))
+    prints = _fingerprints(wording, "item", "text", window, gram, (), True).withColumnRenamed("id", "item")
     sizes = F.size(F.filter(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda x: x != ""))
     # At most window - 1 different lengths.
     short = tuple(sorted(r.n for r in wording.select(sizes.alias("n")).filter((F.col("n") > 0) & (F.col("n") < window)).distinct().collect()))
     pairs = _fingerprints(docs, key, text, window, gram, short, False).join(prints, "hash").select("id", "item").distinct()
     hits = pairs.join(wording, "item").groupBy("id").agg(F.collect_list(F.struct("text", "ids")).alias("_hits"))
-    hits = cut_lineage(hits.withColumnRenamed("id", "_id"))
+    hits = written(hits.withColumnRenamed("id", "_id"))
     joined = docs.join(hits, F.col(f"`{key}`").eqNullSafe(F.col("_id")), "left")
     names = list(dict.fromkeys([*back, text]))
     flat = joined.select(*[f"`{c}`" for c in names], "_hits")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.session import cut_lineage
+from .columns import written
 
 
 def _least(sym: DataFrame) -> DataFrame:
@@ -23,13 +23,13 @@ def components(links: DataFrame) -> DataFrame:
     smaller neighbours to the least of them, until each hangs on its root. Rows stay
     as many as links; a node with very many links is only joined to one row.
     """
-    edges = cut_lineage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
+    edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
     before = _checksum(edges)
     while before[0]:
         sym = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = sym.join(_least(sym), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         small = large.join(_least(large), "u")
-        edges = cut_lineage(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u > v").distinct())
+        edges = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u > v").distinct())
         after = _checksum(edges)
         if after == before:
             break

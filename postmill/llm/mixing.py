@@ -105,15 +105,14 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: Dat
     rows = numbered(without(df, *OWN), key, source)
     sizes = df.groupBy(F.col(f"`{source}`").alias("source")).agg(F.count("*").alias("n"))
     plan = tickets(sizes, period, exponent) if weights is None else sizes.join(F.broadcast(weights.select(F.col("source").alias("_w"), "tickets")), F.col("source").eqNullSafe(F.col("_w")), "left").drop("_w")
-    # Rows of a source in a mix of `length` slots: those of its blocks that are due by then.
-    length = F.max(F.ceil(F.ceil(F.col("n") / block) * period / F.col("tickets"))).over(Window.partitionBy(F.lit(1)))
+    # Rows of a mix in which the source that lasts longest comes once.
+    length = F.max(F.ceil(F.col("n") * period / F.col("tickets"))).over(Window.partitionBy(F.lit(1)))
     plan = plan.withColumn("length", length)
     # One row per source, at most `period` of them.
     p = plan.select(F.col("source").alias("_source"), F.col("n").alias("_n"), F.col("tickets"), "length")
     met = rows.join(F.broadcast(p), F.col(f"`{source}`").eqNullSafe(F.col("_source")), "left")
     if repeat:
-        blocks = F.floor(F.col("length") * F.col("tickets") / period)
-        wanted = F.greatest(blocks * block, F.col("_n"))
+        wanted = F.greatest(F.floor(F.col("length") * F.col("tickets") / period), F.col("_n"))
         times = F.ceil((wanted - F.col("source_row")) / F.col("_n"))
         met = met.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), times).cast("int") - 1)))
     else:
@@ -141,8 +140,8 @@ run(t, ks, pick) AS (
   FROM (SELECT t, ks, ids, list_sort(list_transform(list_filter(ids, lambda x: (ks[x + 1] * {PERIOD}) // ws[x + 1] <= t + 1),
                lambda x: struct_pack(d := CAST(((ks[x + 1] + 1) * {PERIOD} + ws[x + 1] - 1) // ws[x + 1] AS BIGINT), i := CAST(x AS BIGINT), k := CAST(ks[x + 1] AS BIGINT))))[1] AS best
         FROM run, weights WHERE t < {PERIOD - 1})),
-plan AS (SELECT source, n, i, w, max(CAST(ceil(((n + {BLOCK - 1}) // {BLOCK}) * {PERIOD} / w) AS BIGINT)) OVER () AS length FROM w),
-longest AS (SELECT source, n, i, w, greatest(CAST(floor(length * w / {PERIOD}) AS BIGINT) * {BLOCK}, n) AS wanted FROM plan),
+plan AS (SELECT source, n, i, w, max(CAST(ceil(n * {PERIOD} / w) AS BIGINT)) OVER () AS length FROM w),
+longest AS (SELECT source, n, i, w, greatest(CAST(floor(length * w / {PERIOD}) AS BIGINT), n) AS wanted FROM plan),
 docs AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY h % {SALTS}, h, doc_id) - 1 AS r
   FROM (SELECT doc_id, source, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents)),

@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from postmill.session import cut_lineage
 
 from . import bytewords as bw
-from .columns import without
+from .columns import without, written
 from .graph import components
 
 HALVES = 8
 ROWS = 2
-BLOCK = 1024
+BLOCK = 384
 
 _SEEDS = bw.mix64(np.arange(1, 2 * HALVES * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[:, None]
 _ODD = bw.mix64(_SEEDS + np.uint64(7)) | np.uint64(1)
@@ -165,9 +165,9 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int =
         each = reps.select("id", F.explode(side).alias(side))
         return each.join(each.groupBy(side).agg(F.count("*").alias("c")).filter("c > 1").select(side), side)
 
-    cells = cut_lineage(common("a").join(common("b"), "id").select("id", "a", F.xxhash64("a", "b").alias("cell")))
+    cells = written(common("a").join(common("b"), "id").select("id", "a", F.xxhash64("a", "b").alias("cell")))
     sizes = cells.groupBy("cell").agg(F.count("*").alias("c")).filter("c > 1")
-    met = cut_lineage(cells.join(sizes, "cell"))
+    met = written(cells.join(sizes, "cell"))
     weight = met.groupBy("id").agg(F.sum("c").alias("weight"))
     ranked = met.join(weight, "id")
     hubs = ranked.groupBy("cell").agg((-F.max(F.struct("weight", -F.col("id")))["col2"]).alias("hub"))
@@ -183,12 +183,12 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int =
     pairs = pairs.join(sized.select(F.col("id").alias("u"), F.col("n").alias("m1")), "u").join(sized.select(F.col("id").alias("v"), F.col("n").alias("m2")), "v")
     pairs = pairs.filter(100 * F.least("m1", "m2") >= percent * F.greatest("m1", "m2")).select("u", "v")
     inter = F.size(F.array_intersect("s1", "s2"))
-    links = cut_lineage(pairs.join(one, "u").join(two, "v").withColumn("inter", inter).filter(_linked(F.col("inter"), F.col("n1"), F.col("n2"), percent)).select("u", "v"))
+    links = written(pairs.join(one, "u").join(two, "v").withColumn("inter", inter).filter(_linked(F.col("inter"), F.col("n1"), F.col("n2"), percent)).select("u", "v"))
 
-    first = cut_lineage(components(links))
+    first = written(components(links))
     labelled = spokes.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_cells = labelled.filter("id <> hub").groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("cell")
-    rest = cut_lineage(labelled.join(open_cells, "cell", "left_semi").select("a", "id", "component").distinct())
+    rest = written(labelled.join(open_cells, "cell", "left_semi").select("a", "id", "component").distinct())
     blocks = rest.join(rest.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "a")
     blocks = blocks.withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = blocks.select("a", "id", "component", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
