@@ -1,7 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A text's features are its distinct words (runs of letters, lower-cased), hashed
-to 2 ** BITS places. The score is the logistic of a bias, a weight per feature and
+A text's features are its distinct words (runs of letters, lower-cased) and the
+beginnings of longer words, hashed to 2 ** BITS places. The score is the logistic of a bias, a weight per feature and
 the inner products of the features' vectors, so words that are harmful only
 together are learnt as pairs.
 
@@ -28,10 +28,19 @@ FACTORS = 8
 FEATURES = 8192
 SAMPLE = 20_000
 THRESHOLD = 0.3
+#: Lengths in bytes of the beginnings that count beside the word itself.
+BEGINNINGS = (4, 5, 6, 7, 8)
 
 
-def places(w: bw.Words) -> np.ndarray:
-    return (w.hashes() >> np.uint64(64 - BITS)).astype(np.int64)
+def places(w: bw.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place) of all words and of their beginnings, not yet distinct."""
+    size, text = w.end - w.start, w.text_of()
+    longer = [np.flatnonzero(size > k) for k in BEGINNINGS]
+    start = np.concatenate([w.start, *[w.start[x] for x in longer]])
+    end = np.concatenate([w.end, *[w.start[x] + k for x, k in zip(longer, BEGINNINGS)]])
+    salt = np.repeat(np.arange(len(BEGINNINGS) + 1, dtype=np.uint64), [len(size), *map(len, longer)])
+    h = bw.mix64(bw.range_hash(bw.BYTE_VALUE[w.data], start, end) ^ salt)
+    return np.concatenate([text, *[text[x] for x in longer]]), (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 @dataclass
@@ -55,13 +64,14 @@ class Machine:
 
 
 def _features(index: np.ndarray, w: bw.Words) -> tuple[np.ndarray, np.ndarray]:
-    found = index[places(w)]
+    text, place = places(w)
+    found = index[place]
     known = np.flatnonzero(found >= 0)
-    return bw.distinct_per_text(w.text_of()[known], found[known])
+    return bw.distinct_per_text(text[known], found[known])
 
 
-def fit(text: np.ndarray, place: np.ndarray, label: np.ndarray, factors: int = FACTORS, features: int = FEATURES, steps: int = 300,
-        rate: float = 0.05, weight_decay: float = 2e-4, vector_decay: float = 2e-3, seed: int = 1) -> Machine:
+def fit(text: np.ndarray, place: np.ndarray, label: np.ndarray, factors: int = FACTORS, features: int = FEATURES, steps: int = 120,
+        rate: float = 0.05, weight_decay: float = 5e-5, vector_decay: float = 2e-3, seed: int = 1) -> Machine:
     """From distinct (text, place) pairs and the texts' labels (0 or 1)."""
     n, n1 = len(label), float(label.sum())
     index = np.full(1 << BITS, -1, np.int32)
@@ -70,9 +80,9 @@ def fit(text: np.ndarray, place: np.ndarray, label: np.ndarray, factors: int = F
     in1 = np.bincount(place, label[text], 1 << BITS)
     both = np.bincount(place, minlength=1 << BITS)
     expected = both * n1 / n
-    contrast = np.where(both >= 2, np.abs(in1 - expected) / np.sqrt(expected * (1 - n1 / n) + 1e-9), 0)
+    contrast = np.where(both >= 3, np.abs(in1 - expected) / np.sqrt(expected * (1 - n1 / n) + 0.5), 0)
     chosen = np.lexsort((np.arange(1 << BITS), -contrast))[:features]
-    chosen = np.sort(chosen[contrast[chosen] > 1.0])
+    chosen = np.sort(chosen[contrast[chosen] > 3.0])
     index[chosen] = np.arange(len(chosen))
     feature = index[place]
     text, feature = text[feature >= 0], feature[feature >= 0]
@@ -114,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, w in bw.words(batch.column(2), bw.ALPHA, bw.lower_latin):
-                t, p = bw.distinct_per_text(w.text_of(), places(w))
+                t, p = bw.distinct_per_text(*places(w))
                 ends = np.searchsorted(t, np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(p.astype(np.int32)))], names=["id", "label", "places"])
 
