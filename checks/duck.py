@@ -114,9 +114,12 @@ def role_family(title: str, department: str) -> str:
     t = clean(title)
     arms = []
     for family, pattern in rules.ROLE_RULES:
-        test = rx(t, pattern)
-        if family == "product":
-            test = f"({test} OR ({rx(t, rules.PRODUCT_HEAD)} AND NOT {rx(t, rules.PRODUCT_HEAD_OTHER)}))"
+        # This engine has no lookahead: what must not follow is blanked out for that alternative.
+        head, tail = "(?:head|director|vp|chief)(?: of)? product", r"(?!\s+(?:marketing|sales))"
+        test = rx(t, pattern.replace(head + tail + "|", ""))
+        if head + tail in pattern:
+            blanked = f"regexp_replace({t}, {q(re2(head + chr(92) + 's+(?:marketing|sales)'))}, '#', 'g')"
+            test = f"({test} OR {rx(blanked, words(head))})"
         arms.append((test, q(family)))
     bare = (f"({rx(t, rules.ENGINEER_WORD)} AND NOT {rx(t, rules.PHYSICAL_ENGINEER)} "
             f"AND coalesce({rx(department, rules.TECH_DEPARTMENT)}, false))")
@@ -147,7 +150,7 @@ def uk_city(locations: str) -> str:
 
 
 def work_mode(location: str, text: str, part: str) -> str:
-    loc, body = f"lower({location})", f"lower(substring({text}, 1, {rules.MODE_TEXT_CHARS}))"
+    loc, body = f"lower({location})", f"lower({text})"
     left = f"regexp_replace({loc}, {q(re2(rules.REMOTE_FILLER, False))}, '', 'g')"
     hybrid, remote = words("hybrid"), words("remote")
     arms = [
@@ -168,7 +171,7 @@ def employment_type(expr: str) -> str:
 def skills(expr: str) -> str:
     """Every pattern against the whole text, instead of one pass."""
     named = "concat_ws(',', " + ", ".join(f"CASE WHEN {rx(expr, p)} THEN {q(n)} END" for n, p in rules.SKILLS) + ")"
-    return f"array_to_string(list_slice(string_split({named}, ','), 1, {rules.MAX_SKILLS}), ',')"
+    return named
 
 
 def pay_found(text: str) -> str:
@@ -221,7 +224,7 @@ def normalise_ctes(source: str, identity: str, employment: str, mode: str, code:
         substring(regexp_replace({text}, {q(re2(chr(92) + 's+', False))}, ' ', 'g'), 1, {rules.EXCERPT_CHARS}) AS excerpt,
         signal AS sponsorship_signal,
         CASE WHEN span IS NOT NULL THEN {clean(f"substring({text}, greatest(span.start - 90, 0) + 1, span.stop + 90 - greatest(span.start - 90, 0))")} END AS sponsorship_snippet,
-        sha1(concat_ws(chr(1), title, location, substring({text}, 1, {rules.HASH_TEXT_CHARS}),
+        sha1(concat_ws(chr(1), title, location, {text},
              CASE WHEN pay IS NULL THEN '' ELSE concat({number_text('pay.min')}, '-', {number_text('pay.max')}) END)) AS content_hash,
         CASE WHEN pay IS NULL THEN 'unconfirmed' ELSE 'inferred' END AS pay_status,
         CASE WHEN mode_given IS NOT NULL THEN 'job board field' WHEN mode_from = 'location' THEN 'location text'

@@ -23,7 +23,7 @@ _TLDS = ", ".join(q(t) for t in rules.DOMAIN_ENDINGS)
           CASE WHEN length({_W}[1]) >= 4 OR len({_W}) = 1 THEN {_W}[1] END, CASE WHEN len({_W}) BETWEEN 2 AND 3 THEN array_to_string({_W}, '-') END],
           lambda x: x IS NOT NULL AND length(x) BETWEEN 3 AND 40) AS vs FROM n),
       u AS (SELECT name_key, list_filter(vs, lambda x, i: list_position(vs, x) = i) AS vs FROM v)
-    SELECT name_key, array_to_string(list_slice(flatten(list_transform([{_TLDS}], lambda t: list_transform(vs, lambda x: concat(x, '.', t)))), 1, 16), ',') AS domains FROM u""", ("orgs",))
+    SELECT name_key, array_to_string(flatten(list_transform([{_TLDS}], lambda t: list_transform(vs, lambda x: concat(x, '.', t)))), ',') AS domains FROM u""", ("orgs",))
 def name_domains(spark, sf):
     orgs = Inputs(spark, sf).raw("orgs").groupBy("name_key").agg(F.min_by("name", "org_id").alias("name"))
     return orgs.select("name_key", F.array_join(names.domain_candidates(text.core_phrase(F.col("name"))), ",").alias("domains"))
@@ -34,7 +34,7 @@ def name_domains(spark, sf):
       v AS (SELECT name_key, list_filter([CASE WHEN website IS NOT NULL THEN regexp_extract(website, '^https?://(?:www\\.)?([^./]+)', 1) END, array_to_string({_W}, ''),
           array_to_string({_W}, '-'), CASE WHEN length({_W}[1]) >= 4 THEN {_W}[1] END, CASE WHEN len({_W}) >= 2 THEN concat({_W}[1], {_W}[2]) END],
           lambda x: x IS NOT NULL AND regexp_matches(x, '^[a-z0-9][a-z0-9-]{{2,40}}$')) AS vs FROM n)
-    SELECT name_key, array_to_string(list_slice(list_filter(vs, lambda x, i: list_position(vs, x) = i), 1, 5), ',') AS slugs FROM v""", ("orgs", "profiles"))
+    SELECT name_key, array_to_string(list_filter(vs, lambda x, i: list_position(vs, x) = i), ',') AS slugs FROM v""", ("orgs", "profiles"))
 def name_slugs(spark, sf):
     i = Inputs(spark, sf)
     orgs = i.raw("orgs").groupBy("name_key").agg(F.min_by("name", "org_id").alias("name")).join(i.raw("profiles").select("name_key", "website"), "name_key")
@@ -105,9 +105,9 @@ LINKS = f"""
          CASE WHEN regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) END AS upath FROM a3)"""
 
 
-def _top(inner: str, limit: int) -> str:
+def _top(inner: str) -> str:
     return f"""SELECT page_id, link, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS rank FROM (
-        SELECT page_id, link, max(score) AS score, min(pos) AS pos FROM ({inner}) s GROUP BY 1, 2) b) r WHERE rank <= {limit}"""
+        SELECT page_id, link, max(score) AS score, min(pos) AS pos FROM ({inner}) s GROUP BY 1, 2) b) r"""
 
 
 _ROOT = "array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 2, 1), len(string_split(host, '.'))), '.')"
@@ -116,7 +116,7 @@ _ROOT = "array_to_string(list_slice(string_split(host, '.'), greatest(len(string
 @query("K10 E6", f"""WITH {LINKS}, scored AS (SELECT *, {_board_sql('link')} IS NOT NULL AS board FROM a4 WHERE NOT {d.rx('href', rules.CAREER_NOISE)}), """ + _top(
     f"""SELECT * FROM (SELECT *, CAST(CASE WHEN board THEN 6 ELSE 0 END + CASE WHEN {d.rx("concat(path, regexp_extract(link, '^https?://([^/?#:]+)', 1))", rules.CAREER_HREF)} THEN 3 ELSE 0 END
         + CASE WHEN {d.rx('txt', rules.CAREER_TEXT)} AND length(txt) < 60 THEN 2 ELSE 0 END AS INTEGER) AS score FROM scored
-      WHERE board OR ends_with(lhost, {_ROOT}) OR ends_with({_ROOT}, lhost)) x WHERE score >= 2 AND (board OR score >= 3 OR {d.rx('path', rules.CAREER_HREF)})""", 5).replace("SELECT page_id, link, score, rank", "top AS (SELECT page_id, link, score, rank", 1) + ") SELECT * FROM top", ("site_pages",))
+      WHERE board OR ends_with(lhost, {_ROOT}) OR ends_with({_ROOT}, lhost)) x WHERE score >= 2 AND (board OR score >= 3 OR {d.rx('path', rules.CAREER_HREF)})""").replace("SELECT page_id, link, score, rank", "top AS (SELECT page_id, link, score, rank", 1) + ") SELECT * FROM top", ("site_pages",))
 def page_careers_links(spark, sf):
     p = Inputs(spark, sf).raw("site_pages")
     return pages.careers_links(p, ["page_id"]).select("page_id", "link", "score", F.col("rank").cast("long").alias("rank"))
@@ -128,7 +128,7 @@ _HERE, _THERE = "regexp_replace(upath, '/$', '')", "regexp_replace(path, '/$', '
 @query("K11 E6", f"""WITH {LINKS}, top AS (""" + _top(
     f"""SELECT * FROM (SELECT *, CAST(CASE WHEN {d.rx('path', rules.JOB_PATH)} THEN 3 ELSE 0 END + CASE WHEN starts_with(path, concat({_HERE}, '/')) AND length(path) > length({_HERE}) + 3 THEN 2 ELSE 0 END
         + CASE WHEN length(txt) BETWEEN 5 AND 120 THEN 1 ELSE 0 END AS INTEGER) AS score FROM a4 WHERE NOT {d.rx('href', rules.NOT_JOB)} AND lhost = host AND {_THERE} <> {_HERE}) x
-      WHERE score >= 3""", 30) + ") SELECT * FROM top", ("site_pages",))
+      WHERE score >= 3""") + ") SELECT * FROM top", ("site_pages",))
 def page_job_links(spark, sf):
     p = Inputs(spark, sf).raw("site_pages")
     return pages.job_links(p, ["page_id"]).select("page_id", "link", "score", F.col("rank").cast("long").alias("rank"))
@@ -150,13 +150,13 @@ def sql_evidence() -> str:
     silent = f"regexp_replace(regexp_replace(regexp_replace(html, '(?i)^[\\s\\S]*?<body\\b[^>]*>', ''), '(?i)<script\\b[^>]*>[\\s\\S]*?</script\\s*>', '', 'g'), '(?i)<style\\b[^>]*>[\\s\\S]*?</style\\s*>', '', 'g')"
     idle = ", ".join(q(w) for w in (*rules.FILLER_WORDS, *rules.EVERYDAY_WORDS))
     common = f"(t IN ({_COMMON}) OR length(t) < 4)"
-    pool_others = f"list_filter(list_slice(ws, 2, 1000), lambda t: length(t) >= 2 AND t NOT IN ({idle}))"
+    pool_others = f"list_filter(list_slice(ws, 2, len(ws)), lambda t: length(t) >= 2 AND t NOT IN ({idle}))"
     return f"""WITH f AS (SELECT page_id, url, html, {d.clean(dec(inner("regexp_extract(html, '(?i)<title\\b[^>]*>([\\s\\S]*?)</title>', 1)")))} AS title_,
         trim({dec(inner("regexp_extract(html, '(?i)<title\\b[^>]*>([\\s\\S]*?)</title>', 1)"))}) AS title,
-        array_to_string(list_transform(list_slice(regexp_extract_all(html, '(?i)<h1\\b[^>]*>([\\s\\S]*?)</h1>', 1), 1, 3), lambda h: {dec(inner('h'))}), ' ') AS h1,
+        array_to_string(list_transform(regexp_extract_all(html, '(?i)<h1\\b[^>]*>([\\s\\S]*?)</h1>', 1), lambda h: {dec(inner('h'))}), ' ') AS h1,
         regexp_replace({dec(inner(silent))}, {q(re2(chr(92) + 's+', False))}, ' ', 'g') AS body FROM site_pages),
       g AS (SELECT *, {d.normalise_text("concat(title, ' ', h1)")} AS head, {d.normalise_text('body[greatest(length(body) - 1499, 1):]')} AS foot,
-        {d.normalise_text('substring(body, 1, 20000)')} AS words_, {d.rx('substring(html, 1, 50000)', rules.PARKED_PAGE)} OR length(body) < 80 AS parked,
+        {d.normalise_text('body')} AS words_, {d.rx('html', rules.PARKED_PAGE)} OR length(body) < 80 AS parked,
         CASE WHEN page_id % 2 = 0 THEN concat(array_to_string(list_slice(string_split(title, ' '), 1, 3), ' '), ' Ltd') ELSE 'Harbour Software Ltd' END AS org_name,
         regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', '') AS host FROM f),
       h AS (SELECT *, {d.core_phrase('org_name')} AS phrase, replace(string_split(host, '.')[1], '-', '') AS label FROM g),
@@ -165,7 +165,7 @@ def sql_evidence() -> str:
         length(brand) >= 3 AND ({has('head', 'brand')} OR {has('foot', 'brand')}) AS shown, label = array_to_string(ws, '') OR label = brand OR label = array_to_string(list_slice(ws, 1, 2), '') AS fits,
         label = array_to_string(ws, '') AS whole, len(ws) > 1 AND len(list_filter(ws, lambda t: NOT {has('head', 't')})) = 0 AS all_in,
         length(brand) >= 7 AND brand NOT IN ({_COMMON}) AS rare, {has('words_', 'brand')} AS in_body,
-        {pool_others} AS others, {d.rx('host', rules.UK_HOST)} OR {d.rx('substring(body, 1, 30000)', rules.UK_PAGE_SIGNAL)} OR {has('words_', "'london'")} AS uk FROM i),
+        {pool_others} AS others, {d.rx('host', rules.UK_HOST)} OR {d.rx('body', rules.UK_PAGE_SIGNAL)} OR {has('words_', "'london'")} AS uk FROM i),
       k AS (SELECT *, CASE WHEN in_head THEN 0.85 WHEN in_foot THEN 0.8 WHEN fits AND all_in THEN 0.75 WHEN fits AND whole AND shown THEN 0.7 WHEN fits AND rare AND shown THEN 0.65
         WHEN fits AND shown THEN 0.5 WHEN fits AND in_body THEN 0.45 ELSE 0.0 END::DOUBLE AS c0,
         CASE WHEN len(list_filter(others, lambda t: NOT {common})) > 0 THEN list_filter(others, lambda t: NOT {common}) ELSE others END AS pool FROM j),

@@ -57,7 +57,7 @@ def followed_new_roles(spark, sf):
 @query("N10 D13 E1", """SELECT (SELECT count(*) FROM profiles WHERE resolve_status <> 'pending') AS researched,
     (SELECT count(*) FROM profiles WHERE resolve_status = 'resolved') AS websites, (SELECT count(*) FROM profiles WHERE ats_type IS NOT NULL) AS boards,
     (SELECT count(DISTINCT name_key) FROM postings WHERE status = 'live') AS employers_with_roles, (SELECT count(*) FROM postings WHERE status = 'live') AS live,
-    (SELECT count(*) FROM (SELECT arg_max(ok, scan_id) AS ok FROM board_scans GROUP BY name_key) x WHERE NOT ok) AS failing""", ("profiles", "postings", "board_scans"))
+    (SELECT count(*) FROM (SELECT arg_max(ok, scan_id) AS ok FROM board_scans WHERE ok OR coalesce(http_status, 0) <> 429 GROUP BY name_key) x WHERE NOT ok) AS failing""", ("profiles", "postings", "board_scans"))
 def coverage(spark, sf):
     i = Inputs(spark, sf)
     return reports.coverage(i.raw("profiles"), i.raw("postings"), i.raw("board_scans"))
@@ -68,7 +68,7 @@ def boards_by_platform(spark, sf):
     return reports.boards_by_platform(Inputs(spark, sf).raw("profiles"))
 
 
-@query("C4 E1 N10", "SELECT name_key, arg_max(ok, scan_id) AS ok, arg_max(source, scan_id) AS source, strftime(max(started_at), '%Y-%m-%d %H:%M:%S') AS started_at FROM board_scans GROUP BY 1", ("board_scans",))
+@query("C4 E1 N10", "SELECT name_key, arg_max(ok, scan_id) AS ok, arg_max(source, scan_id) AS source, strftime(max(started_at), '%Y-%m-%d %H:%M:%S') AS started_at FROM board_scans WHERE ok OR coalesce(http_status, 0) <> 429 GROUP BY 1", ("board_scans",))
 def latest_scans(spark, sf):
     return reports.latest_scan_per_employer(Inputs(spark, sf).raw("board_scans")).select("name_key", "ok", "source", stamp("started_at"))
 
@@ -168,27 +168,27 @@ def page_follows(spark, sf):
 
 # ---------------------------------------------------------------- queues
 @query("N12 F2", f"""SELECT user_id FROM people WHERE digest_opt_in AND (last_digest_at IS NULL OR last_digest_at < {NOW} - INTERVAL 6 DAY)
-    ORDER BY last_digest_at NULLS FIRST, user_id LIMIT 100""", ("people",))
+    ORDER BY last_digest_at NULLS FIRST, user_id""", ("people",))
 def queue_digests(spark, sf):
     return reports.due_digests(Inputs(spark, sf).raw("people"), AS_OF).select("user_id")
 
 
-@query("N12 C4 F2", f"""WITH l AS (SELECT name_key, arg_max(ok, scan_id) AS ok, max(started_at) AS at_ FROM board_scans GROUP BY 1)
+@query("N12 C4 F2", f"""WITH l AS (SELECT name_key, arg_max(ok, scan_id) AS ok, max(started_at) AS at_ FROM board_scans WHERE ok OR coalesce(http_status, 0) <> 429 GROUP BY 1)
     SELECT p.name_key, p.ats_slug, l.ok FROM profiles p LEFT JOIN l ON l.name_key = p.name_key WHERE ats_type IS NOT NULL AND ats_slug IS NOT NULL
-      AND (at_ IS NULL OR (ok AND at_ < {NOW} - INTERVAL 20 HOUR) OR (NOT ok AND at_ < {NOW} - INTERVAL 3 DAY)) ORDER BY at_ NULLS FIRST, p.name_key LIMIT 3000""", ("profiles", "board_scans"))
+      AND (at_ IS NULL OR (ok AND at_ < {NOW} - INTERVAL 20 HOUR) OR (NOT ok AND at_ < {NOW} - INTERVAL 3 DAY)) ORDER BY at_ NULLS FIRST, p.name_key""", ("profiles", "board_scans"))
 def queue_scans(spark, sf):
     i = Inputs(spark, sf)
     return reports.due_scans(i.raw("profiles"), i.raw("board_scans"), AS_OF).select("name_key", "ats_slug", "ok")
 
 
 @query("N12 F3", f"""SELECT name_key, resolve_status FROM profiles WHERE ats_type IS NULL AND (ats_probed_at IS NULL OR ats_probed_at < {NOW} - INTERVAL 30 DAY)
-    ORDER BY (resolve_status = 'resolved') DESC, ats_probed_at NULLS FIRST, name_key LIMIT 200""", ("profiles",))
+    ORDER BY (resolve_status = 'resolved') DESC, ats_probed_at NULLS FIRST, name_key""", ("profiles",))
 def queue_probes(spark, sf):
     return reports.due_probes(Inputs(spark, sf).raw("profiles"), AS_OF).select("name_key", "resolve_status")
 
 
 @query("N12 F2", f"""SELECT name_key, careers_url FROM profiles WHERE careers_url IS NOT NULL AND ats_type IS NULL
-    AND (jsonld_checked_at IS NULL OR jsonld_checked_at < {NOW} - INTERVAL 30 DAY) ORDER BY jsonld_checked_at NULLS FIRST, name_key LIMIT 100""", ("profiles",))
+    AND (jsonld_checked_at IS NULL OR jsonld_checked_at < {NOW} - INTERVAL 30 DAY) ORDER BY jsonld_checked_at NULLS FIRST, name_key""", ("profiles",))
 def queue_discovery(spark, sf):
     return reports.due_discovery(Inputs(spark, sf).raw("profiles"), AS_OF).select("name_key", "careers_url")
 
@@ -197,7 +197,7 @@ def queue_discovery(spark, sf):
     FROM orgs o LEFT JOIN profiles p ON p.name_key = o.name_key
     WHERE o.status = 'active' AND list_contains(CASE WHEN p.sectors_computed_at IS NOT NULL THEN {d.list_of('p.profile_tags')} ELSE {d.list_of('o.sector_tags')} END, 'tech')
       AND (p.name_key IS NULL OR p.resolve_status = 'pending' OR (p.resolve_status IN ('not_found', 'error') AND p.updated_at < {NOW} - INTERVAL 30 DAY))
-    GROUP BY 1 ORDER BY branches DESC, 1 LIMIT 50""", ("orgs", "profiles"))
+    GROUP BY 1 ORDER BY branches DESC, 1""", ("orgs", "profiles"))
 def queue_research(spark, sf):
     return reports.due_research(Inputs(spark, sf).org_view(), AS_OF, retry=True).select("name_key", "name", "town", "branches")
 

@@ -62,7 +62,7 @@ def pick_entities(spark, sf):
 
 
 @query("K15", f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(text, ' Join Harbour Software today') ELSE text END AS body FROM documents)
-    SELECT doc_id, contains(concat(' ', {d.normalise_text('substring(body, 1, 30000)')}, ' '), ' harbour software ') AS named FROM t""")
+    SELECT doc_id, contains(concat(' ', {d.normalise_text('body')}, ' '), ' harbour software ') AS named FROM t""")
 def text_names_employer(spark, sf):
     t = Inputs(spark, sf).base("documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" Join Harbour Software today"))).otherwise(F.col("text")).alias("body"))
     return t.select("doc_id", names.text_names_employer(F.col("body"), F.lit("harbour software"), F.lit(None).cast("string"), F.lit(None).cast("double")).alias("named"))

@@ -141,10 +141,10 @@ def top_cities(spark, sf):
     return search.top_cities(Inputs(spark, sf).raw("postings"))
 
 
-@query("N6 C12", """SELECT o.org_id, b.org_id AS branch_id, b.town AS branch_town, b.rating AS branch_rating
-    FROM orgs o JOIN orgs b ON o.name_key = b.name_key WHERE b.status = 'active'""", ("orgs",))
+@query("N6 C12", """SELECT org_id AS branch_id, town AS branch_town, rating AS branch_rating, count(*) OVER (PARTITION BY name_key) AS branches
+    FROM orgs WHERE status = 'active'""", ("orgs",))
 def org_branches(spark, sf):
-    return search.branches(Inputs(spark, sf).raw("orgs")).select("org_id", "branch_id", "branch_town", "branch_rating")
+    return search.branches(Inputs(spark, sf).raw("orgs")).select("branch_id", "branch_town", "branch_rating", "branches")
 
 
 @query("N6", f"""WITH {VIEW} SELECT posting_id, org_name, title, city FROM opp

@@ -68,8 +68,6 @@ def role_family(title: Column, department: Column) -> Column:
     chain = None
     for family, pattern in rules.ROLE_RULES:
         test = matches(t, pattern)
-        if family == "product":
-            test = test | (matches(t, rules.PRODUCT_HEAD) & ~matches(t, rules.PRODUCT_HEAD_OTHER))
         chain = F.when(test, family) if chain is None else chain.when(test, family)
     technical = F.coalesce(matches(department, rules.TECH_DEPARTMENT), F.lit(False))
     bare = matches(t, rules.ENGINEER_WORD) & ~matches(t, rules.PHYSICAL_ENGINEER) & technical
@@ -110,7 +108,7 @@ def uk_city(locations: Column) -> Column:
 def work_mode(location: Column, text: Column) -> Column:
     """struct(mode, origin) inferred from the place, else from the description."""
     loc = F.lower(location)
-    body = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, rules.MODE_TEXT_CHARS))
+    body = F.lower(F.coalesce(text, F.lit("")))
     left_over = F.regexp_replace(loc, java(rules.REMOTE_FILLER, False), "")
     hybrid = words("hybrid")
 

@@ -15,8 +15,8 @@ def joined_words(phrase: Column, n: int | None = None, sep: str = "") -> Column:
     return F.array_join(words, sep)
 
 
-def domain_candidates(phrase: Column, limit: int = rules.MAX_DOMAINS) -> Column:
-    """Likely domains for a distinctive phrase, endings tried in order across all name forms."""
+def domain_candidates(phrase: Column, limit: int | None = None) -> Column:
+    """Likely domains for a distinctive phrase, endings tried in order across all name forms; the first ``limit``, or all."""
     n = F.size(tokens(phrase))
     first = brand(phrase)
     forms = F.array(
@@ -28,11 +28,11 @@ def domain_candidates(phrase: Column, limit: int = rules.MAX_DOMAINS) -> Column:
     usable = F.array_distinct(F.filter(F.array_compact(forms), lambda v: F.length(v).between(3, 40)))
     endings = F.array(*map(F.lit, rules.DOMAIN_ENDINGS))
     every = F.flatten(F.transform(endings, lambda t: F.transform(usable, lambda v: F.concat(v, F.lit("."), t))))
-    return F.slice(every, 1, limit)
+    return every if limit is None else F.slice(every, 1, limit)
 
 
-def slug_candidates(phrase: Column, website: Column, limit: int = rules.MAX_SLUGS) -> Column:
-    """Likely job-board slugs, the website's own label first."""
+def slug_candidates(phrase: Column, website: Column, limit: int | None = None) -> Column:
+    """Likely job-board slugs, the website's own label first; the first ``limit``, or all."""
     n = F.size(tokens(phrase))
     first = brand(phrase)
     forms = F.array(
@@ -43,7 +43,8 @@ def slug_candidates(phrase: Column, website: Column, limit: int = rules.MAX_SLUG
         F.when(n >= 2, joined_words(phrase, 2)),
     )
     ok = F.filter(F.array_compact(forms), lambda s: s.rlike("^[a-z0-9][a-z0-9-]{2,40}$"))
-    return F.slice(F.array_distinct(ok), 1, limit)
+    found = F.array_distinct(ok)
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def _trusted_label(website: Column, confidence: Column) -> Column:
@@ -70,7 +71,7 @@ def board_name_matches(board: Column, phrase: Column, website: Column, confidenc
 
 def text_names_employer(text: Column, phrase: Column, website: Column, confidence: Column) -> Column:
     """Does posting text name the employer, in full or by a distinctive, domain-backed brand?"""
-    body = normalise_text(F.substring(text, 1, rules.SIGNAL_CHARS))
+    body = normalise_text(text)
     first = brand(phrase)
     distinctive = (F.length(first) >= 5) & ~is_common_word(first)
     backed = F.coalesce(_trusted_label(website, confidence) == first, F.lit(False))

@@ -92,12 +92,13 @@ SIC_PREFIX_TAGS = (
     ("74100", ("design",)),
     ("64110", ("finance",)),
     ("6419", ("finance",)),
-    ("6430", ("finance",)),
     ("6491", ("finance",)),
     ("6492", ("finance",)),
     ("6499", ("finance",)),
     ("65", ("finance",)),
     ("66", ("finance",)),
+    ("6430", ("finance",)),
+    ("6630", ("finance",)),
     ("86", ("healthcare",)),
     ("21", ("healthcare",)),
     ("85", ("education",)),
@@ -165,8 +166,9 @@ ROLE_RULES = (
         "interaction design", "visual design", "content design",
         "design (?:lead|manager|system|ops|technologist)")),
     ("product", words(
-        "product (?:manager|owner|lead|director|operations|ops|analyst)", "head of product",
-        "chief product", "vp(?: of)? product", "group product", "product management", "apm")),
+        "product (?:manager|owner|lead|director|operations|ops|analyst)",
+        r"(?:head|director|vp|chief)(?: of)? product(?!\s+(?:marketing|sales))", "head of product", "chief product",
+        "vp(?: of)? product", "group product", "product management", "apm")),
     ("adjacent", words(
         "forward[- ]deployed", "solutions? (?:engineer|architect|consultant)", "sales engineer",
         "customer (?:engineer|success engineer)",
@@ -174,15 +176,13 @@ ROLE_RULES = (
         "specialist|architect)",
         "support engineer", "implementation (?:engineer|consultant|specialist)", "business analyst",
         "(?:project|programme|delivery) manager", "scrum master", "agile coach", "enterprise architect",
-        "developer (?:advocate|relations)")),
+        "developer (?:advocate|relations)", "solution architect")),
     ("it_support", words(
         "it (?:support|analyst|technician|manager|engineer|operations|helpdesk)",
         "end[- ]user (?:services|computing|support)", "service desk", "help ?desk", "desktop support",
-        "systems? administrator", "sysadmin", "network engineer", "infrastructure analyst")),
+        "systems? administrator", "sysadmin", "network engineer", "infrastructure analyst",
+        "end[- ]user computing")),
 )
-# "Director of product", unless what follows says marketing or sales.
-PRODUCT_HEAD = words("(?:head|director|vp|chief)(?: of)? product")
-PRODUCT_HEAD_OTHER = words("(?:head|director|vp|chief)(?: of)? product") + r"\s+(?:marketing|sales)"
 SOFTWARE_WORDS = words("developer", "software")
 ENGINEER_WORD = words("engineer")
 PHYSICAL_ENGINEER = any_of(
@@ -263,12 +263,8 @@ EMPLOYMENT_TITLE = (
     ("part_time", words("part[- ]time")),
     ("temporary", words("temporary")),
 )
-MODE_TEXT_CHARS = 6000
-LOCATION_CHARS = 300
-HASH_TEXT_CHARS = 20000
 EXCERPT_CHARS = 500
 SNIPPET_MARGIN = 90
-MAX_SKILLS = 15
 
 # --------------------------------------------------------------------------
 # pay
@@ -476,9 +472,5 @@ SPONSORSHIP_NEEDS = ("yes", "no", "unsure")
 # Limits of the page evidence rules
 # --------------------------------------------------------------------------
 FOOTER_CHARS = 1500
-PAGE_TEXT_CHARS = 20000
-SIGNAL_CHARS = 30000
-PARKED_CHARS = 50000
 EMPTY_PAGE_CHARS = 80
 ACCEPT_WEBSITE, CANDIDATE_WEBSITE, STRONG_WEBSITE, CLAIMED_WEBSITE = 0.6, 0.4, 0.8, 0.85
-MAX_DOMAINS, MAX_SLUGS, MAX_CAREER_LINKS, MAX_JOB_LINKS = 16, 5, 5, 30

@@ -130,7 +130,7 @@ def _code_point(code: Column) -> Column:
 
 
 def _entity(entity: Column) -> Column:
-    body = F.lower(F.substring(entity, 2, 12))
+    body = F.lower(F.substr(entity, F.lit(2)))
     body = F.regexp_replace(body, ";", "")
     hexed = F.regexp_extract(body, "^#x0*([0-9a-f]{1,6})$", 1)
     decimal = F.regexp_extract(body, "^#0*([0-9]{1,7})$", 1)

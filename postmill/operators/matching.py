@@ -145,7 +145,6 @@ def topics(p, j) -> list[list[tuple]]:
         (type_stated, "-", "Employment type is not one you chose", -12),
     ]
 
-    # Only the posting's own words count here; every employer is licensed already.
     needs, signal = p["needs"], j["signal"]
     sponsorship_topic = [
         (needs & (signal == "offered"), "+", "The posting says it offers visa sponsorship", 20),
@@ -163,7 +162,6 @@ def topics(p, j) -> list[list[tuple]]:
         (top >= p["min_salary"], "+", _say("Pay is within your minimum (up to ", figure), 5),
     ]
 
-    # The employer's own date counts first: an old advert just discovered is not new.
     fresh_text = F.when(j["posted_at"].isNotNull(), "Posted in the last 7 days").otherwise("Found in the last 7 days")
     fresh_topic = [(j["is_fresh"], "+", fresh_text, 3)]
     stale_topic = [
@@ -207,7 +205,6 @@ def is_hidden(p, j) -> Column:
 
 
 def score_of(total: Column, most: Column) -> Column:
-    """Fifty is neutral; a hundred is every available point."""
     return dates.clamp(dates.round_half_up(F.lit(50) + F.lit(50) * total / most), 0, 100).cast("int")
 
 

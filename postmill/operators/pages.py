@@ -25,16 +25,19 @@ def inner_text(html: Column) -> Column:
 
 def _meta(html: Column, attribute: str, name: str) -> Column:
     """content of <meta attribute="name">, whichever attribute comes first."""
-    tag = F.regexp_extract(html, rf"""(?i)<meta\b[^>]*\b{attribute}\s*=\s*["']{name}["'][^>]*>""", 0)
-    value = F.regexp_extract(tag, r"""(?i)\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1)
+    value = F.regexp_extract(_meta_tag(html, attribute, name), r"""(?i)\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1)
     return decode_entities(value)
 
 
+def _meta_tag(html: Column, attribute: str, name: str) -> Column:
+    return F.regexp_extract(html, rf"""(?i)<meta\b[^>]*\b{attribute}\s*=\s*["']{name}["'][^>]*>""", 0)
+
+
 # ---------------------------------------------------------------- page features
 def features(pages: DataFrame) -> DataFrame:
     """Add title, description, head, foot, body text and parked flag to (.., url, html)."""
     html = F.col("html")
-    h1 = F.slice(F.regexp_extract_all(html, F.lit(r"(?i)<h1\b[^>]*>([\s\S]*?)</h1>"), 1), 1, 3)
+    h1 = F.regexp_extract_all(html, F.lit(r"(?i)<h1\b[^>]*>([\s\S]*?)</h1>"), 1)
     ld = F.array_join(F.regexp_extract_all(html, F.lit(_LD), 1), "\n")
     ld_names = F.regexp_extract_all(ld, F.lit(r'"(?:legalName|name)"\s*:\s*"([^"]{2,120})"'), 1)
     body = F.regexp_replace(html, r"(?i)^[\s\S]*?<body\b[^>]*>", "")
@@ -42,18 +45,18 @@ def features(pages: DataFrame) -> DataFrame:
     out = pages.select(
         *pages.columns,
         trim(inner_text(F.regexp_extract(html, r"(?i)<title\b[^>]*>([\s\S]*?)</title>", 1))).alias("title"),
-        trim(F.when(meta_description != "", meta_description).otherwise(_meta(html, "property", "og:description"))).alias("description"),
+        trim(F.when(_meta_tag(html, "name", "description") != "", meta_description).otherwise(_meta(html, "property", "og:description"))).alias("description"),
         _meta(html, "property", "og:site_name").alias("site_name"),
         F.array_join(F.transform(h1, inner_text), " ").alias("h1"),
         F.array_join(ld_names, " ").alias("ld_names"),
         squeeze(inner_text(F.regexp_replace(body, _SILENT, ""))).alias("body_text"),
-        matches(F.substring(html, 1, rules.PARKED_CHARS), rules.PARKED_PAGE).alias("parked"),
+        matches(html, rules.PARKED_PAGE).alias("parked"),
     )
     return out.select(
         "*",
         normalise_text(F.concat_ws(" ", "title", "site_name", "h1", "ld_names")).alias("head"),
         normalise_text(F.substr("body_text", F.greatest(F.length("body_text") - rules.FOOTER_CHARS + 1, F.lit(1)))).alias("foot"),
-        normalise_text(F.substring("body_text", 1, rules.PAGE_TEXT_CHARS)).alias("page_words"),
+        normalise_text(F.col("body_text")).alias("page_words"),
     ).withColumn("parked", F.col("parked") | (F.length("body_text") < rules.EMPTY_PAGE_CHARS))
 
 
@@ -131,7 +134,7 @@ def _other_word_shown(words: Column, page: Column) -> Column:
     Common words only count when the name has no distinctive one.
     """
     idle = (*rules.FILLER_WORDS, *rules.EVERYDAY_WORDS)
-    others = F.filter(F.slice(words, 2, 1000), lambda t: (F.length(t) >= 2) & ~t.isin(*idle))
+    others = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(0))), lambda t: (F.length(t) >= 2) & ~t.isin(*idle))
     rare = F.filter(others, lambda t: ~is_common_word(t))
     pool = F.when(F.size(rare) > 0, rare).otherwise(others)
     return (F.size(pool) == 0) | F.exists(pool, lambda t: has_phrase(page, t))
@@ -141,14 +144,14 @@ def _uk_signal() -> Column:
     page = F.col("page_words")
     return (
         matches(F.col("host"), rules.UK_HOST)
-        | matches(F.substring("body_text", 1, rules.SIGNAL_CHARS), rules.UK_PAGE_SIGNAL)
+        | matches(F.col("body_text"), rules.UK_PAGE_SIGNAL)
         | ((F.length("town_words") >= 4) & has_phrase(page, F.col("town_words")))
         | ((F.length("county_words") >= 4) & has_phrase(page, F.col("county_words")))
     )
 
 
 def blocks_robots(status: Column, html: Column) -> Column:
-    return status.isin(403, 429, 503) & matches(F.substring(html, 1, 20000), rules.BOT_CHALLENGE)
+    return status.isin(403, 429, 503) & matches(html, rules.BOT_CHALLENGE)
 
 
 # ---------------------------------------------------------------- job boards
@@ -205,15 +208,16 @@ def _resolved(anchors: Column) -> Column:
     )
 
 
-def _best_links(pages: DataFrame, key: list[str], scored: Column, limit: int) -> DataFrame:
-    """Highest score per link, then the best ``limit`` per page; earlier links win ties.
+def _best_links(pages: DataFrame, key: list[str], scored: Column, limit: int | None) -> DataFrame:
+    """Highest score per link, then the best ``limit`` per page (or all); earlier links win ties.
 
     Links are scored inside the page's row and only the good ones leave it.
     """
     rows = pages.select(*key, F.inline_outer(scored)).where("link is not null")
     best = rows.groupBy(*key, "link").agg(F.max("score").alias("score"), F.min("pos").alias("pos"))
     order = Window.partitionBy(*key).orderBy(F.col("score").desc(), "pos")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    ranked = best.withColumn("rank", F.row_number().over(order))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def _scored(links: Column, score, ok) -> Column:
@@ -226,7 +230,7 @@ def _scored(links: Column, score, ok) -> Column:
     )
 
 
-def careers_links(pages: DataFrame, key: list[str], limit: int = rules.MAX_CAREER_LINKS) -> DataFrame:
+def careers_links(pages: DataFrame, key: list[str], limit: int | None = None) -> DataFrame:
     """Links that look like careers pages or job boards, same site only, best first."""
     parts = F.split(urls.bare_host(F.col("url")), r"\.")
     p = pages.select(*key, "url", "html").withColumn("parts", parts)
@@ -257,7 +261,7 @@ def careers_links(pages: DataFrame, key: list[str], limit: int = rules.MAX_CAREE
     return _best_links(p, key, _scored(with_score, lambda a: a["score"], ok), limit)
 
 
-def job_links(pages: DataFrame, key: list[str], limit: int = rules.MAX_JOB_LINKS) -> DataFrame:
+def job_links(pages: DataFrame, key: list[str], limit: int | None = None) -> DataFrame:
     """Links on the same host that look like single postings, best first."""
     p = pages.select(*key, "url", "html").withColumn("own_host", urls.bare_host(F.col("url"))).withColumn(
         "here", F.regexp_replace(urls.path(F.col("url")), "/$", "")

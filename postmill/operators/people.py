@@ -10,9 +10,6 @@ from ..functions.labels import normalise_email
 from ..functions.patterns import java
 from ..functions.text import trim
 
-MAX_CHOICES, MAX_PLACES, MAX_SKILLS = 20, 10, 30
-PLACE_CHARS, WORD_CHARS = 40, 30
-
 
 def split_list(col: Column) -> Column:
     """'python, sql ; react' to a list."""
@@ -21,12 +18,16 @@ def split_list(col: Column) -> Column:
     )
 
 
-def tidy_strings(values: Column, limit: int, chars: int) -> Column:
-    """Control characters out, whitespace squeezed, cut to length, first of each spelling kept."""
+def tidy_strings(values: Column, limit: int | None = None, chars: int | None = None) -> Column:
+    """Control characters out, whitespace squeezed, first of each spelling kept.
+
+    ``chars`` cuts each entry and ``limit`` the list; by default nothing is cut.
+    """
 
     def tidy(v: Column) -> Column:
         bare = F.regexp_replace(v, r"[\x00-\x1f]", "")
-        return F.substring(trim(F.regexp_replace(bare, java(r"\s+", False), " ")), 1, chars)
+        tight = trim(F.regexp_replace(bare, java(r"\s+", False), " "))
+        return tight if chars is None else F.substring(tight, 1, chars)
 
     clean = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), tidy), lambda v: v != "")
     lower = F.transform(clean, lambda v: F.lower(v))
@@ -34,11 +35,11 @@ def tidy_strings(values: Column, limit: int, chars: int) -> Column:
         F.transform(clean, lambda v, i: F.when(F.array_position(lower, F.lower(v)) == i + 1, v)),
         lambda v: v.isNotNull(),
     )
-    return F.slice(first, 1, limit)
+    return first if limit is None else F.slice(first, 1, limit)
 
 
 def choose(values: Column, allowed) -> Column:
-    return F.filter(tidy_strings(values, MAX_CHOICES, WORD_CHARS), lambda v: v.isin(*allowed))
+    return F.filter(tidy_strings(values), lambda v: v.isin(*allowed))
 
 
 def whole_number(col: Column, low: int, high: int) -> Column:
@@ -52,11 +53,11 @@ def sanitise_profiles(raw: DataFrame) -> DataFrame:
     return raw.select(
         "user_id",
         choose(F.col("roles"), list(rules.ROLE_LABELS)).alias("roles"),
-        tidy_strings(F.col("locations"), MAX_PLACES, PLACE_CHARS).alias("locations"),
+        tidy_strings(F.col("locations")).alias("locations"),
         choose(F.col("work_modes"), rules.WORK_MODES).alias("work_modes"),
         choose(F.col("employment_types"), rules.EMPLOYMENT_TYPES).alias("employment_types"),
         one_of("level", rules.LEVELS),
-        tidy_strings(F.col("skills"), MAX_SKILLS, WORD_CHARS).alias("skills"),
+        tidy_strings(F.col("skills")).alias("skills"),
         whole_number(F.col("years_experience"), 0, 50).alias("years_experience"),
         one_of("needs_sponsorship", rules.SPONSORSHIP_NEEDS),
         whole_number(F.col("min_salary"), 0, 1_000_000).alias("min_salary"),

@@ -67,8 +67,13 @@ def followed_new_roles(follows: DataFrame, orgs: DataFrame, view: DataFrame, as_
 
 
 # ---------------------------------------------------------------- coverage
+def without_deferred(scans: DataFrame) -> DataFrame:
+    """Scans without those that a board put off (HTTP 429): being told to wait is no failure and is not logged."""
+    return scans.where("ok or coalesce(http_status, 0) <> 429") if "http_status" in scans.columns else scans
+
+
 def latest_scan_per_employer(scans: DataFrame) -> DataFrame:
-    return scans.groupBy("name_key").agg(
+    return without_deferred(scans).groupBy("name_key").agg(
         F.max_by(F.struct("ok", "started_at", "source"), F.struct("started_at", "source")).alias("s")
     ).select("name_key", "s.*")
 
@@ -195,7 +200,7 @@ def follows_on_page(follows: DataFrame, page: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- queues
-def due_digests(users: DataFrame, as_of, limit: int | None = 100) -> DataFrame:
+def due_digests(users: DataFrame, as_of, limit: int | None = None) -> DataFrame:
     due = users.where("digest_opt_in").where(
         F.col("last_digest_at").isNull() | (F.col("last_digest_at") < dates.days_before(as_of, 6))
     )
@@ -203,7 +208,7 @@ def due_digests(users: DataFrame, as_of, limit: int | None = 100) -> DataFrame:
     return ordered.limit(limit) if limit else due
 
 
-def due_scans(profiles: DataFrame, scans: DataFrame, as_of, limit: int | None = 3000) -> DataFrame:
+def due_scans(profiles: DataFrame, scans: DataFrame, as_of, limit: int | None = None) -> DataFrame:
     """Boards to fetch next: never fetched first; a failed one rests for three days."""
     last = latest_scan_per_employer(scans).select("name_key", "ok", "started_at")
     q = profiles.where("ats_type is not null and ats_slug is not null").join(last, "name_key", "left")
@@ -216,7 +221,7 @@ def due_scans(profiles: DataFrame, scans: DataFrame, as_of, limit: int | None =
     return ordered.limit(limit) if limit else due
 
 
-def due_probes(profiles: DataFrame, as_of, limit: int | None = 200, retry_days: int = 30) -> DataFrame:
+def due_probes(profiles: DataFrame, as_of, limit: int | None = None, retry_days: int = 30) -> DataFrame:
     """Employers whose likely board addresses should be tried; resolved ones first."""
     due = profiles.where("ats_type is null").where(
         F.col("ats_probed_at").isNull() | (F.col("ats_probed_at") < dates.days_before(as_of, retry_days))
@@ -227,7 +232,7 @@ def due_probes(profiles: DataFrame, as_of, limit: int | None = 200, retry_days:
     return ordered.limit(limit) if limit else due
 
 
-def due_discovery(profiles: DataFrame, as_of, limit: int | None = 100) -> DataFrame:
+def due_discovery(profiles: DataFrame, as_of, limit: int | None = None) -> DataFrame:
     """Careers pages to look through for structured postings."""
     due = profiles.where("careers_url is not null and ats_type is null").where(
         F.col("jsonld_checked_at").isNull() | (F.col("jsonld_checked_at") < dates.days_before(as_of, 30))
@@ -236,7 +241,7 @@ def due_discovery(profiles: DataFrame, as_of, limit: int | None = 100) -> DataFr
     return ordered.limit(limit) if limit else due
 
 
-def due_research(view: DataFrame, as_of, tag: str = "tech", retry: bool = False, limit: int | None = 50) -> DataFrame:
+def due_research(view: DataFrame, as_of, tag: str = "tech", retry: bool = False, limit: int | None = None) -> DataFrame:
     """Employers with a tag that nobody has researched, those with most branches first."""
     open_ = F.col("resolve_status").isNull() | (F.col("resolve_status") == "pending")
     if retry:
@@ -247,7 +252,7 @@ def due_research(view: DataFrame, as_of, tag: str = "tech", retry: bool = False,
         F.min_by(F.struct("name", "town", "county"), "org_id").alias("o"), F.count(F.lit(1)).alias("branches")
     ).select("name_key", "o.*", "branches")
     ordered = grouped.orderBy(F.col("branches").desc(), "name_key")
-    return ordered.limit(limit) if limit else grouped
+    return ordered.limit(limit) if limit else ordered
 
 
 def register_due(log: DataFrame, as_of, days: int = 6) -> DataFrame:

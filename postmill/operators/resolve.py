@@ -75,8 +75,8 @@ def choose_website(candidates: DataFrame) -> DataFrame:
         F.when((F.col("resolve_status") == "candidate"),
                F.when(conf >= rules.CANDIDATE_WEBSITE, F.col("best.url")).otherwise(urls.origin(F.col("blocked_url"))))
         .alias("website_candidate"),
-        F.when(ok, blank_to_null(F.substring("best.title", 1, 200))).alias("site_title"),
-        F.when(ok, blank_to_null(F.substring("best.description", 1, 400))).alias("site_description"),
+        F.when(ok, blank_to_null(F.col("best.title"))).alias("site_title"),
+        F.when(ok, blank_to_null(F.col("best.description"))).alias("site_description"),
         F.array_join("best.reasons", "; ").alias("website_reasons"),
         F.when(ok, F.col("best.url")).alias("home_url"),
     )
@@ -138,7 +138,7 @@ def choose_careers(homes: DataFrame, links: DataFrame, landed: DataFrame) -> Dat
         F.min_by(F.when(usable, F.col("link")), F.when(usable, F.col("rank"))).alias("careers_url"),
         F.min_by(board, F.when(board.isNotNull(), F.col("rank"))).alias("link_board"),
     )
-    paths = F.array(*map(F.lit, rules.CAREER_PATHS[:3]))
+    paths = F.array(*map(F.lit, rules.CAREER_PATHS))
     common = home.select("name_key", "home_url", F.posexplode(paths).alias("n", "path"))
     common = common.withColumn("link", F.concat(urls.origin(F.col("home_url")), "path"))
     common = common.join(page.where("speaks"), "link").groupBy("name_key").agg(

@@ -26,9 +26,10 @@ def posting_view(postings: DataFrame, orgs: DataFrame, profiles: DataFrame, as_o
     )
     links = profiles.select("name_key", "website", "careers_url", "ats_type")
     since = F.coalesce("posted_at", "first_seen_at")
+    # One row per employer, joined once, so that a hot employer's postings are split over tasks.
+    employers = links.join(names, "name_key")
     return (
-        postings.join(links, "name_key")
-        .join(names, "name_key")
+        postings.join(employers, "name_key")
         .withColumn("age_days", dates.elapsed_days(as_of, since))
         .withColumn(
             "stale_reason",
@@ -232,10 +233,13 @@ def org_page(view: DataFrame, f: OrgFilters, postings: DataFrame, orgs: DataFram
     """
     rows = view.where(org_predicates(f).all()).orderBy("name_key", "org_id").offset((f.page - 1) * size).limit(size)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    # At most ``size`` names; counts are taken for these alone.
+    keys = F.broadcast(rows.select("name_key").distinct())
+    own = lambda df: df.join(keys, "name_key", "left_semi")
     return (
-        rows.join(org_counts(postings), "name_key", "left")
-        .join(branch_counts(orgs), "name_key", "left")
-        .join(last_good_scans(scans), "name_key", "left")
+        rows.join(org_counts(own(postings)), "name_key", "left")
+        .join(branch_counts(own(orgs)), "name_key", "left")
+        .join(last_good_scans(own(scans)), "name_key", "left")
         .withColumn("live", zero("live"))
         .withColumn("offered", zero("offered"))
         .withColumn("branches", zero("branches"))
@@ -258,19 +262,26 @@ def top_cities(postings: DataFrame, k: int = 40) -> DataFrame:
     return counts.orderBy(F.col("count").desc(), "value").limit(k)
 
 
-def org_detail(view: DataFrame, profiles: DataFrame, org_id: int) -> DataFrame:
+def org_detail(view: DataFrame, profiles: DataFrame, asked: DataFrame) -> DataFrame:
+    """Employers of the asked ids (org_id) with everything known of them."""
     more = [c for c in ("site_title", "website_candidate", "companies_house_no", "sic_codes") if c not in view.columns]
-    one = view.where(F.col("org_id") == org_id)
+    one = view.join(asked.select("org_id").distinct(), "org_id", "left_semi")
     return one.join(profiles.select("name_key", *more), "name_key", "left") if more else one
 
 
 def branches(orgs: DataFrame) -> DataFrame:
-    """Active branches of every employer: (org_id, branch columns) by shared name."""
+    """Every active branch once, with the number of active branches under its name."""
     b = orgs.where("status = 'active'").select(
         "name_key", F.col("org_id").alias("branch_id"), F.col("town").alias("branch_town"),
         F.col("rating").alias("branch_rating"),
     )
-    return orgs.select("org_id", "name_key").join(b, "name_key")
+    return b.join(branch_counts(orgs), "name_key")
+
+
+def branches_of(orgs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(org_id, branch columns) of the asked employers (org_id): all active branches under each one's name."""
+    names = orgs.join(asked.select("org_id").distinct(), "org_id", "left_semi").select("org_id", "name_key")
+    return names.join(branches(orgs), "name_key")
 
 
 def org_roles(view: DataFrame, name_key: str, limit: int = 50) -> DataFrame:

@@ -6,6 +6,8 @@ Each function takes and returns DataFrames; writing versions is the caller's las
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 
 from ..operators import company_match, lifecycle, matching, people, postings, register, reports, search, sectors
@@ -29,11 +31,12 @@ def match_companies(records: DataFrame, orgs: DataFrame, profiles: DataFrame, as
 
 def scan(payloads: DataFrame, outcomes: DataFrame, stored: DataFrame, details: dict[str, DataFrame] | None = None):
     """Landed payloads of one scan to (postings with action, scan log)."""
-    raw = read_boards(payloads)
-    for name, landed in (details or {}).items():
-        own = postings.enrich(raw.where(raw["source"] == name), boards.DETAILS[name](landed))
-        raw = raw.where(raw["source"] != name).unionByName(own)
-    merged = cut_lineage(lifecycle.merge_scan(stored, postings.normalise(raw), outcomes))
+    # Listings are screened before their details are read, so a detail record neither drops nor keeps a posting.
+    kept = postings.screen(read_boards(payloads)).where("skip is null or skip = 'no_apply_url'")
+    if details:
+        landed = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [boards.DETAILS[name](d) for name, d in details.items()])
+        kept = postings.enrich(kept, landed)
+    merged = cut_lineage(lifecycle.merge_scan(stored, postings.normalise(kept), outcomes))
     return assign_ids(merged, "posting_id", lifecycle.KEY), lifecycle.scan_log(merged, outcomes)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -50,13 +51,32 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="postmill-checkpoint-")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write the rows to the shared folder and read them back.
 
     A written table survives the loss of executors, and unlike a checkpointed RDD
-    it keeps column pruning and size statistics for the joins that follow.
+    it keeps column pruning and size statistics for the joins that follow. The rows
+    stay until the folder is emptied; ``scratch`` does so at its end.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark).rstrip('/')}/postmill-{uuid.uuid4().hex}"
+    path = f"{folder or checkpoint_folder(spark).rstrip('/')}/postmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Cut lineage inside the block with what this gives; at its end those tables are deleted.
+
+    Results that outlive the block must be written outside of it.
+    """
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield functools.partial(cut_lineage, folder=folder)
+    finally:
+        delete_folder(spark, folder)

@@ -17,7 +17,8 @@ from ..schemas import PAY, RAW_JOB, columns as schema_columns
 
 Mapper = Callable[[DataFrame], DataFrame]
 _SOURCES: dict[str, Mapper] = {}
-_ROWS_PER_PAGE = 1 << 20
+# Positions are 32-bit numbers, so no two rows of a board share an ordinal.
+_ROWS_PER_PAGE = 1 << 32
 
 
 def register_source(name: str, mapper: Mapper) -> None:
