@@ -45,8 +45,7 @@ class Inputs:
 
     def raw(self, name: str) -> DataFrame:
         df = b.frame(self.spark, self.sf_dir, name)
-        # The given table is one small file, hence one task; text work is spread over the cores.
-        return df.repartition(self.spark.sparkContext.defaultParallelism) if name == "board_rows" else df
+        return b.spread(df) if name == "board_rows" else df
 
     def base(self, name: str) -> DataFrame:
         return b.base(self.spark, self.sf_dir, name)

@@ -473,4 +473,14 @@ SPONSORSHIP_NEEDS = ("yes", "no", "unsure")
 # --------------------------------------------------------------------------
 FOOTER_CHARS = 1500
 EMPTY_PAGE_CHARS = 80
+
+# --------------------------------------------------------------------------
+# Wording of notes on a profile
+# --------------------------------------------------------------------------
+CLAIM_REASON = "official website claim on Wikidata"
+BLOCKED_NOTE = "domain matches the name but the site blocks automated access, so it could not be verified"
+CANDIDATE_NOTE = "low-confidence candidate: "
+NO_WEBSITE_NOTE = "no verified website found"
+NO_CAREERS_NOTE = "no careers page found"
+UNSURE_CAREERS_NOTE = "website match is not high-confidence"
 ACCEPT_WEBSITE, CANDIDATE_WEBSITE, STRONG_WEBSITE, CLAIMED_WEBSITE = 0.6, 0.4, 0.8, 0.85

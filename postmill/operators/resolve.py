@@ -46,7 +46,7 @@ def choose_website(candidates: DataFrame) -> DataFrame:
     c = candidates.withColumn("blocked", blocks_robots(F.col("status"), F.col("html")))
     c = c.withColumn("readable", ~F.col("blocked") & (F.col("status") < 400)).withColumn("own_name", own_name)
     confidence = F.when(F.col("claimed"), F.greatest("confidence", F.lit(rules.CLAIMED_WEBSITE))).otherwise(F.col("confidence"))
-    why = F.when(F.col("claimed"), F.concat(F.array(F.lit("official website claim")), F.col("reasons"))).otherwise(F.col("reasons"))
+    why = F.when(F.col("claimed"), F.concat(F.array(F.lit(rules.CLAIM_REASON)), F.col("reasons"))).otherwise(F.col("reasons"))
     c = c.withColumn("confidence", confidence).withColumn("reasons", why)
     strong = F.col("confidence") >= rules.STRONG_WEBSITE
     order = F.struct(
@@ -72,6 +72,9 @@ def choose_website(candidates: DataFrame) -> DataFrame:
         F.when(ok, urls.origin(F.col("best.url"))).alias("website"),
         F.when(ok, conf).alias("website_confidence"),
         F.when(ok, F.when(F.col("best.claimed"), "wikidata").otherwise("domain_guess")).alias("website_source"),
+        F.when(F.col("resolve_status") == "candidate", F.when(conf >= rules.CANDIDATE_WEBSITE, conf)).alias("candidate_confidence"),
+        F.when(F.col("resolve_status") == "candidate", F.when(conf >= rules.CANDIDATE_WEBSITE, F.when(F.col("best.claimed"), "wikidata").otherwise("domain_guess")))
+        .alias("candidate_source"),
         F.when((F.col("resolve_status") == "candidate"),
                F.when(conf >= rules.CANDIDATE_WEBSITE, F.col("best.url")).otherwise(urls.origin(F.col("blocked_url"))))
         .alias("website_candidate"),
@@ -227,14 +230,16 @@ def assemble_profiles(websites: DataFrame, careers: DataFrame, entities: DataFra
     website_note = (
         F.when(ok, note("inferred", F.col("website_source"), as_of, F.col("website_confidence"), F.col("website_reasons")))
         .when(F.col("resolve_status") == "candidate",
-              note("unconfirmed", "domain_guess", as_of, None, F.concat(F.lit("low-confidence candidate: "), F.coalesce("website_reasons", F.lit("")))))
-        .otherwise(note("unconfirmed", "domain_guess", as_of, None, "no verified website found"))
+              F.when(F.col("candidate_source").isNull(), note("unconfirmed", "domain_guess", as_of, None, rules.BLOCKED_NOTE)).otherwise(
+                  note("unconfirmed", F.col("candidate_source"), as_of, F.col("candidate_confidence"),
+                       F.concat(F.lit(rules.CANDIDATE_NOTE), F.coalesce("website_reasons", F.lit(""))))))
+        .otherwise(note("unconfirmed", "domain_guess", as_of, None, rules.NO_WEBSITE_NOTE))
     )
     careers_note = F.when(
         F.col("careers_url").isNotNull(),
         note(F.when(trusted, "verified").otherwise("inferred"), "link on organisation website", as_of, None,
-             F.when(~trusted, "website match is not high-confidence")),
-    ).otherwise(note("unconfirmed", "link on organisation website", as_of, None, "no careers page found"))
+             F.when(~trusted, rules.UNSURE_CAREERS_NOTE)),
+    ).otherwise(note("unconfirmed", "link on organisation website", as_of, None, rules.NO_CAREERS_NOTE))
     provenance = F.map_from_entries(F.array_compact(F.array(
         entry("wikidata", F.col("wikidata_id").isNotNull(), note("inferred", "wikidata", as_of, None, F.col("wikidata_id"))),
         entry("size_band", F.col("size_band").isNotNull(), note("inferred", "wikidata", as_of)),

@@ -118,3 +118,27 @@ def test_name_guesses(evaluate):
     cases = [("Acme Rockets Ltd", "acme rockets", None, None), ("Smart", "smart", None, None), ("Atlantis", "atlantis technology", "https://www.atlantis.com", 0.9),
              ("Atlantis", "atlantis technology", "https://www.atlantis.com", 0.7)]
     assert evaluate(names.board_name_matches, cases, "b string, p string, w string, c double") == [True, False, True, False]
+
+
+def test_product_titles_look_ahead(evaluate):
+    from postmill.functions import classify
+
+    rows = [("Director of Product and Director of Product Marketing", None), ("Director of Product Marketing", None), ("Director of Product", None), ("Solution Architect", None), ("End-user computing lead", None)]
+    assert evaluate(classify.role_family, rows, "t string, d string") == ["product", None, "product", "adjacent", "it_support"]
+
+
+def test_deeply_nested_postings_fail_loudly(spark):
+    import pytest
+
+    from postmill.sources import jsonld
+
+    def page(levels):
+        body = '{"@type":"JobPosting","title":"x"}'
+        for _ in range(levels):
+            body = '{"@graph":[' + body + "]}"
+        return f'<script type="application/ld+json">{body}</script>'
+
+    deep = lambda n: spark.createDataFrame([("a", page(n))], "name_key string, html string")
+    assert jsonld.job_postings(deep(5)).count() == 1
+    with pytest.raises(Exception, match="nested deeper"):
+        jsonld.job_postings(deep(40)).collect()

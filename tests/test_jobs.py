@@ -258,3 +258,83 @@ def test_daily_plans_end_to_end(spark):
     marks = spark.createDataFrame([], "user_id long, posting_id long, mark string")
     best = daily.rank_everyone(raw, lifecycle.stored(merged), orgs, profiles, marks, day(2)).collect()
     assert [(r.user_id, r.posting_id, r.rank) for r in best] == [(7, got["a1"].posting_id, 1)] and best[0].score > 90
+
+
+def test_a_hot_board_and_a_hot_employer_are_split(spark):
+    """No window runs on the board's layout, and employers are joined to postings once."""
+    snap = postings.normalise(raw_job(spark, [(1, 0, "1", "Data Engineer", "a")]))
+    merged = lifecycle.merge_scan(lifecycle.empty_postings(spark), snap, outcome(spark, 1))
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [row_number" in line]
+    assert windows and all("external_id" in line.split("windowspecdefinition")[1] for line in windows)
+
+
+def test_a_board_that_asks_to_wait_is_not_logged(spark):
+    from postmill.operators import reports
+
+    rows = [("a", "lever", 1, False, True, day(1), 429), ("b", "lever", 1, False, True, day(1), 503), ("c", "lever", 1, True, True, day(1), 200)]
+    out = spark.createDataFrame(rows, "name_key string, source string, scan_id long, ok boolean, complete boolean, scanned_at timestamp, http_status int")
+    snap = postings.normalise(raw_job(spark, []))
+    log = lifecycle.scan_log(lifecycle.merge_scan(lifecycle.empty_postings(spark), snap, out), out)
+    assert {r.name_key for r in log.collect()} == {"b", "c"}
+    last = reports.latest_scan_per_employer(out.withColumnRenamed("scanned_at", "started_at"))
+    assert {r.name_key: r.ok for r in last.collect()} == {"b": False, "c": True}
+
+
+def test_details_do_not_change_what_the_listing_decided(spark):
+    """Screen, enrich, normalise: a detail that moves a posting abroad neither drops it nor renames its family."""
+    raw = raw_job(spark, [(1, 0, "1", "Data Engineer", None), (1, 1, "2", "Head Chef", None), (1, 2, "3", "Developer", "own text")])
+    kept = postings.screen(raw).where("skip is null or skip = 'no_apply_url'")
+    details = spark.createDataFrame(
+        [("acme", "lever", "1", ["Berlin, Germany"], "uses python"), ("acme", "lever", "2", ["London"], "x"), ("acme", "lever", "3", ["Paris"], "y")],
+        "name_key string, source string, external_id string, locations array<string>, description_text string")
+    out = {r.external_id: r for r in postings.normalise(postings.enrich(kept, details)).collect()}
+    assert set(out) == {"1", "3"}
+    assert out["1"].location_raw == "Berlin, Germany" and out["1"].role_family == "data" and out["1"].skills == ["Python"]
+    assert out["3"].location_raw == "London" and out["3"].excerpt == "own text"
+
+
+def test_later_parts_of_long_texts_count(spark):
+    filler = "word " * 8000
+    a, b = (postings.normalise(raw_job(spark, [(1, 0, "1", "Developer", filler + end)])).first() for end in ("This is a hybrid role.", "This is a remote role."))
+    assert a.work_mode == "hybrid" and a.content_hash != b.content_hash
+
+
+def test_notes_on_websites(spark):
+    from postmill.functions import rules
+    from postmill.operators import resolve
+
+    wall = "<title>Just a moment...</title> checking your browser cf-chl captcha Attention Required Access denied"
+    rows = [
+        ("good", "Brightwater Foods Ltd", 0, "https://brightwaterfoods.com/", 200, "", 0.9, ["name in the title"], "t" * 300, "d" * 500, False),
+        ("weak", "Brightwater Foods Ltd", 0, "https://other.com/", 200, "", 0.45, ["a word"], "t", "d", False),
+        ("shut", "Brightwater Foods Ltd", 0, "https://brightwaterfoods.com/", 403, wall, 0.0, [], "", "", False),
+        ("none", "Brightwater Foods Ltd", 0, "https://other.com/", 200, "", 0.1, [], "", "", False),
+        ("said", "Brightwater Foods Ltd", 0, "https://bwf.org/", 200, "", 0.2, ["a word"], "t", "d", True),
+    ]
+    c = spark.createDataFrame(rows, "name_key string, org_name string, position int, url string, status int, html string, confidence double, reasons array<string>, title string, description string, claimed boolean")
+    sites = resolve.choose_website(c)
+    empty = sites.limit(0)
+    careers = empty.select("name_key", *[F.lit(None).cast("string").alias(x) for x in ("careers_url", "ats_type", "ats_slug")])
+    entities = empty.select("name_key", *[F.lit(None).cast("string").alias(x) for x in ("entity_id", "size_band", "industry")])
+    companies = empty.select("name_key", F.lit("").alias("number"), F.lit("").alias("status"), F.lit(None).cast("date").alias("incorporated_on"), F.array(F.lit("")).alias("sic_codes"))
+    got = {r.name_key: r for r in resolve.assemble_profiles(sites, careers, entities, companies, day(0)).collect()}
+    note = {k: (r.provenance["website"].status, r.provenance["website"].source, r.provenance["website"].confidence, r.provenance["website"].detail) for k, r in got.items()}
+    assert note["good"] == ("inferred", "domain_guess", 0.9, "name in the title") and len(got["good"].site_title) == 300
+    assert note["weak"] == ("unconfirmed", "domain_guess", 0.45, rules.CANDIDATE_NOTE + "a word")
+    assert note["shut"] == ("unconfirmed", "domain_guess", None, rules.BLOCKED_NOTE)
+    assert note["none"] == ("unconfirmed", "domain_guess", None, rules.NO_WEBSITE_NOTE)
+    assert note["said"] == ("inferred", "wikidata", 0.85, rules.CLAIM_REASON + "; a word")
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path):
+    import os
+
+    from postmill.session import checkpoint_folder, scratch
+
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with scratch(spark) as keep:
+        assert keep(spark.range(5)).count() == 5
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before
