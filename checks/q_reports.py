@@ -228,6 +228,21 @@ def abuse_counts(spark, sf):
     return reports.request_counts(Inputs(spark, sf).raw("requests"), "2024-01-30 12:00:00")
 
 
+_LIMITS = {"email": 2, "email_client": 2, "client": 4, "day": 10_000}
+
+
+@query("D15 N3", f"""WITH r AS (SELECT email, {_BUCKET} AS client, created_at > TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 1 HOUR AS recent,
+      created_at > TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 1 DAY AS late FROM requests),
+    p AS (SELECT DISTINCT email, client FROM r)
+    SELECT *, CASE WHEN today >= {_LIMITS['day']} THEN 'daily_cap' WHEN by_email >= {_LIMITS['email']} OR by_email_client >= {_LIMITS['email_client']} OR by_client >= {_LIMITS['client']}
+      THEN 'dropped' ELSE 'allowed' END AS decision FROM (
+    SELECT p.email, p.client, (SELECT count(*) FILTER (recent) FROM r WHERE r.email = p.email) AS by_email,
+      (SELECT count(*) FILTER (recent) FROM r WHERE r.email = p.email AND r.client = p.client) AS by_email_client,
+      (SELECT count(*) FILTER (recent) FROM r WHERE r.client = p.client) AS by_client, (SELECT count(*) FILTER (late) FROM r) AS today FROM p) x""", ("requests",))
+def abuse_decisions(spark, sf):
+    return reports.request_decisions(Inputs(spark, sf).raw("requests"), "2024-01-30 12:00:00", _LIMITS)
+
+
 # ---------------------------------------------------------------- retention
 @query("L10 C6", f"""WITH {MARKED} SELECT posting_id, status = 'expired' AND expired_at < {NOW} - INTERVAL 60 DAY
     AND posting_id NOT IN (SELECT posting_id FROM marks WHERE mark IN ('saved', 'applied')) AS removed FROM postings""", ("postings", "mark_log"))

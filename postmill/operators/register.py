@@ -74,8 +74,8 @@ def _first_seen(first_rows: dict[str, Column]) -> Column:
 
 
 def require_rows(df: DataFrame, minimum: int, what: str) -> DataFrame:
-    """Refuse a suspiciously small input. Counts at most ``minimum`` rows."""
-    if df.limit(minimum).count() < minimum:
+    """Refuse a suspiciously small input; the caller names the number."""
+    if df.count() < minimum:
         raise ValueError(f"refusing to import: fewer than {minimum} {what}")
     return df
 
@@ -85,8 +85,10 @@ def already_imported(log: DataFrame, published_on) -> bool:
     return not log.where(F.col("published_on") == F.lit(published_on)).limit(1).isEmpty()
 
 
-def new_publications(files: DataFrame, log: DataFrame) -> DataFrame:
-    """Register files whose publication date is not in the import log yet."""
+def new_publications(files: DataFrame, log: DataFrame, force=()) -> DataFrame:
+    """Register files whose publication date is not in the import log yet, and those of the forced dates."""
+    if force:
+        log = log.where(~F.col("published_on").isin(*force))
     return files.join(log.select("published_on"), "published_on", "left_anti")
 
 

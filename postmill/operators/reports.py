@@ -328,6 +328,24 @@ def _request_counts(requests: DataFrame, recent: Column) -> DataFrame:
     )
 
 
+def request_decisions(requests: DataFrame, as_of, limits: dict[str, int]) -> DataFrame:
+    """For every (email, client) that ever asked: the four counters and what they decide about one more request.
+
+    limits: ``email``, ``email_client`` and ``client`` per hour, ``day`` for all requests
+    of one day together. A reached day limit decides first (``daily_cap``), then any
+    of the hourly ones (``dropped``); else the request is ``allowed``.
+    """
+    asked = requests.withColumn("client", labels.address_bucket(F.col("ip")))
+    recent = F.count_if(F.col("created_at") > dates.hours_before(as_of, 1))
+    pairs = asked.groupBy("email", "client").agg(recent.alias("by_email_client"))
+    emails = pairs.groupBy("email").agg(F.sum("by_email_client").alias("by_email"))
+    clients = pairs.groupBy("client").agg(F.sum("by_email_client").alias("by_client"))
+    today = asked.where(F.col("created_at") > dates.days_before(as_of, 1)).agg(F.count(F.lit(1))).scalar()
+    counted = pairs.join(emails, "email").join(clients, "client").select("email", "client", "by_email", "by_email_client", "by_client", today.alias("today"))
+    over = (F.col("by_email") >= limits["email"]) | (F.col("by_email_client") >= limits["email_client"]) | (F.col("by_client") >= limits["client"])
+    return counted.withColumn("decision", F.when(F.col("today") >= limits["day"], "daily_cap").when(over, "dropped").otherwise("allowed"))
+
+
 def requests_over_limit(counts: DataFrame, limits: dict[str, int]) -> DataFrame:
     """Keys at or above the limit of their kind."""
     return counts.where(F.col("recent") >= lookup(limits, F.col("kind")))

@@ -17,15 +17,17 @@ from ..sources import boards  # noqa: F401  (registers the vendors)
 from ..sources.registry import read_boards
 
 
-def import_register(rows: DataFrame, stored: DataFrame, import_id: int, as_of, minimum: int = 1000) -> DataFrame:
+def import_register(rows: DataFrame, stored: DataFrame, import_id: int, as_of, minimum: int | None = None) -> DataFrame:
     """Register rows and stored employers to merged, numbered employers with their action."""
-    publication = register.require_rows(register.collapse(rows), minimum, "employers")
+    publication = register.collapse(rows)
+    if minimum is not None:
+        publication = register.require_rows(publication, minimum, "employers")
     return register.with_ids(register.merge(stored, publication, import_id, as_of))
 
 
-def match_companies(records: DataFrame, orgs: DataFrame, profiles: DataFrame, as_of, minimum: int = 1_000_000) -> DataFrame:
+def match_companies(records: DataFrame, orgs: DataFrame, profiles: DataFrame, as_of, minimum: int | None = None) -> DataFrame:
     """Parsed bulk records to profiles with company columns."""
-    rows = register.require_rows(records, minimum, "company rows")
+    rows = records if minimum is None else register.require_rows(records, minimum, "company rows")
     return company_match.apply_matches(profiles, company_match.match(company_match.employer_refs(orgs, profiles), rows), as_of)
 
 
