@@ -7,7 +7,7 @@ together are learnt as pairs.
 
 The machine is fitted on a bounded sample of labelled rows (SAMPLE, the first by
 hash of their id), by full-batch Adam on the places that tell the classes apart
-best (FEATURES of them). Scoring reads every whole text.
+best (FEATURES of them, counted by Spark; only these of each row reach the driver). Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -70,19 +70,23 @@ def _features(index: np.ndarray, w: bw.Words) -> tuple[np.ndarray, np.ndarray]:
     return bw.distinct_per_text(text[known], found[known])
 
 
-def fit(text: np.ndarray, place: np.ndarray, label: np.ndarray, factors: int = FACTORS, features: int = FEATURES, steps: int = 120,
-        rate: float = 0.05, weight_decay: float = 5e-5, vector_decay: float = 2e-3, seed: int = 1) -> Machine:
-    """From distinct (text, place) pairs and the texts' labels (0 or 1)."""
+def telling(both: np.ndarray, in1: np.ndarray, n: float, n1: float, features: int) -> np.ndarray:
+    """The places, ascending, whose share of toxic texts (in1 of both) is furthest from chance; rare ones are left out."""
+    expected = both * n1 / n
+    contrast = np.where(both >= 3, np.abs(in1 - expected) / np.sqrt(expected * (1 - n1 / n) + 0.5), 0)
+    first = np.lexsort((np.arange(len(both)), -contrast))[:features]
+    return np.sort(first[contrast[first] > 3.0])
+
+
+def fit(text: np.ndarray, place: np.ndarray, label: np.ndarray, factors: int = FACTORS, features: int = FEATURES, chosen: np.ndarray | None = None,
+        steps: int = 120, rate: float = 0.05, weight_decay: float = 5e-5, vector_decay: float = 2e-3, seed: int = 1) -> Machine:
+    """From distinct (text, place) pairs and the texts' labels (0 or 1); only `chosen` places count, the telling ones by default."""
     n, n1 = len(label), float(label.sum())
     index = np.full(1 << BITS, -1, np.int32)
     if not n or n1 in (0.0, float(n)):
         return Machine(index, -30.0 if not n1 else 30.0, np.zeros(1), np.zeros((1, factors)))
-    in1 = np.bincount(place, label[text], 1 << BITS)
-    both = np.bincount(place, minlength=1 << BITS)
-    expected = both * n1 / n
-    contrast = np.where(both >= 3, np.abs(in1 - expected) / np.sqrt(expected * (1 - n1 / n) + 0.5), 0)
-    chosen = np.lexsort((np.arange(1 << BITS), -contrast))[:features]
-    chosen = np.sort(chosen[contrast[chosen] > 3.0])
+    if chosen is None:
+        chosen = telling(np.bincount(place, minlength=1 << BITS), np.bincount(place, label[text], 1 << BITS), n, n1, features)
     index[chosen] = np.arange(len(chosen))
     feature = index[place]
     text, feature = text[feature >= 0], feature[feature >= 0]
@@ -121,21 +125,38 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # Ids only are ordered; the texts of the sample come by a join with at most `sample` ids.
     first = known.join(own.select("id").distinct(), "id", "left_semi").orderBy(key_hash(F.col("id")), "id").limit(sample)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each place: texts that have it, and toxic ones among them."""
         for batch in batches:
+            label_of = batch.column(1).to_numpy()
             for lo, hi, w in bw.words(batch.column(2), bw.ALPHA, bw.lower_latin):
                 t, p = bw.distinct_per_text(*places(w))
+                found, code = np.unique(p, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(code)), pa.array(np.bincount(code, label_of[lo:hi][t]).astype(np.int64))], names=["place", "n", "n1"])
+
+    chosen_rows = own.join(F.broadcast(first), "id").select("id", "label", "text")
+    totals = first.agg(F.count("*"), F.sum("label")).first()
+    stats = chosen_rows.mapInArrow(counts, "place bigint, n bigint, n1 bigint").groupBy("place").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).filter("n >= 3").toArrow()
+    both, in1 = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    at = stats.column("place").to_numpy()
+    both[at], in1[at] = stats.column("n").to_numpy(), stats.column("n1").to_numpy()
+    chosen = telling(both, in1, totals[0], totals[1], FEATURES) if totals[0] else np.zeros(0, np.int64)
+    index = np.full(1 << BITS, -1, np.int32)
+    index[chosen] = np.arange(len(chosen))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, w in bw.words(batch.column(2), bw.ALPHA, bw.lower_latin):
+                t, f = _features(index, w)
                 ends = np.searchsorted(t, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(p.astype(np.int32)))], names=["id", "label", "places"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(f.astype(np.int32)))], names=["id", "label", "features"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = own.join(F.broadcast(first), "id").select("id", "label", "text").mapInArrow(run, f"id {kind}, label int, places array<int>")
-    got = rows.toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
-    lists = got.column("places").combine_chunks()
-    label_of = got.column("label").to_numpy().astype(float)
-    sizes = np.array([len(x) for x in lists], np.int64) if len(label_of) else np.zeros(0, np.int64)
-    flat = lists.flatten().to_numpy() if len(label_of) else np.zeros(0, np.int32)
-    return fit(np.repeat(np.arange(len(label_of)), sizes), flat.astype(np.int64), label_of)
+    got = chosen_rows.mapInArrow(gather, f"id {kind}, label int, features array<int>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
+    lists, label_of = got.column("features").combine_chunks(), got.column("label").to_numpy().astype(float)
+    if not len(label_of):
+        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), label_of)
+    return fit(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), chosen[lists.flatten().to_numpy()], label_of, chosen=chosen)
 
 
 def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
