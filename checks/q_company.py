@@ -52,7 +52,7 @@ _FRAMES = ("company_rows", "orgs", "profiles")
 def _matches(spark, sf):
     i = Inputs(spark, sf)
     profiles = i.profiles()
-    return profiles, company_match.match(company_match.employer_refs(i.orgs(), profiles), i.company_rows())
+    return profiles, company_match.match(company_match.employer_refs(i.orgs(), profiles), company_match.employer_towns(i.orgs()), i.company_rows())
 
 
 @query("K1 C8 C9 D8 D9 H4 H5 H6", f"""WITH {MATCHED} SELECT name_key, matched_by, name, number, town, status,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, text
 from ..functions.dates import instant, uk_date
+from ..session import cut_lineage
 
 ROW = ["name", "number", "town", "status", "incorporated_on", "sic_codes"]
 
@@ -34,16 +35,23 @@ def read_records(raw: DataFrame, sic_columns: list[str]) -> DataFrame:
 
 
 def employer_refs(orgs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """One row per active employer name: first name, towns, company number if held."""
-    grouped = orgs.where("status = 'active'").groupBy("name_key").agg(
-        F.min_by("name", "org_id").alias("name"), F.collect_set("town").alias("towns")
-    )
+    """One row per active employer name: first name, company number if held."""
+    grouped = orgs.where("status = 'active'").groupBy("name_key").agg(F.min_by("name", "org_id").alias("name"))
     held = profiles.select("name_key", F.col("companies_house_no").alias("number"))
     return grouped.join(held, "name_key", "left")
 
 
-def match(refs: DataFrame, companies: DataFrame) -> DataFrame:
-    """Rows (name_key, matched_by, company columns) for every safe match."""
+def employer_towns(orgs: DataFrame) -> DataFrame:
+    """Distinct (name_key, town) of active employers."""
+    return orgs.where("status = 'active'").select("name_key", "town").distinct()
+
+
+def match(refs: DataFrame, towns: DataFrame, companies: DataFrame) -> DataFrame:
+    """Rows (name_key, matched_by, company columns) for every safe match.
+
+    Companies are cleaned once, cut down to phrases that an employer has, reduced to
+    one row per (phrase, town, full name), and written; all counts come from that table.
+    """
     company = F.struct(*ROW)
     held = refs.where("number is not null").select("name_key", "number")
     numbers = held.select("number").distinct()
@@ -51,28 +59,27 @@ def match(refs: DataFrame, companies: DataFrame) -> DataFrame:
         companies.groupBy("number").agg(F.max(company).alias("c")), "number"
     ).select("name_key", F.lit("number").alias("matched_by"), "c")
 
+    wanted = refs.where("number is null").select(
+        "name_key",
+        text.core_phrase(F.col("name")).alias("phrase"),
+        text.normalise_text(F.col("name")).alias("full_name"),
+    ).where("phrase <> ''")
     active = companies.where("status = 'Active'").join(numbers, "number", "left_anti").select(
         text.core_phrase(F.col("name")).alias("phrase"),
         text.normalise_text(F.col("town")).alias("town_norm"),
         text.normalise_text(F.col("name")).alias("full_name"),
         company.alias("c"),
-    ).where("phrase <> ''")
+    ).join(wanted.select("phrase").distinct(), "phrase", "left_semi")
 
     n = F.count(F.lit(1)).alias("n")
     one = F.min("c").alias("c")
-    named = active.groupBy("phrase", "town_norm", "full_name").agg(n, one)
+    named = cut_lineage(active.groupBy("phrase", "town_norm", "full_name").agg(n, one))
     in_town = named.groupBy("phrase", "town_norm").agg(F.sum("n").alias("n"), F.min("c").alias("c"))
     in_name = named.groupBy("phrase", "full_name").agg(F.sum("n").alias("n"), F.min("c").alias("c"))
     anywhere = in_town.groupBy("phrase").agg(F.sum("n").alias("n_all"))
 
-    wanted = refs.where("number is null").select(
-        "name_key",
-        text.core_phrase(F.col("name")).alias("phrase"),
-        text.normalise_text(F.col("name")).alias("full_name"),
-        F.array_distinct(F.transform("towns", text.normalise_text)).alias("towns"),
-    ).where("phrase <> ''")
-    by_town = wanted.select("name_key", "phrase", "full_name", F.explode_outer("towns").alias("town_norm"))
-    by_town = by_town.withColumn("town_norm", F.when(F.col("town_norm") != "", F.col("town_norm")))
+    own_towns = towns.select("name_key", text.normalise_text(F.col("town")).alias("town_norm")).where("town_norm <> ''").distinct()
+    by_town = wanted.join(own_towns, "name_key")
 
     local = by_town.join(in_town, ["phrase", "town_norm"]).groupBy("name_key").agg(
         F.sum("n").alias("n_local"), F.min("c").alias("local")

@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, extract, labels, rules
 from ..functions.text import lookup
+from ..session import cut_lineage
 
 CANDIDATES = 400
 PAGE = 20
 SHORTEST_LOOK_BACK, LONGEST_LOOK_BACK = 24, 192
 _ANY_ROLE = "*"
-# A broadcast list of candidates never has more rows than this.
-_BROADCAST_ROWS = 400_000
 
 
 # ---------------------------------------------------------------- score
@@ -281,10 +280,9 @@ def rank_for_people(
     )
     sets = who.select("since_hours", "shelf").distinct()
     deepest = counts.agg(F.max("dismissals")).first()[0] or 0
-    shelves = _shelves(view, sets, as_of, look_back, CANDIDATES + deepest)
+    # Computed and written once; first rows, deeper rows and reasons are read from there.
+    shelves = cut_lineage(_shelves(view, sets, as_of, look_back, CANDIDATES + deepest))
     first_rows = shelves.where(F.col("place") <= CANDIDATES)
-    if sets.count() * CANDIDATES <= _BROADCAST_ROWS:
-        first_rows = F.broadcast(first_rows)
     key = ["since_hours", "shelf"]
     found = who.where("dismissals = 0").join(first_rows, key)
     if deepest:

@@ -28,7 +28,7 @@ def import_register(rows: DataFrame, stored: DataFrame, import_id: int, as_of, m
 def match_companies(records: DataFrame, orgs: DataFrame, profiles: DataFrame, as_of, minimum: int | None = None) -> DataFrame:
     """Parsed bulk records to profiles with company columns."""
     rows = records if minimum is None else register.require_rows(records, minimum, "company rows")
-    return company_match.apply_matches(profiles, company_match.match(company_match.employer_refs(orgs, profiles), rows), as_of)
+    return company_match.apply_matches(profiles, company_match.match(company_match.employer_refs(orgs, profiles), company_match.employer_towns(orgs), rows), as_of)
 
 
 def scan(payloads: DataFrame, outcomes: DataFrame, stored: DataFrame, details: dict[str, DataFrame] | None = None):

@@ -151,7 +151,7 @@ def test_company_match_decisions_with_hot_phrase(spark):
             ("Far Away Limited", "5", "Bath"), ("Anything", "77", "x")] + [(f"Hot Phrase {s}", f"h{i}", "Leeds") for i, s in enumerate(["Ltd", "Limited"] * 500)]
     companies = spark.createDataFrame([(n, k, t, "Active", None, []) for n, k, t in rows],
                                       "name string, number string, town string, status string, incorporated_on date, sic_codes array<string>")
-    m = company_match.match(orgs, companies)
+    m = company_match.match(orgs.drop("towns"), orgs.select("name_key", F.explode("towns").alias("town")), companies)
     got = {r.name_key: (r.matched_by, r.number) for r in m.collect()}
     assert got == {"one": ("name_and_town", "1"), "two": ("name_and_town", "3"), "far": ("exact_name", "5"), "num": ("number", "77")}
     plan = m._jdf.queryExecution().optimizedPlan().toString()
