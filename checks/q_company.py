@@ -30,6 +30,24 @@ def company_records(spark, sf):
     return c.select("name", "number", "town", "status", F.date_format("incorporated_on", "yyyy-MM-dd").alias("incorporated_on"), joined("sic_codes"))
 
 
+@query("A3 A4", f"""WITH {PARSED} SELECT name, number, town, status, strftime(born, '%Y-%m-%d') AS incorporated_on,
+       array_to_string(sic, ',') AS sic_codes FROM companies""", ("company_rows",))
+def company_records_from_csv(spark, sf):
+    """The bulk rows written as the published file is laid out, and read back."""
+    import uuid
+
+    from postmill.session import checkpoint_folder
+    from postmill.sources import files
+
+    path = f"{checkpoint_folder(spark).rstrip('/')}/companies-{uuid.uuid4().hex}"
+    heads = {"CompanyName": "name", " CompanyNumber": "number", "RegAddress.PostTown": "town", "CompanyStatus": "status",
+             "IncorporationDate": "incorporated", "SICCode.SicText_1": "sic_1", " SICCode.SicText_2": "sic_2"}
+    rows = Inputs(spark, sf).raw("company_rows").select(*[F.col(c).alias(h) for h, c in heads.items()])
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    c = company_match.read_records(files.read_companies(spark, path), ["sic_1", "sic_2", "sic_3", "sic_4"])
+    return c.select("name", "number", "town", "status", F.date_format("incorporated_on", "yyyy-MM-dd").alias("incorporated_on"), joined("sic_codes"))
+
+
 # The decision table over candidate pairs; the engine never forms them.
 MATCHED = f"""{PARSED},
   refs AS (SELECT o.name_key, arg_min(o.name, o.org_id) AS name, list(DISTINCT o.town) AS towns, max(p.companies_house_no) AS held

@@ -7,7 +7,7 @@ from checks import registered
 from checks.compare import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
-FAST = [n for n in registered.QUERIES if not n.startswith(("source_", "posting_lifecycle", "scan_log", "stream_lifecycle", "digest_", "match_", "company_match", "register_ids"))]
+FAST = [n for n in registered.QUERIES if not n.startswith(("source_", "posting_lifecycle", "scan_log", "scan_totals_first", "stream_l", "digest_", "match_", "company_match", "register_ids"))]
 
 
 @pytest.fixture(scope="module")
