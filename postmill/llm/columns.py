@@ -25,9 +25,20 @@ def crc_of_id(key: str) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, keep=cut_lineage) -> DataFrame:
     """Rows that are few for the number of shuffle partitions, written to the shared folder and read again.
 
     A few tasks per core write them, so that small tables do not become thousands of files.
     """
-    return cut_lineage(df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism))
+    return keep(df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism))
+
+
+def released(df: DataFrame) -> DataFrame:
+    """The frame itself, after asking the driver's JVM to collect garbage.
+
+    Spark deletes the shuffle files of finished jobs when the driver's objects for them
+    are collected, which a small heap may put off until long after. Called once a
+    written table has replaced a large shuffle.
+    """
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df

@@ -73,6 +73,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs), keep=["doc_id"])
 
 
-@query()
+@query(suffix_dedup.SQL)
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -11,9 +11,11 @@ out first, by content:
 3. Equal segments form a class. Of a class all but the first place are repeated
    as a whole. If an anchor has one class, that is all there is to it: its strings
    differ from one another.
-4. Anchors with several classes meet in tasks, whole anchors together, many to one
-   string. Its suffix array brings equal strings of different classes together,
-   and all but the first place of each are marked. An anchor with more than MOST
+4. Anchors with several classes meet in tasks, whole anchors together. Around the
+   anchor each class is trimmed to what it shares with any other at most, which
+   leaves nothing of chance meetings. What remains, many anchors to one string, is
+   suffix-sorted; that brings equal strings of different classes together, and all
+   but the first place of each are marked. An anchor with more than MOST
    classes is dealt out once more, by its strings themselves.
 
 The suffix array is built by grouping: suffixes are grouped by their longest Lyndon
@@ -30,17 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.session import cut_lineage
+from postmill.session import cut_lineage, scratch
 
 from . import bytewords as bw
+from .columns import released
 
 LENGTH = 100
 GRAM = 16
-MOST = 1024
+MOST = 100_000
 #: Bytes sorted at a time; an anchor's classes stay together.
 JOINT = 1 << 16
 
@@ -131,11 +133,12 @@ def suffix_array(text: list[int]) -> list[int]:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, start, n, hash): segments of n strings from `start` on (within the text), and their anchor's hash."""
+    """(text, start, at, n, hash): segments of n strings from `start` on (within the text), their anchor's place in them and its hash."""
     none = np.zeros(0, np.int64)
+    nothing = none, none, none, none, none.view(np.uint64)
     n = len(data) - length + 1
     if n <= 0:
-        return none, none, none, none.view(np.uint64)
+        return nothing
     at = np.arange(len(data) - gram + 1)
     h = bw.range_hash(bw.BYTE_VALUE[data], at, at + gram)
     bits = np.uint64(max(20, len(data).bit_length()))
@@ -152,17 +155,21 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     text_of = np.cumsum(edge)[:-1]
     inside = np.flatnonzero(text_of[:n] == text_of[length - 1 : length - 1 + n])
     if not len(inside):
-        return none, none, none, none.view(np.uint64)
+        return nothing
     anchor = (least[inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     new = np.ones(len(inside), bool)
     new[1:] = anchor[1:] != anchor[:-1]
     first = np.flatnonzero(new)
     text = text_of[inside[first]].astype(np.int64)
-    return text, inside[first] - offsets[text], np.diff(np.append(first, len(inside))), h[anchor[first]]
+    return text, inside[first] - offsets[text], anchor[first] - inside[first], np.diff(np.append(first, len(inside))), h[anchor[first]]
 
 
 def _segments(df: DataFrame, length: int, gram: int, places: bool) -> DataFrame:
-    """(id, text) -> (hash, id, start, n), or only (hash, seg) with the segment's own hash."""
+    """(id, text) -> hash of each segment's anchor; with `places` (hash, seg, id, place).
+
+    seg is the segment's own hash; place holds start, at and n, the latter two below
+    length + 1, and so is in the order of starts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,38 +177,76 @@ def _segments(df: DataFrame, length: int, gram: int, places: bool) -> DataFrame:
             for lo, hi in bw.pieces(offsets):
                 part = data[offsets[lo] : offsets[hi]]
                 begin = offsets[lo : hi + 1] - offsets[lo]
-                text, start, n, h = anchors(part, begin, length, gram)
+                text, start, at, n, h = anchors(part, begin, length, gram)
                 if not len(text):
                     continue
+                cols, names = [pa.array(h.view(np.int64))], ["hash"]
                 if places:
-                    cols, names = [batch.column(0).take(pa.array(text + lo)), pa.array(start), pa.array(n)], ["hash", "id", "start", "n"]
-                else:
                     s = begin[text] + start
-                    cols, names = [pa.array(bw.range_hash(bw.BYTE_VALUE[part], s, s + n + length - 1).view(np.int64))], ["hash", "seg"]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *cols], names=names)
+                    seg = bw.range_hash(bw.BYTE_VALUE[part], s, s + n + length - 1).view(np.int64)
+                    cols += [pa.array(seg), batch.column(0).take(pa.array(text + lo)), pa.array((start * (length + 1) + at) * (length + 1) + n)]
+                    names += ["seg", "id", "place"]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return df.mapInArrow(run, "hash bigint, id bigint, start bigint, n bigint" if places else "hash bigint, seg bigint")
+    return df.mapInArrow(run, "hash bigint, seg bigint, id bigint, place bigint" if places else "hash bigint")
 
 
 def _cut_out(df: DataFrame, length: int) -> DataFrame:
-    """(id, text, cuts) -> (hash, seg, id, start, n, bytes)."""
+    """(id, text, cuts) -> (hash, id, start, at, bytes, c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = bw.texts_of(batch.column(1))
             rows = []
-            for i, cuts in enumerate(batch.column(2).to_pylist()):
-                text = data[offsets[i] : offsets[i + 1]].tobytes()
-                for c in cuts:
-                    part = text[c["start"] : c["start"] + c["n"] + length - 1]
+            for i in range(batch.num_rows):
+                text, id_, cuts = data[offsets[i] : offsets[i + 1]].tobytes(), batch.column(0)[i].as_py(), batch.column(2)[i].values
+                for h, place, c in zip(*(cuts.field(x).to_pylist() for x in ("hash", "place", "c"))):
+                    place, n = divmod(place, length + 1)
+                    start, at = divmod(place, length + 1)
+                    part = text[start : start + n + length - 1]
                     # Rows that share an id are pooled; a cut that another of them asked for may not fit here.
-                    if len(part) == c["n"] + length - 1:
-                        rows.append((c["hash"], xxhash.xxh3_128_digest(part), batch.column(0)[i].as_py(), c["start"], c["n"], part))
+                    if len(part) == n + length - 1:
+                        rows.append((h, id_, start, at, part, c))
             if rows:
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["hash", "seg", "id", "start", "n", "bytes"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["hash", "id", "start", "at", "bytes", "c"])
+
+    return df.mapInArrow(run, "hash bigint, id bigint, start bigint, at bigint, bytes binary, c bigint")
+
+
+def _agree(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
+
+
+def _most_shared(sides: list[bytes]) -> list[int]:
+    """For each, the longest beginning that another has too."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    out = [0] * len(sides)
+    for x, y in zip(order, order[1:]):
+        n = _agree(sides[x], sides[y])
+        out[x], out[y] = max(out[x], n), max(out[y], n)
+    return out
 
-    return df.mapInArrow(run, "hash bigint, seg binary, id bigint, start bigint, n bigint, bytes binary")
+
+def trimmed(parts: list[tuple[int, int, int, bytes]], length: int) -> tuple[list[tuple[int, int, bytes]], list[tuple[int, int, int]]]:
+    """Of one anchor's (id, start, at, bytes): distinct (id, start, bytes) that may hold shared strings, and (id, start, n) of what equals an earlier one."""
+    right = _most_shared([b[at:] for _, _, at, b in parts])
+    left = _most_shared([b[:at][::-1] for _, _, at, b in parts])
+    first: dict[bytes, tuple[int, int]] = {}
+    copies = []
+    for (i, s, at, b), r, l in sorted(zip(parts, right, left), key=lambda x: (x[0][0], x[0][1] + x[0][2] - x[2])):
+        if r + l >= length:
+            b, s = b[at - l : at + r], s + at - l
+            if b in first:
+                if first[b] != (i, s):
+                    copies.append((i, s, len(b) - length + 1))
+            else:
+                first[b] = (i, s)
+    return [(i, s, b) for b, (i, s) in first.items()], copies
 
 
 def repeated_in(parts: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
@@ -241,54 +286,79 @@ def repeated_in(parts: list[tuple[int, int, bytes]], length: int) -> list[tuple[
 
 
 def _sorted_classes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by hash; whole hashes are put together to strings of about JOINT bytes."""
-    held, size, last = [], 0, None
-
-    def emit():
-        rows = repeated_in(held, length)
+    """Rows come sorted by hash; what is left of whole hashes is put together to strings of about JOINT bytes."""
+    held: list[tuple[int, int, bytes]] = []
+    own: list[tuple[int, int, int, bytes]] = []
+    done: list[tuple[int, int, int]] = []
+    last = None
+
+    def close() -> None:
+        rest, copies = trimmed(own, length)
+        own.clear()
+        done.extend(copies)
+        if len(rest) > 1:  # the strings of one segment differ from one another
+            held.extend(rest)
+
+    def emit() -> Iterator[pa.RecordBatch]:
+        rows = done + (repeated_in(held, length) if held else [])
+        held.clear()
+        done.clear()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["id", "start", "n"])
 
     for batch in batches:
-        for h, i, s, b in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            if h != last and size > JOINT:
-                yield from emit()
-                held, size = [], 0
-            held.append((i, s, b))
-            size += len(b)
-            last = h
-    if held:
-        yield from emit()
+        for row in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            if row[0] != last:
+                close()
+                if sum(len(b) for _, _, b in held) > JOINT or len(done) > 10_000:
+                    yield from emit()
+                last = row[0]
+            own.append(row[1:])
+    close()
+    yield from emit()
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, start, n): the `length`-byte strings that start at start, .., start + n - 1 also start at an earlier place."""
+    """(id, runs): per key the runs (start, n) of strings that also start at an earlier place.
+
+    The result is a written table; the tables of the steps before it are deleted.
+    """
     own = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    often = _segments(own, length, gram, False).groupBy("hash").agg(F.count("*").alias("c"), F.min("seg").alias("x"), F.max("seg").alias("y")).filter("c > 1")
-    often = cut_lineage(often.select("hash", (F.col("x") != F.col("y")).alias("several")))
-    met = cut_lineage(_segments(own, length, gram, True).join(often, "hash"))
-    here = F.struct("id", "start")
-
-    one = met.filter("NOT several")
-    firsts = one.groupBy("hash").agg(F.min(here).alias("first"))
-    copies = one.join(firsts, "hash").filter(here != F.col("first")).select("id", "start", "n")
-
-    cuts = met.filter("several").groupBy("id").agg(F.collect_list(F.struct("hash", "start", "n")).alias("cuts"))
-    cut = cut_lineage(_cut_out(own.join(cuts, "id"), length))
-    classes = cut_lineage(cut.groupBy("hash", "seg").agg(F.min(here).alias("first"), F.first("bytes").alias("bytes")))
-    places = cut.join(classes.select("hash", "seg", "first"), ["hash", "seg"])
-    same = places.filter(here != F.col("first")).select("id", "start", "n")
-
-    sizes = classes.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1")
-    rest = classes.join(sizes, "hash").select("hash", F.col("first.id").alias("id"), F.col("first.start").alias("start"), "bytes", "c")
-    few = rest.filter(F.col("c") <= MOST).select("hash", "id", "start", "bytes")
+    with scratch(docs.sparkSession) as keep:
+        runs = cut_lineage(_repeats(own, length, gram, keep).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs")))
+    return released(runs)
+
+
+def _repeats(own: DataFrame, length: int, gram: int, keep) -> DataFrame:
+    """(id, start, n): the strings that start at start, .., start + n - 1 also start at an earlier place."""
+    base = length + 1
+
+    # Segments whose anchor comes more than once, and their classes.
+    often = keep(_segments(own, length, gram, False).groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1").select("hash"))
+    released(often)
+    met = keep(_segments(own, length, gram, True).join(often, "hash"))
+    released(met)
+    here = F.struct("id", "place")
+    classes = keep(met.groupBy("hash", "seg").agg(F.min(here).alias("first")))
+    released(classes)
+    copies = met.join(classes, ["hash", "seg"]).filter(here != F.col("first"))
+    copies = keep(copies.select("id", F.floor(F.col("place") / (base * base)).alias("start"), (F.col("place") % base).alias("n")))
+    released(copies)
+
+    # Strings that classes of one anchor share.
+    several = classes.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1")
+    cuts = classes.join(several, "hash").select(F.col("first.id").alias("id"), F.struct("hash", F.col("first.place").alias("place"), "c").alias("cut"))
+    cuts = cuts.groupBy("id").agg(F.collect_list("cut").alias("cuts"))
+    cut = keep(_cut_out(own.join(cuts, "id"), length))
+    released(cut)
+    few = cut.filter(F.col("c") <= MOST).select("hash", "id", "start", "at", "bytes")
     across = few.repartition("hash").sortWithinPartitions("hash").mapInArrow(lambda b: _sorted_classes(b, length), "id bigint, start bigint, n bigint")
     at = F.explode(F.sequence(F.lit(1), F.length("bytes") - length + 1))
-    many = rest.filter(F.col("c") > MOST).select("hash", "id", "start", "bytes", at.alias("p")).select("hash", "id", (F.col("start") + F.col("p") - 1).alias("start"), F.sha2(F.expr(f"substring(bytes, p, {length})"), 256).alias("s"))
-    many = cut_lineage(many)
-    earliest = many.groupBy("hash", "s").agg(F.min(here).alias("first"), F.count("*").alias("c")).filter("c > 1")
-    apart = many.join(earliest, ["hash", "s"]).filter(here != F.col("first")).select("id", "start", F.lit(1).cast("long").alias("n"))
-    return copies.union(same).union(across).union(apart)
+    many = cut.filter(F.col("c") > MOST).select("hash", "id", "start", "bytes", at.alias("p")).select("hash", "id", (F.col("start") + F.col("p") - 1).alias("start"), F.sha2(F.expr(f"substring(bytes, p, {length})"), 256).alias("s"))
+    there = F.struct("id", "start")
+    earliest = many.groupBy("hash", "s").agg(F.min(there).alias("first"), F.count("*").alias("c")).filter("c > 1")
+    apart = many.join(earliest, ["hash", "s"]).filter(there != F.col("first")).select("id", "start", F.lit(1).cast("long").alias("n"))
+    return copies.union(across).union(apart)
 
 
 def _keep(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -324,7 +394,25 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     as it reaches, from all. Texts shorter than `length` bytes are kept. An empty table
     stays empty. Keys are whole numbers.
     """
-    runs = repeats(docs, key, text, length, gram).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    runs = repeats(docs, key, text, length, gram)
     own = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     joined = own.join(runs.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("id", "text", "runs")
     return joined.mapInArrow(lambda b: _keep(b, length), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumnRenamed("id", key)
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5(array_slice(h, 2 * p + 1, 2 * p + 200)) AS s FROM (SELECT doc_id, h, unnest(range(greatest(0, len(h) // 2 - 99))) AS p FROM d)),
+dup AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+cut AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true) AS fresh FROM dup),
+isle AS (SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM cut),
+span AS (SELECT doc_id, g, min(p) AS a, max(p) + 100 AS b FROM isle GROUP BY ALL),
+piece AS (
+  SELECT s.doc_id, coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0) AS x, a AS y FROM span s
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 0), len(any_value(h)) // 2 FROM d LEFT JOIN span s ON s.doc_id = d.doc_id GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS k FROM piece JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
