@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.session import cut_lineage
+from postmill.session import cut_lineage, scratch
 
 from . import bytewords as bw
 from .columns import without, written
@@ -37,7 +37,7 @@ from .graph import components
 
 HALVES = 8
 ROWS = 2
-BLOCK = 384
+BLOCK = 256
 
 _SEEDS = bw.mix64(np.arange(1, 2 * HALVES * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[:, None]
 _ODD = bw.mix64(_SEEDS + np.uint64(7)) | np.uint64(1)
@@ -157,17 +157,22 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int =
     with nothing, has no component and is kept. Rows with equal keys are judged each
     by its own text. An empty table stays empty. Keys are whole numbers.
     """
-    sketches = cut_lineage(_sketches(df, key, text, shingle))
+    with scratch(df.sparkSession) as keep:
+        return cut_lineage(_group(df, key, text, shingle, percent, keep))
+
+
+def _group(df: DataFrame, key: str, text: str, shingle: int, percent: int, keep) -> DataFrame:
+    sketches = keep(_sketches(df, key, text, shingle))
     usable = sketches.filter("n > 0 AND id IS NOT NULL")
-    reps = cut_lineage(usable.groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")))
+    reps = keep(usable.groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")))
 
     def common(side: str) -> DataFrame:
         each = reps.select("id", F.explode(side).alias(side))
         return each.join(each.groupBy(side).agg(F.count("*").alias("c")).filter("c > 1").select(side), side)
 
-    cells = written(common("a").join(common("b"), "id").select("id", "a", F.xxhash64("a", "b").alias("cell")))
+    cells = written(common("a").join(common("b"), "id").select("id", "a", F.xxhash64("a", "b").alias("cell")), keep)
     sizes = cells.groupBy("cell").agg(F.count("*").alias("c")).filter("c > 1")
-    met = written(cells.join(sizes, "cell"))
+    met = written(cells.join(sizes, "cell"), keep)
     weight = met.groupBy("id").agg(F.sum("c").alias("weight"))
     ranked = met.join(weight, "id")
     hubs = ranked.groupBy("cell").agg((-F.max(F.struct("weight", -F.col("id")))["col2"]).alias("hub"))
@@ -177,24 +182,24 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int =
     wanted = met.select("id").distinct()
     texts = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     # A representative's set: of rows with its key, the one whose digest is the representative's.
-    sets = cut_lineage(_full_sets(texts.join(wanted, "id", "left_semi"), shingle).join(reps.select("id", "n", "b"), "id").filter(F.size("set") == F.col("n")).dropDuplicates(["id", "n"]))
+    sets = keep(_full_sets(texts.join(wanted, "id", "left_semi"), shingle).join(reps.select("id", "n", "b"), "id").filter(F.size("set") == F.col("n")).dropDuplicates(["id", "n"]))
     one, two = sets.select(F.col("id").alias("u"), F.col("n").alias("n1"), F.col("set").alias("s1")), sets.select(F.col("id").alias("v"), F.col("n").alias("n2"), F.col("set").alias("s2"))
     sized = sets.select("id", "n")
     pairs = pairs.join(sized.select(F.col("id").alias("u"), F.col("n").alias("m1")), "u").join(sized.select(F.col("id").alias("v"), F.col("n").alias("m2")), "v")
     pairs = pairs.filter(100 * F.least("m1", "m2") >= percent * F.greatest("m1", "m2")).select("u", "v")
     inter = F.size(F.array_intersect("s1", "s2"))
-    links = written(pairs.join(one, "u").join(two, "v").withColumn("inter", inter).filter(_linked(F.col("inter"), F.col("n1"), F.col("n2"), percent)).select("u", "v"))
+    links = written(pairs.join(one, "u").join(two, "v").withColumn("inter", inter).filter(_linked(F.col("inter"), F.col("n1"), F.col("n2"), percent)).select("u", "v"), keep)
 
-    first = written(components(links))
+    first = written(components(links, keep), keep)
     labelled = spokes.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_cells = labelled.filter("id <> hub").groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("cell")
-    rest = written(labelled.join(open_cells, "cell", "left_semi").select("a", "id", "component").distinct())
+    rest = written(labelled.join(open_cells, "cell", "left_semi").select("a", "id", "component").distinct(), keep)
     blocks = rest.join(rest.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "a")
     blocks = blocks.withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = blocks.select("a", "id", "component", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
     more = blocks.join(sets, "id").groupBy("a", "p", "q").applyInArrow(lambda t: _compare_block(t, percent), "u bigint, v bigint")
     linked = links.union(more)
-    found = components(linked)
+    found = components(linked, keep)
 
     classes = reps.select("sig", F.col("id").alias("rep")).join(found, F.col("rep") == F.col("id"), "left").select("sig", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("id", "n", "sig").join(classes, "sig", "left")

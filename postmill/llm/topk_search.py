@@ -183,8 +183,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = cut_lineage(_index(least.withColumn("n", F.lit(0)).select("id", "values")))
     small = asked.select("dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
     split = cut_lineage(_split_queries(small))
-    blocks = max(1, split.agg(F.max("q_block")).first()[0] or 0)
-    cells = index.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(PARTS)).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(1), F.lit(blocks))))
+    blocks = max(1, split.count())
+    split = split.withColumn("q_block", F.pmod(F.xxhash64("q_ids"), F.lit(blocks)).cast("int"))
+    cells = index.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(PARTS)).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     wanted = split.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     met = cells.join(wanted, ["part", "q_block", "dim"]).select("dim", "ids", "matrix", "q_ids", "q_matrix")
     best = met.mapInArrow(lambda batches: _search(batches, k), "query_id bigint, vec_id bigint, score bigint")
@@ -193,7 +194,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 
 def _split_queries(asked: DataFrame) -> DataFrame:
-    """Query blocks of at most QUERY_BLOCK rows, numbered from 1."""
+    """Query blocks of at most QUERY_BLOCK rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,8 +204,7 @@ def _split_queries(asked: DataFrame) -> DataFrame:
                     hi = lo + 8 * QUERY_BLOCK
                     yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[lo:hi]], pa.binary()), pa.array([matrix[lo * dim : hi * dim]], pa.binary())], names=["dim", "q_ids", "q_matrix"])
 
-    # One row per QUERY_BLOCK queries; numbering them is small.
-    return asked.mapInArrow(run, "dim int, q_ids binary, q_matrix binary").withColumn("q_block", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.xxhash64("q_ids"))))
+    return asked.mapInArrow(run, "dim int, q_ids binary, q_matrix binary")
 
 
 SQL = """
