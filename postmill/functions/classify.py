@@ -63,10 +63,10 @@ def site_sector_tags(text: Column) -> Column:
 
 
 # ---------------------------------------------------------------- roles
-def role_family(title: Column, department: Column) -> Column:
+def role_family(title: Column, department: Column, table=rules.ROLE_RULES) -> Column:
     t = clean(title)
     chain = None
-    for family, pattern in rules.ROLE_RULES:
+    for family, pattern in table:
         test = matches(t, pattern)
         chain = F.when(test, family) if chain is None else chain.when(test, family)
     technical = F.coalesce(matches(department, rules.TECH_DEPARTMENT), F.lit(False))
@@ -74,8 +74,8 @@ def role_family(title: Column, department: Column) -> Column:
     return chain.when(matches(t, rules.SOFTWARE_WORDS) | bare, "software")
 
 
-def seniority(title: Column) -> Column:
-    return first_rule(title, rules.SENIORITY_RULES)
+def seniority(title: Column, table=rules.SENIORITY_RULES) -> Column:
+    return first_rule(title, table)
 
 
 # ---------------------------------------------------------------- places
@@ -128,14 +128,14 @@ def work_mode(location: Column, text: Column) -> Column:
     )
 
 
-def employment_type(raw: Column) -> Column:
+def employment_type(raw: Column, table=rules.EMPLOYMENT_PREFIXES) -> Column:
     """Contract type from a board's own field."""
     squashed = F.regexp_replace(F.lower(raw), java(r"\s|_|-", False), "")
-    return first_rule(squashed, [(t, "^" + p) for t, p in rules.EMPLOYMENT_PREFIXES])
+    return first_rule(squashed, [(t, "^" + p) for t, p in table])
 
 
-def employment_type_from_title(title: Column) -> Column:
-    return first_rule(title, rules.EMPLOYMENT_TITLE)
+def employment_type_from_title(title: Column, table=rules.EMPLOYMENT_TITLE) -> Column:
+    return first_rule(title, table)
 
 
 def size_band(headcount: Column) -> Column:
@@ -173,9 +173,9 @@ def has_specific_sic(codes: Column) -> Column:
     return F.coalesce(F.exists(codes, specific), F.lit(False))
 
 
-def sic_evidence(codes: Column) -> Column:
+def sic_evidence(codes: Column, table=rules.SIC_PREFIX_TAGS) -> Column:
     """Ordered evidence structs for a company's codes; the longest prefix rule decides each."""
-    longest_first = sorted(rules.SIC_PREFIX_TAGS, key=lambda r: -len(r[0]))
+    longest_first = sorted(table, key=lambda r: -len(r[0]))
 
     def tags(code: Column) -> Column:
         c = _padded(code)

@@ -255,11 +255,12 @@ def rank_for_people(
     look_back: bool = False,
     min_score: int | None = None,
     top: int | None = None,
+    candidates: int = CANDIDATES,
 ) -> DataFrame:
     """Scored candidates of every person: user_id, posting_id, score, reasons, hidden, rank.
 
-    A person's candidates are the newest 400 live postings in their roles that
-    they have not dismissed. People with the same roles (and look-back) share one
+    A person's candidates are the newest ``candidates`` (400) live postings in their
+    roles that they have not dismissed; that number is part of what a ranking means. People with the same roles (and look-back) share one
     list, of which there are at most 512, so candidates are computed per list and
     handed out; work per person does not depend on the number of postings.
     Someone who dismissed d postings gets the newest 400 + d of their list before
@@ -281,16 +282,16 @@ def rank_for_people(
     sets = who.select("since_hours", "shelf").distinct()
     deepest = counts.agg(F.max("dismissals")).first()[0] or 0
     # Computed and written once; first rows, deeper rows and reasons are read from there.
-    shelves = cut_lineage(_shelves(view, sets, as_of, look_back, CANDIDATES + deepest))
-    first_rows = shelves.where(F.col("place") <= CANDIDATES)
+    shelves = cut_lineage(_shelves(view, sets, as_of, look_back, candidates + deepest))
+    first_rows = shelves.where(F.col("place") <= candidates)
     key = ["since_hours", "shelf"]
     found = who.where("dismissals = 0").join(first_rows, key)
     if deepest:
         # The few with dismissals take a deeper slice, then lose what they dismissed.
-        deeper = who.where("dismissals > 0").join(shelves, key).where(F.col("place") <= CANDIDATES + F.col("dismissals"))
+        deeper = who.where("dismissals > 0").join(shelves, key).where(F.col("place") <= candidates + F.col("dismissals"))
         left = deeper.join(dismissed, ["user_id", "posting_id"], "left_anti")
         order = Window.partitionBy("user_id").orderBy("place")
-        left = left.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= CANDIDATES).drop("_n")
+        left = left.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= candidates).drop("_n")
         found = found.unionByName(left)
 
     # Score first, then carry only ids and the score through the sort; the
@@ -330,10 +331,10 @@ def page(ranked: DataFrame, number: int = 1, size: int = PAGE) -> DataFrame:
     return ranked.where(F.col("rank").between((number - 1) * size + 1, number * size))
 
 
-def person_summary(ranked: DataFrame) -> DataFrame:
+def person_summary(ranked: DataFrame, candidates: int = CANDIDATES) -> DataFrame:
     """Per person: listed, hidden, and whether the candidate limit was reached."""
     return ranked.groupBy("user_id").agg(
         F.count_if(~F.col("hidden")).alias("total"),
         F.count_if("hidden").alias("hidden_count"),
-        (F.count(F.lit(1)) >= CANDIDATES).alias("capped"),
+        (F.count(F.lit(1)) >= candidates).alias("capped"),
     )

@@ -142,3 +142,20 @@ def test_deeply_nested_postings_fail_loudly(spark):
     assert jsonld.job_postings(deep(5)).count() == 1
     with pytest.raises(Exception, match="nested deeper"):
         jsonld.job_postings(deep(40)).collect()
+
+
+def test_rule_tables_are_arguments(spark):
+    from postmill.functions import classify, extract
+    from postmill.functions.patterns import words
+
+    df = spark.createDataFrame([("Head Gardener", "we grow roses and ferns")], "t string, body string")
+    from pyspark.sql import functions as F
+
+    table = (("Roses", words("roses")), ("Ferns", words("ferns")), ("Moss", words("moss")))
+    got = df.select(
+        classify.role_family(F.col("t"), F.lit(None).cast("string"), (("garden", words("gardener")),)).alias("family"),
+        classify.seniority(F.col("t"), (("top", words("head")),)).alias("level"),
+        extract.skills(extract.skill_hits(F.col("body"), table), table=table).alias("skills"),
+        extract.skills(extract.skill_hits(F.col("body"), table), 1, table).alias("one"),
+    ).first()
+    assert (got.family, got.level, got.skills, got.one) == ("garden", "top", ["Roses", "Ferns"], ["Roses"])
