@@ -22,6 +22,15 @@ def _has(lst: str, x: str) -> str:
     return f"list_contains({lst}, {x})"
 
 
+def _say(key: str, *values: str) -> str:
+    """One of the fixed wordings as SQL."""
+    parts = rules.MATCH_WORDING[key].split("{}")
+    texts = [q(parts[0])]
+    for value, after in zip(values, parts[1:]):
+        texts += [value, q(after)]
+    return f"concat({', '.join(texts)})"
+
+
 def _topics() -> list:
     """(condition, text, points) per topic, over a row with person p_* and posting columns."""
     role = d.lookup(rules.ROLE_LABELS, "role_family")
@@ -34,33 +43,33 @@ def _topics() -> list:
     mode = d.lookup(rules.MODE_NAME, "work_mode")
     needs = "coalesce(needs_sponsorship IN ('yes', 'unsure'), false)"
     top = "(CASE WHEN salary_min IS NOT NULL AND salary_currency = 'GBP' THEN salary_max END)"
-    fig = f"format('£{{:,}} a year)', CAST({top} AS BIGINT))"
+    fig = f"format('£{{:,}}', CAST({top} AS BIGINT))"
     return [
-        [("len(p_roles) > 0 AND list_contains(p_roles, role_family)", f"concat('Role type: ', {role}, ', one of the types you chose')", "35"),
-         ("len(p_roles) > 0", f"concat('Role type is ', {role}, ', which is not one you chose')", "-15")],
-        [(f"len(p_skills) > 0 AND len(j_skills) > 0 AND len({hit}) > 0", f"concat('Mentions ', len({hit}), ' of your skills: ', array_to_string(list_slice({hit}, 1, 4), ', '))",
+        [("len(p_roles) > 0 AND list_contains(p_roles, role_family)", _say("role_chosen", role), "35"),
+         ("len(p_roles) > 0", _say("role_other", role), "-15")],
+        [(f"len(p_skills) > 0 AND len(j_skills) > 0 AND len({hit}) > 0", _say("skills_shared", f"len({hit})", f"array_to_string(list_slice({hit}, 1, 4), ', ')"),
           f"least(25, CAST(floor(len({hit}) / least(len(j_skills), 6) * 25 + 0.5) AS INTEGER))"),
-         ("len(p_skills) > 0 AND len(j_skills) > 0", "'None of your listed skills appear in the posting'", "0")],
-        [("level IS NOT NULL AND seniority IS NULL", "'The posting does not state a level'", "3"), (f"{step} = 0", f"concat('Level: ', {lvl}, ', matching yours')", "15"),
-         (f"abs({step}) = 1", f"concat('Level: ', {lvl}, ', one step from yours')", "5"), (f"{step} > 1", f"concat('Level: ', {lvl}, ', well above yours')", "-15"),
-         (f"{step} < -1", f"concat('Level: ', {lvl}, ', well below yours')", "-8")],
-        [("j_years > p_years + 2", "concat('Asks for ', j_years, '+ years of experience; you listed ', p_years)", "-8"),
-         ("j_years <= p_years", "concat('Asks for ', j_years, '+ years of experience, within your ', p_years)", "5")],
-        [(f"len(p_places) > 0 AND {placed}", f"concat('Location: ', {shown}, ', one of your places')", "15"),
-         ("len(p_places) > 0 AND work_mode IN ('remote', 'flexible') AND list_contains(p_modes, 'remote')", "'Can be done remotely, and you are open to remote work'", "10"),
-         ("len(p_places) > 0", f"concat('Location (', {shown}, ') is not one of your places')", "-20")],
-        [("len(p_modes) > 0 AND work_mode IS NOT NULL AND (list_contains(p_modes, work_mode) OR work_mode = 'flexible')", f"concat('Working pattern: ', {mode}, ', which suits you')", "5"),
-         ("len(p_modes) > 0 AND work_mode IS NOT NULL", f"concat('Working pattern is ', {mode}, ', not one you chose')", "-10")],
-        [("len(p_types) > 0 AND employment_type IS NOT NULL AND list_contains(p_types, employment_type)", "'Employment type is one you chose'", "5"),
-         ("len(p_types) > 0 AND employment_type IS NOT NULL", "'Employment type is not one you chose'", "-12")],
-        [(f"{needs} AND sponsorship_signal = 'offered'", "'The posting says it offers visa sponsorship'", "20"),
-         (f"{needs} AND sponsorship_signal = 'not_offered'", "'The posting says it does not offer visa sponsorship'", "-40"),
-         (f"{needs} AND sponsorship_signal = 'unclear'", "'The posting has conflicting wording about sponsorship'", "0"),
-         (f"{needs} AND sponsorship_signal = 'right_to_work'", "'The posting asks for UK right to work, which can rule out sponsored applicants'", "-10"),
-         (needs, "'The posting does not mention sponsorship (the employer is a licensed sponsor)'", "0")],
-        [(f"{top} < min_salary", f"concat('Pay tops out below your minimum (', {fig})", "-15"), (f"{top} >= min_salary", f"concat('Pay is within your minimum (up to ', {fig})", "5")],
-        [(f"epoch_us({NOW}) - epoch_us(coalesce(posted_at, first_seen_at)) <= 7 * 86400000000", "CASE WHEN posted_at IS NOT NULL THEN 'Posted in the last 7 days' ELSE 'Found in the last 7 days' END", "3")],
-        [("stale_reason IS NOT NULL", "concat('Possibly stale: ', lower(stale_reason))", "-5")],
+         ("len(p_skills) > 0 AND len(j_skills) > 0", _say("skills_none"), "0")],
+        [("level IS NOT NULL AND seniority IS NULL", _say("level_silent"), "3"), (f"{step} = 0", _say("level_same", lvl), "15"),
+         (f"abs({step}) = 1", _say("level_near", lvl), "5"), (f"{step} > 1", _say("level_above", lvl), "-15"),
+         (f"{step} < -1", _say("level_below", lvl), "-8")],
+        [("j_years > p_years + 2", _say("years_short", "j_years", "p_years"), "-8"),
+         ("j_years <= p_years", _say("years_met", "j_years", "p_years"), "5")],
+        [(f"len(p_places) > 0 AND {placed}", _say("place_yours", shown), "15"),
+         ("len(p_places) > 0 AND work_mode IN ('remote', 'flexible') AND list_contains(p_modes, 'remote')", _say("place_remote"), "10"),
+         ("len(p_places) > 0", _say("place_other", shown), "-20")],
+        [("len(p_modes) > 0 AND work_mode IS NOT NULL AND (list_contains(p_modes, work_mode) OR work_mode = 'flexible')", _say("mode_suits", mode), "5"),
+         ("len(p_modes) > 0 AND work_mode IS NOT NULL", _say("mode_other", mode), "-10")],
+        [("len(p_types) > 0 AND employment_type IS NOT NULL AND list_contains(p_types, employment_type)", _say("type_chosen"), "5"),
+         ("len(p_types) > 0 AND employment_type IS NOT NULL", _say("type_other"), "-12")],
+        [(f"{needs} AND sponsorship_signal = 'offered'", _say("sponsor_offered"), "20"),
+         (f"{needs} AND sponsorship_signal = 'not_offered'", _say("sponsor_refused"), "-40"),
+         (f"{needs} AND sponsorship_signal = 'unclear'", _say("sponsor_unclear"), "0"),
+         (f"{needs} AND sponsorship_signal = 'right_to_work'", _say("sponsor_right"), "-10"),
+         (needs, _say("sponsor_silent"), "0")],
+        [(f"{top} < min_salary", _say("pay_below", fig), "-15"), (f"{top} >= min_salary", _say("pay_within", fig), "5")],
+        [(f"epoch_us({NOW}) - epoch_us(coalesce(posted_at, first_seen_at)) <= 7 * 86400000000", f"CASE WHEN posted_at IS NOT NULL THEN {_say('fresh_posted')} ELSE {_say('fresh_found')} END", "3")],
+        [("stale_reason IS NOT NULL", _say("stale", "lower(stale_reason)"), "-5")],
     ]
 
 

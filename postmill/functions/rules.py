@@ -484,3 +484,37 @@ NO_WEBSITE_NOTE = "no verified website found"
 NO_CAREERS_NOTE = "no careers page found"
 UNSURE_CAREERS_NOTE = "website match is not high-confidence"
 ACCEPT_WEBSITE, CANDIDATE_WEBSITE, STRONG_WEBSITE, CLAIMED_WEBSITE = 0.6, 0.4, 0.8, 0.85
+
+# --------------------------------------------------------------------------
+# Wording of a match's reasons; {} stands for a value
+# --------------------------------------------------------------------------
+MATCH_WORDING = {
+    "role_chosen": "Role type: {}, one of the types you chose",
+    "role_other": "Role type is {}, which is not one you chose",
+    "skills_shared": "Mentions {} of your skills: {}",
+    "skills_none": "None of your listed skills appear in the posting",
+    "level_silent": "The posting does not state a level",
+    "level_same": "Level: {}, matching yours",
+    "level_near": "Level: {}, one step from yours",
+    "level_above": "Level: {}, well above yours",
+    "level_below": "Level: {}, well below yours",
+    "years_short": "Asks for {}+ years of experience; you listed {}",
+    "years_met": "Asks for {}+ years of experience, within your {}",
+    "place_yours": "Location: {}, one of your places",
+    "place_remote": "Can be done remotely, and you are open to remote work",
+    "place_other": "Location ({}) is not one of your places",
+    "mode_suits": "Working pattern: {}, which suits you",
+    "mode_other": "Working pattern is {}, not one you chose",
+    "type_chosen": "Employment type is one you chose",
+    "type_other": "Employment type is not one you chose",
+    "sponsor_offered": "The posting says it offers visa sponsorship",
+    "sponsor_refused": "The posting says it does not offer visa sponsorship",
+    "sponsor_unclear": "The posting has conflicting wording about sponsorship",
+    "sponsor_right": "The posting asks for UK right to work, which can rule out sponsored applicants",
+    "sponsor_silent": "The posting does not mention sponsorship (the employer is a licensed sponsor)",
+    "pay_below": "Pay tops out below your minimum ({} a year)",
+    "pay_within": "Pay is within your minimum (up to {} a year)",
+    "fresh_posted": "Posted in the last 7 days",
+    "fresh_found": "Found in the last 7 days",
+    "stale": "Possibly stale: {}",
+}

@@ -35,8 +35,13 @@ def max_points(p) -> Column:
     return F.greatest(F.lit(40), total)
 
 
-def _say(*parts) -> Column:
-    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+def _say(key: str, *values) -> Column:
+    """One of the fixed wordings with its values filled in."""
+    parts = rules.MATCH_WORDING[key].split("{}")
+    filled = [F.lit(parts[0])]
+    for value, after in zip(values, parts[1:]):
+        filled += [value, F.lit(after)]
+    return F.concat(*filled)
 
 
 def prepare_people(people: DataFrame) -> DataFrame:
@@ -84,8 +89,8 @@ def topics(p, j) -> list[list[tuple]]:
     role = lookup(rules.ROLE_LABELS, j["role_family"])
     role_topic = [
         (asked("roles") & F.array_contains(p["roles"], j["role_family"]),
-         "+", _say("Role type: ", role, ", one of the types you chose"), 35),
-        (asked("roles"), "-", _say("Role type is ", role, ", which is not one you chose"), -15),
+         "+", _say("role_chosen", role), 35),
+        (asked("roles"), "-", _say("role_other", role), -15),
     ]
 
     hits = F.size(F.array_intersect(j["job_skills_lower"], p["skills_lower"]))
@@ -95,26 +100,25 @@ def topics(p, j) -> list[list[tuple]]:
     both = asked("skills") & (F.size(j["skills"]) > 0)
     skill_topic = [
         (both & (hits > 0), "+",
-         _say("Mentions ", hits.cast("string"), " of your skills: ", F.array_join(F.slice(hit, 1, 4), ", ")),
+         _say("skills_shared", hits.cast("string"), F.array_join(F.slice(hit, 1, 4), ", ")),
          skill_points),
-        (both, "=", "None of your listed skills appear in the posting", 0),
+        (both, "=", _say("skills_none"), 0),
     ]
 
     step = j["job_level"] - p["my_level"]
     level = lookup(rules.LEVEL_NAME, j["seniority"])
     level_topic = [
-        (p["level"].isNotNull() & j["seniority"].isNull(), "=", "The posting does not state a level", 3),
-        (step == 0, "+", _say("Level: ", level, ", matching yours"), 15),
-        (F.abs(step) == 1, "=", _say("Level: ", level, ", one step from yours"), 5),
-        (step > 1, "-", _say("Level: ", level, ", well above yours"), -15),
-        (step < -1, "-", _say("Level: ", level, ", well below yours"), -8),
+        (p["level"].isNotNull() & j["seniority"].isNull(), "=", _say("level_silent"), 3),
+        (step == 0, "+", _say("level_same", level), 15),
+        (F.abs(step) == 1, "=", _say("level_near", level), 5),
+        (step > 1, "-", _say("level_above", level), -15),
+        (step < -1, "-", _say("level_below", level), -8),
     ]
 
     asks, has = j["years_experience"], p["years_experience"]
-    asked_years = _say("Asks for ", asks.cast("string"), "+ years of experience")
     years_topic = [
-        (asks > has + 2, "-", _say(asked_years, "; you listed ", has.cast("string")), -8),
-        (asks <= has, "+", _say(asked_years, ", within your ", has.cast("string")), 5),
+        (asks > has + 2, "-", _say("years_short", asks.cast("string"), has.cast("string")), -8),
+        (asks <= has, "+", _say("years_met", asks.cast("string"), has.cast("string")), 5),
     ]
 
     here, raw = j["here"], j["raw_place"]
@@ -124,47 +128,47 @@ def topics(p, j) -> list[list[tuple]]:
     )
     remote = j["work_mode"].isin("remote", "flexible") & F.array_contains(p["work_modes"], "remote")
     place_topic = [
-        (asked("locations") & placed, "+", _say("Location: ", shown, ", one of your places"), 15),
-        (asked("locations") & remote, "+", "Can be done remotely, and you are open to remote work", 10),
-        (asked("locations"), "-", _say("Location (", shown, ") is not one of your places"), -20),
+        (asked("locations") & placed, "+", _say("place_yours", shown), 15),
+        (asked("locations") & remote, "+", _say("place_remote"), 10),
+        (asked("locations"), "-", _say("place_other", shown), -20),
     ]
 
     mode = lookup(rules.MODE_NAME, j["work_mode"])
     mode_stated = asked("work_modes") & j["work_mode"].isNotNull()
     suits = F.array_contains(p["work_modes"], j["work_mode"]) | (j["work_mode"] == "flexible")
     mode_topic = [
-        (mode_stated & suits, "+", _say("Working pattern: ", mode, ", which suits you"), 5),
-        (mode_stated, "-", _say("Working pattern is ", mode, ", not one you chose"), -10),
+        (mode_stated & suits, "+", _say("mode_suits", mode), 5),
+        (mode_stated, "-", _say("mode_other", mode), -10),
     ]
 
     type_stated = asked("employment_types") & j["employment_type"].isNotNull()
     type_topic = [
         (type_stated & F.array_contains(p["employment_types"], j["employment_type"]),
-         "+", "Employment type is one you chose", 5),
-        (type_stated, "-", "Employment type is not one you chose", -12),
+         "+", _say("type_chosen"), 5),
+        (type_stated, "-", _say("type_other"), -12),
     ]
 
     needs, signal = p["needs"], j["signal"]
     sponsorship_topic = [
-        (needs & (signal == "offered"), "+", "The posting says it offers visa sponsorship", 20),
-        (needs & (signal == "not_offered"), "-", "The posting says it does not offer visa sponsorship", -40),
-        (needs & (signal == "unclear"), "=", "The posting has conflicting wording about sponsorship", 0),
+        (needs & (signal == "offered"), "+", _say("sponsor_offered"), 20),
+        (needs & (signal == "not_offered"), "-", _say("sponsor_refused"), -40),
+        (needs & (signal == "unclear"), "=", _say("sponsor_unclear"), 0),
         (needs & (signal == "right_to_work"), "-",
-         "The posting asks for UK right to work, which can rule out sponsored applicants", -10),
-        (needs, "=", "The posting does not mention sponsorship (the employer is a licensed sponsor)", 0),
+         _say("sponsor_right"), -10),
+        (needs, "=", _say("sponsor_silent"), 0),
     ]
 
     top = j["top_pay"]
-    figure = _say("£", labels.thousands(top), " a year)")
+    figure = F.concat(F.lit("£"), labels.thousands(top))
     pay_topic = [
-        (top < p["min_salary"], "-", _say("Pay tops out below your minimum (", figure), -15),
-        (top >= p["min_salary"], "+", _say("Pay is within your minimum (up to ", figure), 5),
+        (top < p["min_salary"], "-", _say("pay_below", figure), -15),
+        (top >= p["min_salary"], "+", _say("pay_within", figure), 5),
     ]
 
-    fresh_text = F.when(j["posted_at"].isNotNull(), "Posted in the last 7 days").otherwise("Found in the last 7 days")
+    fresh_text = F.when(j["posted_at"].isNotNull(), _say("fresh_posted")).otherwise(_say("fresh_found"))
     fresh_topic = [(j["is_fresh"], "+", fresh_text, 3)]
     stale_topic = [
-        (j["stale_reason"].isNotNull(), "-", _say("Possibly stale: ", F.lower(j["stale_reason"])), -5)
+        (j["stale_reason"].isNotNull(), "-", _say("stale", F.lower(j["stale_reason"])), -5)
     ]
     return [role_topic, skill_topic, level_topic, years_topic, place_topic, mode_topic, type_topic,
             sponsorship_topic, pay_topic, fresh_topic, stale_topic]
