@@ -141,9 +141,11 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     if hold_out:
         known = known.filter(crc_of_id(key) % 5 != 0)
     own = known.select(F.col(f"`{key}`").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
-    # By count, a hash limit that about a fifth more than the sample stays below; the sample is cut from these few.
-    sizes = own.groupBy("lang").agg(F.count("*").alias("n"))
-    near = own.select("id", "lang").join(sizes, "lang").filter(key_hash(F.col("id")) < F.lit(float(1 << 60)) * (1.2 * sample + 50) / F.col("n"))
+    # By count (one row per language, as the model has one column for each), a hash limit that about a fifth more
+    # than the sample stays below; the sample is cut from these few.
+    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
+    below = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, float(1 << 60) * (1.2 * sample + 50) / n)]) if sizes else F.create_map().cast("map<string,double>")
+    near = own.select("id", "lang").filter(key_hash(F.col("id")) < below[F.col("lang")])
     ids = near.select("id", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(key_hash(F.col("id")), "id"))).filter(F.col("n") <= sample).select("id", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
