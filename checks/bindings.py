@@ -307,16 +307,16 @@ def _uses(sql: str) -> set[str]:
     return set(re.findall(r"(?:FROM|JOIN)\s+(\w+)", sql)) & (set(FRAMES) | set(BASE))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table that is one file with one row group, hence one task, over all cores; a table of many splits as it is."""
+def spread(df: DataFrame, given: DataFrame) -> DataFrame:
+    """Rows over all cores where the given table they come from is read by one task; else as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() == 1 else df
+    return df.repartition(cores) if given._jdf.queryExecution().toRdd().getNumPartitions() == 1 else df
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; the text tables are single files here."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in ("documents", "pages") else df
+    return spread(df, df) if name in ("documents", "pages") else df
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -45,7 +45,7 @@ class Inputs:
 
     def raw(self, name: str) -> DataFrame:
         df = b.frame(self.spark, self.sf_dir, name)
-        return b.spread(df) if name == "board_rows" else df
+        return b.spread(df, b.base(self.spark, self.sf_dir, "lineitem")) if name == "board_rows" else df
 
     def base(self, name: str) -> DataFrame:
         return b.base(self.spark, self.sf_dir, name)
