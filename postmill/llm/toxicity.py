@@ -7,7 +7,9 @@ together are learnt as pairs.
 
 The machine is fitted on a bounded sample of labelled rows (SAMPLE, the first by
 hash of their id), by full-batch Adam on the places that tell the classes apart
-best (FEATURES of them, counted by Spark; only these of each row reach the driver). Scoring reads every whole text.
+best, alone (`telling`) or within the texts that hold one of those (`partners`):
+at most FEATURES of each kind, counted by Spark; only these of each row reach the
+driver. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -28,6 +30,12 @@ FACTORS = 8
 FEATURES = 8192
 SAMPLE = 20_000
 THRESHOLD = 0.3
+#: Standard units from chance from which a place counts: by itself, and within the texts of another one.
+ALONE, BESIDE = 3.0, 4.5
+#: Texts that must hold a pair.
+TOGETHER = 8
+#: Places are dealt to so many groups (a power of two) by their last bits to be counted beside seeds.
+GROUPS = 32
 #: Lengths in bytes of the beginnings that count beside the word itself.
 BEGINNINGS = (4, 5, 6, 7, 8)
 
@@ -75,18 +83,76 @@ def telling(both: np.ndarray, in1: np.ndarray, n: float, n1: float, features: in
     expected = both * n1 / n
     contrast = np.where(both >= 3, np.abs(in1 - expected) / np.sqrt(expected * (1 - n1 / n) + 0.5), 0)
     first = np.lexsort((np.arange(len(both)), -contrast))[:features]
-    return np.sort(first[contrast[first] > 3.0])
+    return np.sort(first[contrast[first] > ALONE])
+
+
+def seeds(chosen: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """The chosen places, ascending, within whose texts another one can be BESIDE units from chance: m texts allow at most sqrt(m - 1)."""
+    return chosen[both[chosen] - 1 > BESIDE**2]
+
+
+def _spans(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each low, size of them, one run after the other."""
+    return np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
+
+
+def beside(first: np.ndarray, place: np.ndarray, label: np.ndarray, seed: np.ndarray, seed_text: np.ndarray, seed_n: np.ndarray, seed_n1: np.ndarray, size: int) -> np.ndarray:
+    """Of each place under `size`: how far its share of toxic texts is from that of all the texts of a seed, where furthest; 0 up to BESIDE.
+
+    Text t has the places place[first[t]:first[t + 1]]. (seed, seed_text): which seeds, by number, are in which texts.
+    seed_n, seed_n1: of each seed, all texts that hold it and the toxic ones. Pairs in fewer than TOGETHER texts do not count.
+    """
+    best = np.zeros(size)
+    order = np.argsort(seed, kind="stable")
+    ends = np.cumsum(np.bincount(seed, minlength=len(seed_n)))
+    for m, m1, texts in zip(seed_n, seed_n1, np.split(seed_text[order], ends[:-1])):
+        k = first[texts + 1] - first[texts]
+        found = place[_spans(first[texts], k)]
+        n, n1, share = np.bincount(found, minlength=size), np.bincount(found, np.repeat(label[texts], k), size), m1 / m
+        spread = n * share * (1 - share) * (m - n) / max(1, m - 1)
+        contrast = np.maximum(0, np.abs(n1 - n * share) - 0.5) / np.sqrt(np.maximum(0, spread) + 0.5)
+        best = np.where((n >= TOGETHER) & (contrast > BESIDE), np.maximum(best, contrast), best)
+    return best
+
+
+def partners(best: np.ndarray, features: int) -> np.ndarray:
+    """The places, ascending, that tell most beside a seed."""
+    first = np.lexsort((np.arange(len(best)), -best))[:features]
+    return np.sort(first[best[first] > 0])
+
+
+def _numbers(places: np.ndarray) -> np.ndarray:
+    index = np.full(1 << BITS, -1, np.int32)
+    index[places] = np.arange(len(places))
+    return index
+
+
+def _others(both: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    wanted = both >= TOGETHER
+    wanted[chosen] = False
+    return wanted
 
 
 def fit(text: np.ndarray, place: np.ndarray, label: np.ndarray, factors: int = FACTORS, features: int = FEATURES, chosen: np.ndarray | None = None,
-        steps: int = 120, rate: float = 0.05, weight_decay: float = 5e-5, vector_decay: float = 2e-3, seed: int = 1) -> Machine:
-    """From distinct (text, place) pairs and the texts' labels (0 or 1); only `chosen` places count, the telling ones by default."""
+        steps: int = 120, rate: float = 0.05, weight_decay: float = 5e-5, vector_decay: float = 2e-4, seed: int = 1) -> Machine:
+    """From distinct (text, place) pairs, ascending by text, and the texts' labels (0 or 1).
+
+    Only `chosen` places count: by default the telling ones and their partners. A pair
+    in a share s of the texts gets a weight only if s times what is left of its texts'
+    error (up to 1) is above `vector_decay`.
+    """
     n, n1 = len(label), float(label.sum())
     index = np.full(1 << BITS, -1, np.int32)
     if not n or n1 in (0.0, float(n)):
         return Machine(index, -30.0 if not n1 else 30.0, np.zeros(1), np.zeros((1, factors)))
     if chosen is None:
-        chosen = telling(np.bincount(place, minlength=1 << BITS), np.bincount(place, label[text], 1 << BITS), n, n1, features)
+        both, in1 = np.bincount(place, minlength=1 << BITS), np.bincount(place, label[text], 1 << BITS)
+        chosen = telling(both, in1, n, n1, features)
+        first = seeds(chosen, both)
+        if len(first):
+            number, other = _numbers(first)[place], _others(both, chosen)[place]
+            starts = np.searchsorted(text[other], np.arange(n + 1))
+            chosen = np.union1d(chosen, partners(beside(starts, place[other], label, number[number >= 0], text[number >= 0], both[first], in1[first], 1 << BITS), features))
     index[chosen] = np.arange(len(chosen))
     feature = index[place]
     text, feature = text[feature >= 0], feature[feature >= 0]
@@ -141,8 +207,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     at = stats.column("place").to_numpy()
     both[at], in1[at] = stats.column("n").to_numpy(), stats.column("n1").to_numpy()
     chosen = telling(both, in1, totals[0], totals[1], FEATURES) if totals[0] else np.zeros(0, np.int64)
-    index = np.full(1 << BITS, -1, np.int32)
-    index[chosen] = np.arange(len(chosen))
+    begin = seeds(chosen, both)
+    if len(begin):
+        dealt = chosen_rows.mapInArrow(_dealer(_numbers(begin), _others(both, chosen)), "part int, label int, seeds array<int>, places array<int>")
+        far = dealt.groupBy("part").applyInArrow(_judge(both[begin], in1[begin]), "place int, contrast double").toArrow()
+        best = np.zeros(1 << BITS)
+        best[far.column("place").to_numpy()] = far.column("contrast").to_numpy()
+        chosen = np.union1d(chosen, partners(best, FEATURES))
+    index = _numbers(chosen)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,6 +231,47 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), chosen[lists.flatten().to_numpy()], label_of, chosen=chosen)
 
 
+def _dealer(seed: np.ndarray, wanted: np.ndarray):
+    """(id, label, text) rows -> of each text with seeds, a row for each group of its wanted places, with all its seeds."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label_of = batch.column(1).to_numpy()
+            for lo, hi, w in bw.words(batch.column(2), bw.ALPHA, bw.lower_latin):
+                t, p = bw.distinct_per_text(*places(w))
+                number = seed[p]
+                begun, seeds_of = t[number >= 0], number[number >= 0]
+                t, p = t[wanted[p]], p[wanted[p]]
+                low, high = np.searchsorted(begun, t), np.searchsorted(begun, t, side="right")
+                t, p, low, high = (x[high > low] for x in (t, p, low, high))
+                order = np.argsort(t * GROUPS + p % GROUPS, kind="stable")
+                t, p, low, high = t[order], p[order], low[order], high[order]
+                start = np.flatnonzero(np.diff(t * GROUPS + p % GROUPS, prepend=-1))
+                size = (high - low)[start]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array((p[start] % GROUPS).astype(np.int32)), pa.array(label_of[lo:hi][t[start]].astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(seeds_of[_spans(low[start], size)].astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(np.append(start, len(p)).astype(np.int32)), pa.array((p // GROUPS).astype(np.int32))),
+                ], names=["part", "label", "seeds", "places"])
+
+    return deal
+
+
+def _judge(seed_n: np.ndarray, seed_n1: np.ndarray):
+    """One group's rows of `_dealer` -> its places that tell beside a seed."""
+
+    def judge(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        seeds_of, places_of = (table.column(c).combine_chunks() for c in ("seeds", "places"))
+        first = np.concatenate([[0], np.cumsum(places_of.value_lengths().to_numpy())])
+        texts = np.repeat(np.arange(len(table)), seeds_of.value_lengths().to_numpy())
+        best = beside(first, places_of.flatten().to_numpy(), table.column("label").to_numpy(), seeds_of.flatten().to_numpy(), texts, seed_n, seed_n1, (1 << BITS) // GROUPS)
+        at = np.flatnonzero(best)
+        return pa.table({"place": pa.array((at * GROUPS + part).astype(np.int32)), "contrast": pa.array(best[at])})
+
+    return judge
+
+
 def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """The rows with held_out, score (0 to 1) and predicted (1 from the threshold on).
 

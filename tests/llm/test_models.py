@@ -138,6 +138,37 @@ def test_pairs_are_learnt():
     assert np.abs(m.vectors).max() > 0.05
 
 
+def rows_with_pairs(n, pairs, share, seed=5):
+    """Words and labels: 11% toxic; of these, each pair (common g, rare b) makes `share`, plain insults the rest. As many clean rows have b without g."""
+    rng = np.random.default_rng(seed)
+    common = rng.random((n, pairs)) < 0.3
+    rare, label, kind = np.zeros((n, pairs), bool), np.zeros(n, int), np.full(n, "other", object)
+    order, toxic = rng.permutation(n), int(0.11 * n)
+    each = int(share * toxic)
+    label[order[:toxic]] = 1
+    plain = set(order[each * pairs : toxic].tolist())
+    for k in range(pairs):
+        own = order[k * each : (k + 1) * each]
+        common[own, k], rare[own, k], kind[own] = True, True, "pair"
+        free = order[toxic:][~common[order[toxic:], k]]
+        alone = rng.choice(free, each, replace=False)
+        rare[alone, k], kind[alone] = True, "alone"
+    filler = rng.integers(0, 400, (n, 12))
+    letters = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    words = [[f"{letters(x)}q" for x in filler[i]] + [f"g{letters(k)}" for k in np.flatnonzero(common[i])] + [f"b{letters(k)}" for k in np.flatnonzero(rare[i])] + ["scum"] * (i in plain) for i in range(n)]
+    return [" ".join(w) for w in words], label, kind
+
+
+@pytest.mark.parametrize("n, pairs, share", [(4000, 4, 0.1), (16000, 6, 0.05)])
+def test_each_of_several_pairs_is_learnt(spark, n, pairs, share):
+    texts, label, kind = rows_with_pairs(n, pairs, share)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(x)) for i, x in enumerate(label)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, labels), keep=["doc_id"]).filter("held_out").collect()
+    flagged = {k: np.mean([r.predicted for r in got if kind[r.doc_id] == k]) for k in ("pair", "alone", "other")}
+    assert flagged["pair"] > 0.95 and flagged["alone"] < 0.1
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
