@@ -6,9 +6,10 @@ ceil(k / w). In every slot the released block with the earliest deadline goes
 next. Each source is then less than one block away from its share at every
 moment.
 
-Weights are whole tickets out of `period`; the schedule repeats after `period`
-slots, in which a source gets exactly its tickets. So one table of `period` rows
-holds the whole schedule, and a block's slot is found by arithmetic and one
+Weights are whole tickets out of a period, which grows with the number of sources
+and the smallest weight; the schedule repeats after that many slots, in which a
+source gets exactly its tickets. So one table with a row per slot holds the whole
+schedule, and a block's slot is found by arithmetic and one
 look-up. Only DataFrame functions are used.
 """
 
@@ -23,47 +24,82 @@ BLOCK = 32
 PERIOD = 1000
 EXPONENT = 0.8
 SALTS = 1024
+#: Tickets of the smallest source below which the period grows, and those it then gets.
+FEW, ENOUGH = 5, 20
+#: The period does not grow beyond this for a small weight; for many sources it does (4 slots a source).
+LONGEST = 1 << 18
+#: Up to so many sources, op9's query rounds as its SQL does.
+AS_SQL = 20
 
 
-def tickets(sizes: DataFrame, period: int = PERIOD, exponent: float = EXPONENT) -> DataFrame:
+def tickets(sizes: DataFrame, period: int = PERIOD, exponent: float = EXPONENT, as_sql: int = 0) -> DataFrame:
     """(source, n) -> (source, n, tickets): target weights in proportion to n ** exponent.
 
-    An exponent below one lifts small sources. Weights are rounded down to whole
-    tickets, one at least; what is left over or missing falls to the largest source
-    (ties: the first by name, null before all).
+    An exponent below one lifts small sources. `period` is the least sum of tickets; it
+    grows where the smallest source would have fewer than FEW. Every source has one
+    ticket at least, the others share what is left; tickets that rounding leaves go to
+    the largest fractional parts (ties: the first by size, then name, null before all).
+    With `as_sql` sources or fewer the SQL's rule holds: out of `period`, rounded
+    down, and what is left over or missing falls to the largest source.
     """
-    share = F.floor(F.lit(period) * F.pow(F.col("n").cast("double"), F.lit(exponent)) / F.sum(F.pow(F.col("n").cast("double"), F.lit(exponent))).over(Window.partitionBy(F.lit(1))))
-    first = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("n").desc(), F.col("source").asc_nulls_first())) == 1
-    low = sizes.withColumn("low", F.greatest(F.lit(1), share.cast("int")))
-    rest = F.lit(period) - F.sum("low").over(Window.partitionBy(F.lit(1)))
-    own = F.when(first, F.col("low") + rest).otherwise(F.col("low")).cast("int")
-    return low.withColumn("own", own).select("source", "n", F.when(F.col("own") >= 1, F.col("own")).otherwise(F.raise_error(F.lit("more sources than a period has room for")).cast("int")).alias("tickets"))
-
-
-def schedule(weights: DataFrame, period: int = PERIOD) -> DataFrame:
+    # An order, so that sums of doubles come out alike whenever they are computed.
+    every = Window.partitionBy(F.lit(1)).orderBy(F.col("n").desc(), F.col("source").asc_nulls_first())
+    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    power = F.pow(F.col("n").cast("double"), F.lit(exponent))
+    low = sizes.withColumn("sources", F.count("*").over(whole)).withColumn("rank", F.row_number().over(every)).withColumn("share", power / F.sum(power).over(whole))
+    plain = F.greatest(F.lit(1), F.floor(F.lit(period) * power / F.sum(power).over(Window.partitionBy(F.lit(1)))).cast("int"))
+    least = F.min("share").over(whole)
+    grown = F.greatest(F.lit(period), 4 * F.col("sources"), F.least(F.ceil(ENOUGH / least), F.lit(LONGEST)))
+    low = low.withColumn("plain", plain).withColumn("period", F.when(least * period >= FEW, F.lit(period).cast("long")).otherwise(grown.cast("long")))
+    above = F.greatest(F.lit(0.0), F.col("share") * F.col("period") - 1)
+    # One ticket each; what is above one shrinks by the part that lifts smaller sources to it.
+    low = low.withColumn("exact", 1 + above * (F.col("period") - F.col("sources")) / F.sum(above).over(whole)).withColumn("down", F.floor(F.col("exact") + 1e-9))
+    turn = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy((F.col("exact") - F.col("down")).desc(), "rank"))
+    fair = F.col("down") + F.when(turn <= F.col("period") - F.sum("down").over(whole), 1).otherwise(0)
+    to_first = F.col("plain") + F.when(F.col("rank") == 1, period - F.sum("plain").over(whole)).otherwise(0)
+    return low.select("source", "n", F.when(F.col("sources") <= as_sql, to_first).otherwise(fair).cast("int").alias("tickets"))
+
+
+def schedule(weights: DataFrame, period: int | None = None) -> DataFrame:
     """(source, tickets) -> (source, tickets, k, slot) for one period: block k of the source, from 0, takes `slot`.
 
-    The fold runs over the period's slots. Its state is one (next block's deadline
-    and release) entry per source; an entry's deadline is ceil(k * period / tickets).
-    Ties of deadlines go to the first source by name. The table has `period` rows.
+    The fold runs over the period's slots (by default as many as there are tickets). An
+    entry's deadline is ceil((k + 1) * period / tickets); ties go to the first source by
+    name. Sources with equal tickets take their blocks in turns, so the state is one
+    entry for each number of tickets (at most the root of twice the period). Slots are
+    gathered in runs, which keeps the copying of what is done small.
     """
     one = weights.agg(F.sort_array(F.collect_list(F.struct("source", "tickets"))).alias("s"))
-
-    def block(i: Column, k: Column) -> Column:
-        w = F.col("s")[i]["tickets"].cast("long")
-        return F.struct(F.floor(k * period / w).alias("release"), F.ceil((k + 1) * period / w).alias("due"), i.alias("i"), k.alias("k"))
+    one = one.withColumn("period", F.lit(period).cast("long") if period else F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["tickets"]))
+    numbers = F.transform(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.struct(F.col("s")[i]["tickets"].cast("long").alias("w"), i.alias("i")))
+    one = one.filter(F.size("s") > 0).withColumn("numbers", numbers)
+    alike = F.transform(F.array_distinct(F.transform("numbers", lambda x: x["w"])), lambda w: F.struct(w.alias("w"), F.transform(F.filter("numbers", lambda x: x["w"] == w), lambda x: x["i"]).alias("of")))
+    one = one.withColumn("groups", alike).withColumn("run", F.ceil(F.sqrt("period")).cast("long")).select("s", "period", "groups", "run")
+    p = F.col("period")
+
+    def entry(g: Column, k: Column, j: Column) -> Column:
+        """Block k of the group's j-th source is its next."""
+        w = F.col("groups")[g]["w"]
+        return F.struct(F.floor(k * p / w).alias("release"), F.ceil((k + 1) * p / w).alias("due"), F.col("groups")[g]["of"][j].alias("i"), k.alias("k"), g.alias("g"), j.alias("j"))
 
     zero = F.lit(0).cast("long")
-    start = F.struct(F.transform(F.sequence(F.lit(0), F.size("s") - 1), lambda i: block(i, zero)).alias("next"), F.array().cast("array<struct<i:int,k:bigint>>").alias("order"))
+    first = F.transform(F.sequence(F.lit(0), F.size("groups") - 1), lambda g: entry(g, zero, F.lit(0)))
+    none = F.array().cast("array<struct<i:int,k:bigint>>")
 
     def step(state, t):
-        ready = F.filter(state["next"], lambda b: b["release"] <= t)
-        pick = F.array_min(F.transform(ready, lambda b: F.struct(b["due"], b["i"], b["k"])))
-        after = F.transform(state["next"], lambda b: F.when(b["i"] == pick["i"], block(b["i"], b["k"] + 1)).otherwise(b))
+        pick = F.array_min(F.transform(F.filter(state["next"], lambda b: b["release"] <= t), lambda b: F.struct(b["due"], b["i"], b["k"], b["g"], b["j"])))
+        last = pick["j"] + 1 >= F.size(F.col("groups")[pick["g"]]["of"])
+        then = entry(pick["g"], F.when(last, pick["k"] + 1).otherwise(pick["k"]), F.when(last, F.lit(0)).otherwise(pick["j"] + 1))
+        after = F.transform(state["next"], lambda b: F.when(b["g"] == pick["g"], then).otherwise(b))
         return F.struct(after.alias("next"), F.concat(state["order"], F.array(F.struct(pick["i"].alias("i"), pick["k"].alias("k")))).alias("order"))
 
-    order = F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), start, step)["order"]
-    taken = one.filter(F.size("s") > 0).select("s", F.posexplode(order).alias("slot", "b"))
+    def run(state, r):
+        slots = F.sequence(r * F.col("run"), F.least(p, (r + 1) * F.col("run")) - 1)
+        done = F.aggregate(slots, F.struct(state["next"].alias("next"), none.alias("order")), step)
+        return F.transform(F.array(done), lambda d: F.struct(d["next"].alias("next"), F.concat(state["runs"], F.array(d["order"])).alias("runs")))[0]
+
+    runs = F.aggregate(F.sequence(zero, F.ceil(p / F.col("run")) - 1), F.struct(first.alias("next"), F.array().cast("array<array<struct<i:int,k:bigint>>>").alias("runs")), run)["runs"]
+    taken = one.select("s", F.posexplode(F.flatten(runs)).alias("slot", "b"))
     return taken.select(F.col("s")[F.col("b.i")]["source"].alias("source"), F.col("s")[F.col("b.i")]["tickets"].alias("tickets"), F.col("b.k").alias("k"), "slot")
 
 
@@ -83,11 +119,11 @@ def numbered(df: DataFrame, key: str, source: str) -> DataFrame:
     return met.select(*[f"`{c}`" for c in df.columns], (F.col("source_row") + F.col("_before")).alias("source_row"))
 
 
-OWN = ("source_row", "tickets", "epoch", "block", "position", "salt", "_source", "_salt", "_before", "_n")
+OWN = ("source_row", "tickets", "epoch", "block", "position", "salt", "_source", "_salt", "_before", "_n", "_period")
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: DataFrame | None = None, block: int = BLOCK,
-        period: int = PERIOD, exponent: float = EXPONENT, repeat: bool = True) -> DataFrame:
+        period: int = PERIOD, exponent: float = EXPONENT, repeat: bool = True, as_sql: int = 0) -> DataFrame:
     """The rows with their place in the mix: `epoch`, `block` (slot in the schedule) and `position` (order of rows).
 
     weights: (source, tickets) summing to `period`; without it, targets come from
@@ -99,29 +135,31 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: Dat
     Null sources are one source of their own. A null key is a row like any other;
     rows with equal keys are all kept. An empty table stays empty. A source missing
     from `weights` raises no error: its rows have no place and are an error of the
-    caller, shown as null `block`. There may be at most `period` sources. Input
+    caller, shown as null `block`. There may be any number of sources. Input
     columns named like the result's own are replaced. Texts are not read.
     """
     rows = numbered(without(df, *OWN), key, source)
     sizes = df.groupBy(F.col(f"`{source}`").alias("source")).agg(F.count("*").alias("n"))
-    plan = tickets(sizes, period, exponent) if weights is None else sizes.join(F.broadcast(weights.select(F.col("source").alias("_w"), "tickets")), F.col("source").eqNullSafe(F.col("_w")), "left").drop("_w")
+    plan = tickets(sizes, period, exponent, as_sql) if weights is None else sizes.join(F.broadcast(weights.select(F.col("source").alias("_w"), "tickets")), F.col("source").eqNullSafe(F.col("_w")), "left").drop("_w")
+    every = Window.partitionBy(F.lit(1))
+    plan = plan.withColumn("period", F.sum("tickets").over(every) if weights is None else F.lit(period).cast("long"))
     # Rows of a mix in which the source that lasts longest comes once.
-    length = F.max(F.ceil(F.col("n") * period / F.col("tickets"))).over(Window.partitionBy(F.lit(1)))
+    length = F.max(F.ceil(F.col("n") * F.col("period") / F.col("tickets"))).over(every)
     plan = plan.withColumn("length", length)
-    # One row per source, at most `period` of them.
-    p = plan.select(F.col("source").alias("_source"), F.col("n").alias("_n"), F.col("tickets"), "length")
+    # One row per source.
+    p = plan.select(F.col("source").alias("_source"), F.col("n").alias("_n"), F.col("tickets"), F.col("period").alias("_period"), "length")
     met = rows.join(F.broadcast(p), F.col(f"`{source}`").eqNullSafe(F.col("_source")), "left")
     if repeat:
-        wanted = F.greatest(F.floor(F.col("length") * F.col("tickets") / period), F.col("_n"))
+        wanted = F.greatest(F.floor(F.col("length") * F.col("tickets") / F.col("_period")), F.col("_n"))
         times = F.ceil((wanted - F.col("source_row")) / F.col("_n"))
         met = met.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), times).cast("int") - 1)))
     else:
         met = met.withColumn("epoch", F.lit(0))
     place = F.col("source_row") + F.col("epoch") * F.col("_n")
     met = met.withColumn("_k", F.floor(place / block)).withColumn("_in", place % block)
-    table = schedule(plan.select("source", "tickets"), period).select(F.col("source").alias("t_source"), F.col("k").alias("t_k"), "slot")
+    table = schedule(plan.select("source", "tickets"), None if weights is None else period).select(F.col("source").alias("t_source"), F.col("k").alias("t_k"), "slot")
     slot = met.join(F.broadcast(table), F.col(f"`{source}`").eqNullSafe(F.col("t_source")) & (F.col("_k") % F.col("tickets") == F.col("t_k")), "left")
-    at = F.floor(F.col("_k") / F.col("tickets")) * period + F.col("slot")
+    at = F.floor(F.col("_k") / F.col("tickets")) * F.col("_period") + F.col("slot")
     out = slot.withColumn("block", at).withColumn("position", at * block + F.col("_in"))
     return out.select(*[f"`{c}`" for c in rows.columns], "tickets", "epoch", "block", "position")
 

@@ -30,7 +30,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(mixing.SQL)
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), as_sql=mixing.AS_SQL)
 
 
 @query(decontaminate.SQL)

@@ -90,3 +90,23 @@ def test_mix_to_given_weights(spark):
     ordered = [r.source for r in sorted(out, key=lambda r: r.position)]
     for t in range(0, 200, 2):
         assert abs(ordered[:t].count("a") - t / 2) < 2
+
+
+@pytest.mark.parametrize("small", [300, 1200])
+def test_any_number_of_sources_gets_its_target(spark, small):
+    sizes = spark.createDataFrame([("big", small * 5)] + [(f"s{i:04}", 10) for i in range(small)], "source string, n long")
+    got = {r.source: r.tickets for r in mixing.tickets(sizes).collect()}
+    exact = (small * 5) ** 0.8 / ((small * 5) ** 0.8 + small * 10**0.8)
+    period = sum(got.values())
+    assert len(got) == small + 1 and abs(got["big"] / period - exact) < 0.001
+    assert all(abs(n / period - (1 - exact) / small) < 0.06 * (1 - exact) / small for s, n in got.items() if s != "big")
+
+
+def test_mix_of_many_sources(spark):
+    rows = [(i, "big" if i % 3 == 0 else f"s{i % 60}") for i in range(1800)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block=1, period=30, as_sql=20).collect()
+    assert Counter((r.doc_id, r.source) for r in out if r.epoch == 0) == Counter(rows) and len({r.position for r in out}) == len(out)
+    tickets = {r.source: r.tickets for r in out}
+    want = [(t, s, k) for s, k, t in plain_schedule(tickets)]
+    period = sum(tickets.values())
+    assert sorted((r.position, r.source) for r in out if r.position < period) == [x[:2] for x in want if x[:2] in {(r.position, r.source) for r in out}]
