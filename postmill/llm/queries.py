@@ -5,8 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from . import decontaminate, language, mixing, near_dedup, sharding, suffix_dedup, token_counts, topk_search, toxicity, url_filter
+from pyspark.sql import functions as F
+
+from . import (
+    decontaminate,
+    language,
+    line_dedup,
+    mixing,
+    near_dedup,
+    sharding,
+    suffix_dedup,
+    token_counts,
+    topk_search,
+    toxicity,
+    url_filter,
+    vector_codes,
+)
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -76,3 +90,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(suffix_dedup.SQL)
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(line_dedup.SQL)
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query(vector_codes.SQL)
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
