@@ -307,16 +307,25 @@ def _uses(sql: str) -> set[str]:
     return set(re.findall(r"(?:FROM|JOIN)\s+(\w+)", sql)) & (set(FRAMES) | set(BASE))
 
 
-def spread(df: DataFrame, given: DataFrame) -> DataFrame:
-    """Rows over all cores where the given table they come from is read by one task; else as they are."""
+#: Tables whose rows are worked on one by one; the others are small dimensions.
+LARGE = ("customer", "part", "orders", "lineitem", "events", "documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores where there are fewer files than cores.
+
+    A given table is one file of one row group here, which is one task however the
+    file is split. It is dealt out before anything is derived, so only base columns
+    move; a table of many files is read as it is.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if given._jdf.queryExecution().toRdd().getNumPartitions() == 1 else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; the text tables are single files here."""
+    """A given table."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, df) if name in ("documents", "pages") else df
+    return spread(df) if name in LARGE else df
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
