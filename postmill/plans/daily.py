@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from ..operators import company_match, lifecycle, matching, people, postings, register, reports, search, sectors
 from ..operators.ids import assign_ids
 from ..session import cut_lineage
-from ..sources import boards  # noqa: F401  (registers the vendors)
+from ..sources import boards, jsonld  # noqa: F401  (register their sources)
 from ..sources.registry import read_boards
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, rules
 from ..functions.text import blank_to_null, html_to_text, join_present, lookup, matches, trim
 from ..functions.urls import quote
-from .registry import explode_jobs, no_text, pay, present, raw_jobs, register_source
+from .registry import Job, board_source, no_text, pay, present
 
 # How boards spell working patterns and pay periods.
 WORKPLACE = {"remote": "remote", "hybrid": "hybrid", "onsite": "onsite", "on-site": "onsite"}
@@ -22,10 +22,6 @@ WORKDAY_REMOTE = (("remote", "^remote"), ("hybrid", "hybrid"), ("onsite", "on[-
 
 
 
-def _j(path: str) -> Column:
-    return F.col(f"j.{path}")
-
-
 def _interval_period(interval: Column) -> Column:
     iv = F.lower(F.coalesce(interval, F.lit("")))
     has = lambda w: F.contains(iv, F.lit(w))
@@ -52,18 +48,17 @@ GREENHOUSE = """struct<jobs:array<struct<id:bigint,title:string,absolute_url:str
   updated_at:string,content:string>>>"""
 
 
-def greenhouse(payloads: DataFrame) -> DataFrame:
-    rows = explode_jobs(payloads, F.from_json("payload", GREENHOUSE)["jobs"])
-    offices = F.coalesce(F.transform(_j("offices"), lambda o: o["name"]), no_text())
-    return raw_jobs(
-        rows,
-        external_id=_j("id").cast("string"),
-        title=trim(_j("title")),
-        locations=F.array_distinct(present(F.concat(F.array(_j("location.name")), offices))),
-        apply_url=_j("absolute_url"),
-        posted_at=dates.loose_timestamp(F.coalesce(_j("first_published"), _j("updated_at"))),
-        department=F.get(_j("departments"), 0)["name"],
-        description_text=html_to_text(blank_to_null(_j("content"))),
+@board_source("greenhouse", lambda: F.from_json("payload", GREENHOUSE)["jobs"])
+def greenhouse(j: Job) -> dict[str, Column]:
+    offices = F.coalesce(F.transform(j("offices"), lambda o: o["name"]), no_text())
+    return dict(
+        external_id=j("id").cast("string"),
+        title=trim(j("title")),
+        locations=F.array_distinct(present(F.concat(F.array(j("location.name")), offices))),
+        apply_url=j("absolute_url"),
+        posted_at=dates.loose_timestamp(F.coalesce(j("first_published"), j("updated_at"))),
+        department=F.get(j("departments"), 0)["name"],
+        description_text=html_to_text(blank_to_null(j("content"))),
     )
 
 
@@ -75,28 +70,27 @@ LEVER = """array<struct<id:string,text:string,hostedUrl:string,applyUrl:string,c
   salaryRange:struct<min:double,max:double,currency:string,`interval`:string>>>"""
 
 
-def lever(payloads: DataFrame) -> DataFrame:
-    rows = explode_jobs(payloads, F.from_json("payload", LEVER))
-    every = _j("categories.allLocations")
-    places = F.when(F.size(F.coalesce(every, no_text())) > 0, every).otherwise(present(F.array(_j("categories.location"))))
+@board_source("lever", lambda: F.from_json("payload", LEVER))
+def lever(j: Job) -> dict[str, Column]:
+    every = j("categories.allLocations")
+    places = F.when(F.size(F.coalesce(every, no_text())) > 0, every).otherwise(present(F.array(j("categories.location"))))
     sections = F.transform(
-        _j("lists"),
+        j("lists"),
         lambda s: F.concat(F.coalesce(s["text"], F.lit("")), F.lit("\n"), html_to_text(F.coalesce(s["content"], F.lit("")))),
     )
-    text = F.concat_ws("\n", blank_to_null(_j("descriptionPlain")), sections, blank_to_null(_j("additionalPlain")))
-    s = _j("salaryRange")
+    text = F.concat_ws("\n", blank_to_null(j("descriptionPlain")), sections, blank_to_null(j("additionalPlain")))
+    s = j("salaryRange")
     currency = F.upper(s["currency"])
-    return raw_jobs(
-        rows,
-        external_id=_j("id"),
-        title=trim(_j("text")),
+    return dict(
+        external_id=j("id"),
+        title=trim(j("text")),
         locations=places,
-        country_codes=present(F.array(_j("country"))),
-        apply_url=F.coalesce(_j("applyUrl"), _j("hostedUrl")),
-        posted_at=F.timestamp_millis(_j("createdAt")),
-        department=F.coalesce(_j("categories.department"), _j("categories.team")),
-        employment_type_raw=_j("categories.commitment"),
-        work_mode=_workplace(_j("workplaceType")),
+        country_codes=present(F.array(j("country"))),
+        apply_url=F.coalesce(j("applyUrl"), j("hostedUrl")),
+        posted_at=F.timestamp_millis(j("createdAt")),
+        department=F.coalesce(j("categories.department"), j("categories.team")),
+        employment_type_raw=j("categories.commitment"),
+        work_mode=_workplace(j("workplaceType")),
         description_text=blank_to_null(text),
         salary=pay(s["min"], s["max"], currency, _interval_period(s["interval"]),
                    (s["min"] != 0) & (s["max"] != 0) & _known_currency(currency)),
@@ -113,33 +107,30 @@ ASHBY = """struct<jobs:array<struct<id:string,title:string,department:string,tea
   `interval`:string,currencyCode:string,minValue:double,maxValue:double>>>>>>>>"""
 
 
-def ashby(payloads: DataFrame) -> DataFrame:
-    listed = F.filter(F.from_json("payload", ASHBY)["jobs"], lambda j: ~j["isListed"].eqNullSafe(F.lit(False)))
-    rows = explode_jobs(payloads, listed)
+@board_source("ashby", lambda: F.filter(F.from_json("payload", ASHBY)["jobs"], lambda j: ~j["isListed"].eqNullSafe(F.lit(False))))
+def ashby(j: Job) -> dict[str, Column]:
     other = F.flatten(F.transform(
-        F.coalesce(_j("secondaryLocations"), F.array()),
+        F.coalesce(j("secondaryLocations"), F.array()),
         lambda s: F.array(s["location"], s["address"]["postalAddress"]["addressCountry"]),
     ))
-    places = F.concat(F.array(_j("location"), _j("address.postalAddress.addressCountry")), F.coalesce(other, no_text()))
-    parts = F.flatten(F.transform(_j("compensation.compensationTiers"), lambda t: F.coalesce(t["components"], F.array())))
+    places = F.concat(F.array(j("location"), j("address.postalAddress.addressCountry")), F.coalesce(other, no_text()))
+    parts = F.flatten(F.transform(j("compensation.compensationTiers"), lambda t: F.coalesce(t["components"], F.array())))
     stated = F.filter(
         parts,
         lambda c: (c["compensationType"] == "Salary") & (c["minValue"] != 0) & (c["maxValue"] != 0) & (c["currencyCode"] != ""),
     )
     pounds = F.filter(stated, lambda c: c["currencyCode"] == "GBP")
-    rows = rows.withColumn("s", F.coalesce(F.get(pounds, 0), F.get(stated, 0)))
-    s = F.col("s")
-    return raw_jobs(
-        rows,
-        external_id=_j("id"),
-        title=trim(_j("title")),
+    s = F.coalesce(F.get(pounds, 0), F.get(stated, 0))
+    return dict(
+        external_id=j("id"),
+        title=trim(j("title")),
         locations=F.array_distinct(present(places)),
-        apply_url=F.coalesce(_j("applyUrl"), _j("jobUrl")),
-        posted_at=dates.loose_timestamp(_j("publishedAt")),
-        department=F.coalesce(_j("department"), _j("team")),
-        employment_type_raw=_j("employmentType"),
-        work_mode=F.when(F.lower(_j("workplaceType")) != "on-site", _workplace(_j("workplaceType"))),
-        description_text=_j("descriptionPlain"),
+        apply_url=F.coalesce(j("applyUrl"), j("jobUrl")),
+        posted_at=dates.loose_timestamp(j("publishedAt")),
+        department=F.coalesce(j("department"), j("team")),
+        employment_type_raw=j("employmentType"),
+        work_mode=F.when(F.lower(j("workplaceType")) != "on-site", _workplace(j("workplaceType"))),
+        description_text=j("descriptionPlain"),
         salary=pay(s["minValue"], s["maxValue"], s["currencyCode"], _interval_period(s["interval"]),
                    _known_currency(s["currencyCode"])),
     )
@@ -153,25 +144,24 @@ WORKABLE = """struct<name:string,jobs:array<struct<title:string,shortcode:string
   description:string>>>"""
 
 
-def workable(payloads: DataFrame) -> DataFrame:
-    rows = explode_jobs(payloads, F.from_json("payload", WORKABLE)["jobs"])
-    shown = F.filter(_j("locations"), lambda l: ~F.coalesce(l["hidden"], F.lit(False)))
+@board_source("workable", lambda: F.from_json("payload", WORKABLE)["jobs"])
+def workable(j: Job) -> dict[str, Column]:
+    shown = F.filter(j("locations"), lambda l: ~F.coalesce(l["hidden"], F.lit(False)))
     listed = F.transform(shown, lambda l: join_present(", ", l["city"], l["region"], l["country"]))
-    own = F.array(join_present(", ", _j("city"), _j("country")))
-    places = F.when(F.coalesce(F.size(_j("locations")), F.lit(0)) > 0, listed).otherwise(own)
-    return raw_jobs(
-        rows,
-        external_id=_j("shortcode"),
-        title=trim(_j("title")),
+    own = F.array(join_present(", ", j("city"), j("country")))
+    places = F.when(F.coalesce(F.size(j("locations")), F.lit(0)) > 0, listed).otherwise(own)
+    return dict(
+        external_id=j("shortcode"),
+        title=trim(j("title")),
         locations=present(places),
-        country_codes=present(F.coalesce(F.transform(_j("locations"), lambda l: l["countryCode"]), no_text())),
-        apply_url=F.coalesce(_j("application_url"), _j("url")),
-        posted_at=dates.loose_timestamp(F.coalesce(_j("published_on"), _j("created_at"))),
-        department=_j("department"),
-        employment_type_raw=_j("employment_type"),
+        country_codes=present(F.coalesce(F.transform(j("locations"), lambda l: l["countryCode"]), no_text())),
+        apply_url=F.coalesce(j("application_url"), j("url")),
+        posted_at=dates.loose_timestamp(F.coalesce(j("published_on"), j("created_at"))),
+        department=j("department"),
+        employment_type_raw=j("employment_type"),
         # Only a positive flag says something; false does not mean on-site.
-        work_mode=F.when(_j("telecommuting"), "remote"),
-        description_text=html_to_text(blank_to_null(_j("description"))),
+        work_mode=F.when(j("telecommuting"), "remote"),
+        description_text=html_to_text(blank_to_null(j("description"))),
     )
 
 
@@ -183,19 +173,18 @@ SMARTRECRUITERS_DETAIL = """struct<applyUrl:string,postingUrl:string,
   jobAd:struct<sections:map<string,struct<text:string>>>>"""
 
 
-def smartrecruiters(payloads: DataFrame) -> DataFrame:
-    rows = explode_jobs(payloads, F.from_json("payload", SMARTRECRUITERS)["content"])
-    place = F.coalesce(_j("location.fullLocation"), join_present(", ", _j("location.city"), _j("location.region"), _j("location.country")))
-    return raw_jobs(
-        rows,
-        external_id=_j("id"),
-        title=trim(_j("name")),
+@board_source("smartrecruiters", lambda: F.from_json("payload", SMARTRECRUITERS)["content"])
+def smartrecruiters(j: Job) -> dict[str, Column]:
+    place = F.coalesce(j("location.fullLocation"), join_present(", ", j("location.city"), j("location.region"), j("location.country")))
+    return dict(
+        external_id=j("id"),
+        title=trim(j("name")),
         locations=present(F.array(place)),
-        country_codes=present(F.array(_j("location.country"))),
-        posted_at=dates.loose_timestamp(_j("releasedDate")),
-        department=F.coalesce(_j("department.label"), _j("function.label")),
-        employment_type_raw=_j("typeOfEmployment.label"),
-        work_mode=F.when(_j("location.remote"), "remote").when(_j("location.hybrid"), "hybrid"),
+        country_codes=present(F.array(j("location.country"))),
+        posted_at=dates.loose_timestamp(j("releasedDate")),
+        department=F.coalesce(j("department.label"), j("function.label")),
+        employment_type_raw=j("typeOfEmployment.label"),
+        work_mode=F.when(j("location.remote"), "remote").when(j("location.hybrid"), "hybrid"),
     )
 
 
@@ -224,20 +213,19 @@ def workday_site(slug: Column) -> Column:
     return F.concat(F.lit("https://"), tenant, F.lit("."), F.lower(number), F.lit(".myworkdayjobs.com/"), site)
 
 
-def workday(payloads: DataFrame) -> DataFrame:
+@board_source("workday", lambda: F.from_json("payload", WORKDAY)["jobPostings"])
+def workday(j: Job) -> dict[str, Column]:
     """Lists; a board listed with its UK filter on has at least one UK site per posting."""
-    rows = explode_jobs(payloads, F.from_json("payload", WORKDAY)["jobPostings"])
-    from_path = blank_to_null(F.regexp_extract(_j("externalPath"), "_([A-Za-z0-9-]+)$", 1))
-    filtered = F.col("uk_filtered") if "uk_filtered" in payloads.columns else F.lit(False)
-    return raw_jobs(
-        rows,
-        external_id=F.coalesce(F.get(_j("bulletFields"), 0), from_path, _j("externalPath")),
-        title=trim(_j("title")),
-        locations=present(F.array(_j("locationsText"))),
+    from_path = blank_to_null(F.regexp_extract(j("externalPath"), "_([A-Za-z0-9-]+)$", 1))
+    filtered = F.coalesce("uk_filtered", F.lit(False))
+    return dict(
+        external_id=F.coalesce(F.get(j("bulletFields"), 0), from_path, j("externalPath")),
+        title=trim(j("title")),
+        locations=present(F.array(j("locationsText"))),
         country_codes=F.when(filtered, F.array(F.lit("GB"))).otherwise(no_text()),
-        apply_url=F.concat(workday_site(F.col("slug")), _j("externalPath")),
-        posted_at=dates.relative_posting_date(_j("postedOn"), F.col("fetched_at")),
-        employment_type_raw=_j("timeType"),
+        apply_url=F.concat(workday_site(F.col("slug")), j("externalPath")),
+        posted_at=dates.relative_posting_date(j("postedOn"), F.col("fetched_at")),
+        employment_type_raw=j("timeType"),
     )
 
 
@@ -265,28 +253,26 @@ TEAMTAILOR = """struct<channel:struct<item:array<struct<title:string,description
   `tt:country`:string>>>,`tt:department`:string>>>>"""
 
 
-def teamtailor(payloads: DataFrame) -> DataFrame:
-    rows = explode_jobs(payloads, F.from_xml(F.col("payload"), TEAMTAILOR)["channel"]["item"])
+@board_source("teamtailor", lambda: F.from_xml(F.col("payload"), TEAMTAILOR)["channel"]["item"], needs_id=True)
+def teamtailor(j: Job) -> dict[str, Column]:
     places = F.transform(
-        F.coalesce(F.col("j")["tt:locations"]["tt:location"], F.array()),
+        F.coalesce(j("tt:locations.tt:location"), F.array()),
         lambda l: F.struct(
             F.coalesce(blank_to_null(trim(l["tt:city"])), trim(l["tt:name"])).alias("city"),
             trim(l["tt:country"]).alias("country"),
         ),
     )
-    rows = rows.withColumn("places", places)
-    return raw_jobs(
-        rows,
-        external_id=F.coalesce(blank_to_null(trim(_j("guid"))), blank_to_null(trim(_j("link")))),
-        title=trim(_j("title")),
-        locations=present(F.transform("places", lambda p: join_present(", ", p["city"], p["country"]))),
-        country_codes=F.array_compact(F.transform("places", lambda p: country_code(p["country"]))),
-        apply_url=blank_to_null(trim(_j("link"))),
-        posted_at=dates.rss_timestamp(_j("pubDate")),
-        department=blank_to_null(trim(F.col("j")["tt:department"])),
-        work_mode=_workplace(trim(_j("remoteStatus"))),
-        description_text=html_to_text(blank_to_null(_j("description"))),
-    ).where("external_id is not null")
+    return dict(
+        external_id=F.coalesce(blank_to_null(trim(j("guid"))), blank_to_null(trim(j("link")))),
+        title=trim(j("title")),
+        locations=present(F.transform(places, lambda p: join_present(", ", p["city"], p["country"]))),
+        country_codes=F.array_compact(F.transform(places, lambda p: country_code(p["country"]))),
+        apply_url=blank_to_null(trim(j("link"))),
+        posted_at=dates.rss_timestamp(j("pubDate")),
+        department=blank_to_null(trim(j("tt:department"))),
+        work_mode=_workplace(trim(j("remoteStatus"))),
+        description_text=html_to_text(blank_to_null(j("description"))),
+    )
 
 
 # ---------------------------------------------------------------- BambooHR
@@ -296,24 +282,23 @@ BAMBOOHR = """struct<result:array<struct<id:string,jobOpeningName:string,departm
 BAMBOOHR_DETAIL = "struct<result:struct<jobOpening:struct<description:string,datePosted:string>>>"
 
 
-def bamboohr(payloads: DataFrame) -> DataFrame:
-    rows = explode_jobs(payloads, F.from_json("payload", BAMBOOHR)["result"])
+@board_source("bamboohr", lambda: F.from_json("payload", BAMBOOHR)["result"])
+def bamboohr(j: Job) -> dict[str, Column]:
     place = join_present(
         ", ",
-        F.coalesce(_j("atsLocation.city"), _j("location.city")),
-        F.coalesce(_j("atsLocation.state"), _j("atsLocation.province"), _j("location.state")),
-        _j("atsLocation.country"),
+        F.coalesce(j("atsLocation.city"), j("location.city")),
+        F.coalesce(j("atsLocation.state"), j("atsLocation.province"), j("location.state")),
+        j("atsLocation.country"),
     )
-    return raw_jobs(
-        rows,
-        external_id=_j("id"),
-        title=trim(_j("jobOpeningName")),
+    return dict(
+        external_id=j("id"),
+        title=trim(j("jobOpeningName")),
         locations=present(F.array(place)),
-        country_codes=F.array_compact(F.array(country_code(_j("atsLocation.country")))),
-        apply_url=F.concat(F.lit("https://"), "slug", F.lit(".bamboohr.com/careers/"), quote(_j("id"))),
-        department=_j("departmentLabel"),
-        employment_type_raw=_j("employmentStatusLabel"),
-        work_mode=F.when(_j("isRemote"), "remote").otherwise(lookup(BAMBOO_MODE, _j("locationType"))),
+        country_codes=F.array_compact(F.array(country_code(j("atsLocation.country")))),
+        apply_url=F.concat(F.lit("https://"), "slug", F.lit(".bamboohr.com/careers/"), quote(j("id"))),
+        department=j("departmentLabel"),
+        employment_type_raw=j("employmentStatusLabel"),
+        work_mode=F.when(j("isRemote"), "remote").otherwise(lookup(BAMBOO_MODE, j("locationType"))),
     )
 
 
@@ -334,32 +319,26 @@ RECRUITEE = """struct<offers:array<struct<id:string,guid:string,title:string,sta
   salary:struct<min:string,max:string,currency:string,period:string>>>>"""
 
 
-def recruitee(payloads: DataFrame) -> DataFrame:
-    published = F.filter(
-        F.from_json("payload", RECRUITEE)["offers"],
-        lambda o: (F.coalesce(o["title"], F.lit("")) != "")
-        & (F.coalesce(o["status"], F.lit("")).isin("", "published")),
-    )
-    rows = explode_jobs(payloads, published)
-    listed = F.transform(_j("locations"), lambda l: join_present(", ", l["city"], l["country"]))
-    places = F.when(F.coalesce(F.size(_j("locations")), F.lit(0)) > 0, listed).otherwise(F.array(_j("location")))
-    codes = F.concat(F.coalesce(F.transform(_j("locations"), lambda l: l["country_code"]), no_text()), F.array(_j("country_code")))
+@board_source("recruitee", lambda: F.filter(F.from_json("payload", RECRUITEE)["offers"], lambda o: (F.coalesce(o["title"], F.lit("")) != "") & (F.coalesce(o["status"], F.lit("")).isin("", "published"))))
+def recruitee(j: Job) -> dict[str, Column]:
+    listed = F.transform(j("locations"), lambda l: join_present(", ", l["city"], l["country"]))
+    places = F.when(F.coalesce(F.size(j("locations")), F.lit(0)) > 0, listed).otherwise(F.array(j("location")))
+    codes = F.concat(F.coalesce(F.transform(j("locations"), lambda l: l["country_code"]), no_text()), F.array(j("country_code")))
     codes = F.transform(F.filter(codes, lambda c: c.rlike("^[A-Za-z]{2}$")), F.upper)
-    html = lambda c: html_to_text(blank_to_null(_j(c)))
-    s = _j("salary")
+    html = lambda c: html_to_text(blank_to_null(j(c)))
+    s = j("salary")
     low, high, currency = s["min"].try_cast("double"), s["max"].try_cast("double"), F.upper(s["currency"])
     period = lookup(PAY_PERIOD_WORD, F.lower(s["period"]))
-    return raw_jobs(
-        rows,
-        external_id=F.coalesce(_j("guid"), _j("id")),
-        title=trim(_j("title")),
+    return dict(
+        external_id=F.coalesce(j("guid"), j("id")),
+        title=trim(j("title")),
         locations=present(places),
         country_codes=F.array_distinct(codes),
-        apply_url=_j("careers_url"),
-        posted_at=dates.loose_timestamp(F.coalesce(_j("published_at"), _j("created_at"))),
-        department=_j("department"),
-        employment_type_raw=_j("employment_type_code"),
-        work_mode=F.when(_j("remote"), "remote").when(_j("hybrid"), "hybrid").when(_j("on_site"), "onsite"),
+        apply_url=j("careers_url"),
+        posted_at=dates.loose_timestamp(F.coalesce(j("published_at"), j("created_at"))),
+        department=j("department"),
+        employment_type_raw=j("employment_type_code"),
+        work_mode=F.when(j("remote"), "remote").when(j("hybrid"), "hybrid").when(j("on_site"), "onsite"),
         description_text=blank_to_null(F.concat_ws("\n", html("description"), html("requirements"))),
         salary=pay(low, high, currency, period, (low > 0) & (high >= low) & period.isNotNull() & _known_currency(currency)),
     )
@@ -371,27 +350,26 @@ PERSONIO = """struct<position:array<struct<id:string,name:string,office:string,d
   jobDescriptions:struct<jobDescription:array<struct<name:string,value:string>>>>>>"""
 
 
-def personio(payloads: DataFrame) -> DataFrame:
-    rows = explode_jobs(payloads, F.from_xml(F.col("payload"), PERSONIO)["position"])
-    office = trim(F.coalesce(_j("office"), F.lit("")))
+@board_source("personio", lambda: F.from_xml(F.col("payload"), PERSONIO)["position"], needs_id=True)
+def personio(j: Job) -> dict[str, Column]:
+    office = trim(F.coalesce(j("office"), F.lit("")))
     code = F.upper(F.regexp_extract(office, r"\(([A-Za-z]{2})\)\s*$", 1))
     code = F.when(code == "UK", "GB").otherwise(code)
     sections = F.transform(
-        _j("jobDescriptions.jobDescription"),
+        j("jobDescriptions.jobDescription"),
         lambda s: F.concat(trim(F.coalesce(s["name"], F.lit(""))), F.lit("\n"), html_to_text(F.coalesce(s["value"], F.lit("")))),
     )
-    return raw_jobs(
-        rows,
-        external_id=blank_to_null(trim(_j("id"))),
-        title=trim(_j("name")),
+    return dict(
+        external_id=blank_to_null(trim(j("id"))),
+        title=trim(j("name")),
         locations=present(F.array(F.regexp_replace(office, r"\s*\([A-Za-z]{2}\)\s*$", ""))),
         country_codes=present(F.array(code)),
-        apply_url=F.concat(F.lit("https://"), "slug", F.lit(".jobs.personio.com/job/"), quote(trim(_j("id")))),
-        posted_at=dates.loose_timestamp(_j("createdAt")),
-        department=blank_to_null(trim(_j("department"))),
-        employment_type_raw=blank_to_null(join_present(" ", trim(_j("schedule")), trim(_j("employmentType")))),
+        apply_url=F.concat(F.lit("https://"), "slug", F.lit(".jobs.personio.com/job/"), quote(trim(j("id")))),
+        posted_at=dates.loose_timestamp(j("createdAt")),
+        department=blank_to_null(trim(j("department"))),
+        employment_type_raw=blank_to_null(join_present(" ", trim(j("schedule")), trim(j("employmentType")))),
         description_text=blank_to_null(F.array_join(sections, "\n")),
-    ).where("external_id is not null")
+    )
 
 
 DETAILS = {
@@ -399,9 +377,3 @@ DETAILS = {
     "workday": workday_details,
     "bamboohr": bamboohr_details,
 }
-for _name, _mapper in (
-    ("greenhouse", greenhouse), ("lever", lever), ("ashby", ashby), ("workable", workable),
-    ("smartrecruiters", smartrecruiters), ("workday", workday), ("teamtailor", teamtailor),
-    ("bamboohr", bamboohr), ("recruitee", recruitee), ("personio", personio),
-):
-    register_source(_name, _mapper)
