@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from postmill.functions import dates
 from postmill.operators import register
+from postmill.plans import daily
+from postmill.session import checkpoint_folder
+from postmill.sources.tables import BucketedTable
 
 from . import duck as d
 from .bindings import with_frames
@@ -45,7 +50,7 @@ def sql_build() -> str:
     return f"WITH {collapse_ctes()} SELECT *, {d.sector_tags('name')} AS sector_tags FROM built"
 
 
-@query("A1 B13 D1 D2 D12 H1 H2 H3 H9 J1", sql_build, ("register_rows",))
+@query("D1 D2 D12 H1 H2 H3 H9 J1", sql_build, ("register_rows",))
 def register_build(spark, sf):
     out = register.collapse(Inputs(spark, sf).raw("register_rows"))
     return out.select(
@@ -135,3 +140,42 @@ def register_publication_dates(spark, sf):
     )
     files = o.select(name.alias("file_name")).groupBy("file_name").agg(F.count(F.lit(1)).alias("files"))
     return files.withColumn("published_on", F.date_format(dates.published_on(F.col("file_name")), "yyyy-MM-dd"))
+
+
+# ---------------------------------------------------------------- from a CSV file
+def _landed_csv(spark, sf) -> str:
+    """The register rows as one CSV file, in their order: a publication is one file."""
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/register-{uuid.uuid4().hex}"
+    rows = Inputs(spark, sf).raw("register_rows").select(
+        F.col("name").alias("Organisation Name"), F.col("town").alias("Town/City"), F.col("county").alias("County"), F.col("type_rating").alias("Type & Rating"),
+        F.col("route").alias("Route"), "row_no")
+    rows.coalesce(1).sortWithinPartitions("row_no").drop("row_no").write.option("header", True).csv(f"{folder}/landed")
+    return folder
+
+
+def _table(spark, folder: str) -> BucketedTable:
+    return BucketedTable(spark, f"{folder}/table", daily.REGISTER, ("name_key",), 32)
+
+
+@query("A1 B13 A22 D1", sql_build, ("register_rows",))
+def register_build_from_csv(spark, sf):
+    """Read the CSV, count and build in the pass that writes, publish, and read what was published."""
+    folder = _landed_csv(spark, sf)
+    table = _table(spark, folder)
+    daily.import_publication(spark, f"{folder}/landed", table, 1, minimum=100)
+    return table.read().select("name_key", "town_key", "name", "town", "county", "rating", joined("ratings"), joined("worker_types"), joined("routes", "|"), joined("sector_tags"))
+
+
+@query("B13 A1", lambda: f"""WITH {collapse_ctes()} SELECT (SELECT count(*) FROM register_rows) AS rows_read, CAST(0 AS BIGINT) AS ragged, count(*) AS employers,
+       true AS refused, CAST(0 AS BIGINT) AS versions FROM built""", ("register_rows",))
+def register_import_refused(spark, sf):
+    """An import with too few employers is counted and refused; no version of it can be read."""
+    folder = _landed_csv(spark, sf)
+    table = _table(spark, folder)
+    refused, counts = False, {}
+    try:
+        daily.import_publication(spark, f"{folder}/landed", table, 1, minimum=10**9)
+    except daily.Refused as no:
+        refused, counts = True, no.counts
+    return spark.createDataFrame([(counts["rows"], counts["ragged"], counts["employers"], refused, len(table.versions()))],
+                                 "rows_read long, ragged long, employers long, refused boolean, versions long")

@@ -156,6 +156,18 @@ def org_roles(spark, sf):
     return search.org_roles(view, first).select("posting_id", "org_name", "title", "city")
 
 
+@query("N6 C1", f"""WITH {ORG_VIEW} SELECT o.org_id AS org_id, o.name AS name, o.town AS town, p.website AS website, p.site_title AS site_title,
+       p.companies_house_no AS companies_house_no,
+       CASE WHEN p.sectors_computed_at IS NOT NULL THEN p.sector_basis WHEN o.sector_tags <> '' THEN 'name' END AS basis
+    FROM ov o LEFT JOIN profiles p ON p.name_key = o.name_key WHERE o.org_id IN (SELECT o_custkey + 1 FROM orders WHERE o_orderstatus = 'F')""", ("orgs", "profiles"))
+def org_detail(spark, sf):
+    """Everything known of the employers of many ids at once."""
+    i = Inputs(spark, sf)
+    asked = i.base("orders").where("o_orderstatus = 'F'").select((F.col("o_custkey") + 1).alias("org_id"))
+    found = search.org_detail(i.org_view(), i.profiles(), asked)
+    return found.select("org_id", "name", "town", "website", "site_title", "companies_house_no", F.col("sector_basis").alias("basis"))
+
+
 @query("N6 E1", """SELECT name_key, strftime(max(started_at), '%Y-%m-%d %H:%M:%S') AS last_scan FROM board_scans WHERE ok GROUP BY 1""", ("board_scans",))
 def org_last_good_scan(spark, sf):
     return search.last_good_scans(Inputs(spark, sf).scans()).select("name_key", stamp("last_scan"))

@@ -13,7 +13,8 @@ from ..session import cut_lineage
 
 CANDIDATES = 400
 PAGE = 20
-SHORTEST_LOOK_BACK, LONGEST_LOOK_BACK = 24, 192
+#: Streams a role's postings are cut to their newest in, before the streams are merged.
+_SALTS = 32
 _ANY_ROLE = "*"
 
 
@@ -220,35 +221,71 @@ _JOB = [
 
 
 def _newest_first():
-    return [F.coalesce("posted_at", "first_seen_at").desc(), F.col("posting_id").desc()]
+    return [F.col("newest").desc(), F.col("posting_id").desc()]
 
 
-def _numbered(df: DataFrame, by: list[str], depth: int) -> DataFrame:
-    """Newest ``depth`` rows per group. The limit acts before the shuffle, so a
-    group holding most rows sends at most ``depth`` of them per task."""
-    order = Window.partitionBy(*by).orderBy(*_newest_first())
-    return df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= depth)
+def _lists(who: DataFrame, candidates: int | None) -> DataFrame:
+    """(since_hours, shelf, role, depth): the roles of every list somebody asked for, and how much of it is needed.
+
+    Someone who dismissed d postings needs d more, on their own list alone.
+    """
+    depth = F.lit(None).cast("long") if candidates is None else F.lit(candidates) + F.max("dismissals")
+    lists = who.groupBy("since_hours", "shelf").agg(depth.alias("depth"))
+    return lists.withColumn("role", F.explode(F.split("shelf", ",")))
 
 
-def _shelves(view: DataFrame, sets: DataFrame, as_of, look_back: bool, depth: int) -> DataFrame:
-    """Newest ``depth`` live postings for every (look-back, set of roles) somebody asked for.
+def _role_newest(roles: DataFrame, asked: list) -> DataFrame:
+    """(role, since_hours, place, newest, posting_id): the newest postings of each role within each asked look-back.
 
-    First per single role, which cuts any number of postings to a few thousand
-    rows; only those are then combined into sets.
+    A posting counts once, in the shortest look-back that reaches it. There the newest
+    are found (in salted streams first, so no role is one task); then the look-backs of
+    a role are merged from the shortest to the longest, each time keeping as many as
+    the role's deepest list needs.
     """
-    live = prepare_jobs(view.where("status = 'live'").select(*_JOB), as_of)
-    if look_back:
-        # Whole hours of look-back that reach this posting; nothing older than the longest is kept.
-        hours = F.floor(dates.elapsed_seconds(as_of, F.col("first_seen_at")) / 3600).cast("int") + 1
-        live = live.where(hours <= LONGEST_LOOK_BACK).withColumn(
-            "since_hours", F.explode(F.sequence(F.greatest(hours, F.lit(SHORTEST_LOOK_BACK)), F.lit(LONGEST_LOOK_BACK)))
-        )
+    depths = {r["role"]: r["depth"] for r in asked}
+    hours = {r["role"]: sorted(r["hours"]) for r in asked}
+    by_role = F.create_map(*[x for role, h in hours.items() for x in (F.lit(role), F.array(*map(F.lit, h)))])
+    fits = F.array_min(F.filter(by_role[F.col("role")], lambda s: s >= F.col("hours")))
+    cut = roles.withColumn("since", fits).where("since is not null").withColumn("depth", lookup(depths, F.col("role")))
+    most = max(depths.values())
+    for by in (["role", "since", F.pmod(F.xxhash64("posting_id"), F.lit(_SALTS))], ["role", "since"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*_newest_first()))
+        # The plain number lets Spark cut each task's rows before they are exchanged.
+        cut = cut.withColumn("_n", place).where((F.col("_n") <= most) & (F.col("_n") <= F.col("depth"))).drop("_n")
+    entry = F.struct("newest", "posting_id")
+    steps = cut.groupBy("role", "since", "depth").agg(F.collect_list(entry).alias("new"))
+    # At most `depth` entries for each asked hour.
+    each = steps.groupBy("role", "depth").agg(F.map_from_entries(F.collect_list(F.struct("since", "new"))).alias("by_hour"))
+    none = F.array().cast("array<struct<newest:timestamp,posting_id:bigint>>")
+
+    def longer(state: Column, since: Column) -> Column:
+        met = F.concat(state["now"], F.coalesce(F.try_element_at("by_hour", since), none))
+        now = F.slice(F.sort_array(met, asc=False), F.lit(1), F.col("depth").cast("int"))
+        return F.transform(F.array(now), lambda n: F.struct(n.alias("now"), F.concat(state["all"], F.array(F.struct(since.alias("since_hours"), n.alias("found")))).alias("all")))[0]
+
+    start = F.struct(none.alias("now"), F.array().cast("array<struct<since_hours:int,found:array<struct<newest:timestamp,posting_id:bigint>>>>").alias("all"))
+    merged = each.select("role", F.explode(F.aggregate(by_role[F.col("role")], start, longer)["all"]).alias("m"))
+    return merged.select("role", "m.since_hours", F.posexplode("m.found").alias("place", "f")).select("role", "since_hours", "f.*")
+
+
+def _shelves(view: DataFrame, lists: DataFrame, as_of, look_back: bool, candidates: int | None) -> DataFrame:
+    """The live postings on every list, with their `place` (newest first; null without a limit)."""
+    live = view.where("status = 'live'")
+    # Whole hours of look-back that reach this posting.
+    hours = F.floor(dates.elapsed_seconds(as_of, F.col("first_seen_at")) / 3600).cast("int") + 1 if look_back else F.lit(0)
+    narrow = live.select("posting_id", F.coalesce("posted_at", "first_seen_at").alias("newest"), hours.alias("hours"), F.explode(F.array("role_family", F.lit(_ANY_ROLE))).alias("role"))
+    if candidates is None:
+        found = lists.join(narrow, "role").where(F.col("hours") <= F.col("since_hours")).select("since_hours", "shelf", "posting_id", F.lit(None).cast("int").alias("place"))
     else:
-        live = live.withColumn("since_hours", F.lit(0))
-    roles = live.withColumn("role", F.explode(F.array(F.col("role_family"), F.lit(_ANY_ROLE))))
-    per_role = _numbered(roles, ["since_hours", "role"], depth).drop("place")
-    members = sets.select("since_hours", "shelf", F.explode(F.split("shelf", ",")).alias("role"))
-    return _numbered(per_role.join(members, ["since_hours", "role"]), ["since_hours", "shelf"], depth)
+        # A row for each role.
+        asked = lists.groupBy("role").agg(F.max("depth").alias("depth"), F.collect_set("since_hours").alias("hours")).collect()
+        if not asked:
+            return view.sparkSession.createDataFrame([], "since_hours int, shelf string, place int").join(prepare_jobs(live.select(*_JOB), as_of), F.lit(False))
+        per_role = _role_newest(narrow, asked)
+        order = Window.partitionBy("since_hours", "shelf").orderBy(*_newest_first())
+        found = lists.join(per_role, ["since_hours", "role"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("depth"))
+        found = found.select("since_hours", "shelf", "posting_id", "place")
+    return found.join(prepare_jobs(live.select(*_JOB), as_of), "posting_id")
 
 
 def rank_for_people(
@@ -259,18 +296,20 @@ def rank_for_people(
     look_back: bool = False,
     min_score: int | None = None,
     top: int | None = None,
-    candidates: int = CANDIDATES,
+    candidates: int | None = CANDIDATES,
 ) -> DataFrame:
     """Scored candidates of every person: user_id, posting_id, score, reasons, hidden, rank.
 
     A person's candidates are the newest ``candidates`` (400) live postings in their
-    roles that they have not dismissed; that number is part of what a ranking means. People with the same roles (and look-back) share one
-    list, of which there are at most 512, so candidates are computed per list and
+    roles that they have not dismissed; that number is part of what a ranking means,
+    and None ranks all of them. People with the same roles (and look-back) share one
+    list, of which there are at most 512 for each look-back, so candidates are computed per list and
     handed out; work per person does not depend on the number of postings.
     Someone who dismissed d postings gets the newest 400 + d of their list before
-    the dismissed ones are taken out, which is exact whatever d is.
+    the dismissed ones are taken out, which is exact whatever d is; nobody else's
+    list grows by that.
 
-    With ``look_back`` people carry since_hours (24 to 192). ``top`` keeps only
+    With ``look_back`` people carry since_hours. ``top`` keeps only
     each person's best; reasons are written for the rows that remain.
     """
     dismissed = marks.where("mark = 'dismissed'").select("user_id", "posting_id")
@@ -279,18 +318,17 @@ def rank_for_people(
         prepare_people(people)
         .join(counts, "user_id", "left")
         .withColumn("dismissals", F.coalesce("dismissals", F.lit(0)))
-        .withColumn("since_hours", F.col("since_hours") if look_back else F.lit(0))
+        .withColumn("since_hours", F.col("since_hours").cast("int") if look_back else F.lit(0))
         .withColumn("shelf", F.when(F.size("roles") > 0, F.array_join(F.array_sort(F.array_distinct("roles")), ","))
                     .otherwise(_ANY_ROLE))
     )
-    sets = who.select("since_hours", "shelf").distinct()
-    deepest = counts.agg(F.max("dismissals")).first()[0] or 0
     # Computed and written once; first rows, deeper rows and reasons are read from there.
-    shelves = cut_lineage(_shelves(view, sets, as_of, look_back, candidates + deepest))
-    first_rows = shelves.where(F.col("place") <= candidates)
+    shelves = cut_lineage(_shelves(view, _lists(who, candidates), as_of, look_back, candidates))
     key = ["since_hours", "shelf"]
-    found = who.where("dismissals = 0").join(first_rows, key)
-    if deepest:
+    if candidates is None:
+        found = who.join(shelves, key).join(dismissed, ["user_id", "posting_id"], "left_anti")
+    else:
+        found = who.where("dismissals = 0").join(shelves.where(F.col("place") <= candidates), key)
         # The few with dismissals take a deeper slice, then lose what they dismissed.
         deeper = who.where("dismissals > 0").join(shelves, key).where(F.col("place") <= candidates + F.col("dismissals"))
         left = deeper.join(dismissed, ["user_id", "posting_id"], "left_anti")
@@ -335,10 +373,10 @@ def page(ranked: DataFrame, number: int = 1, size: int = PAGE) -> DataFrame:
     return ranked.where(F.col("rank").between((number - 1) * size + 1, number * size))
 
 
-def person_summary(ranked: DataFrame, candidates: int = CANDIDATES) -> DataFrame:
+def person_summary(ranked: DataFrame, candidates: int | None = CANDIDATES) -> DataFrame:
     """Per person: listed, hidden, and whether the candidate limit was reached."""
     return ranked.groupBy("user_id").agg(
         F.count_if(~F.col("hidden")).alias("total"),
         F.count_if("hidden").alias("hidden_count"),
-        (F.count(F.lit(1)) >= candidates).alias("capped"),
+        (F.lit(False) if candidates is None else F.count(F.lit(1)) >= candidates).alias("capped"),
     )

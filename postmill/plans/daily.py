@@ -8,13 +8,49 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from ..operators import company_match, lifecycle, matching, people, postings, register, reports, search, sectors
 from ..operators.ids import assign_ids
 from ..session import cut_lineage
 from ..sources import boards, jsonld  # noqa: F401  (register their sources)
+from ..sources.files import read_register
 from ..sources.registry import read_boards
+from ..sources.tables import BucketedTable
+
+
+REGISTER = ("name_key string, town_key string, name string, town string, county string, rating string, ratings array<string>, "
+            "worker_types array<string>, routes array<string>, sector_tags array<string>")
+
+
+class Refused(ValueError):
+    """An import that was not published; ``counts`` says what was read."""
+
+    def __init__(self, message: str, counts: dict[str, int]):
+        super().__init__(message)
+        self.counts = counts
+
+
+def import_publication(spark, path: str, table: BucketedTable, version: int, minimum: int) -> dict[str, int]:
+    """Read a register CSV and publish its employers as a version of ``table`` (schema REGISTER).
+
+    Rows, ragged rows and employers are counted by the very pass that writes them. With
+    fewer than ``minimum`` employers the version is never published and ``Refused`` is
+    raised. Returns the counts.
+    """
+    read, built = Observation(), Observation()
+    rows = read_register(spark, path).observe(read, F.count(F.lit(1)).alias("rows"), F.count_if("ragged").alias("ragged"))
+    employers = register.collapse(rows).observe(built, F.count(F.lit(1)).alias("employers"))
+    counts: dict[str, int] = {}
+
+    def accept() -> None:
+        counts.update({**read.get, **built.get})
+        if counts["employers"] < minimum:
+            raise Refused(f"refusing to import: {counts['employers']} employers, fewer than {minimum}", counts)
+
+    table.write(employers, version, accept=accept)
+    return counts
 
 
 def import_register(rows: DataFrame, stored: DataFrame, import_id: int, as_of, minimum: int | None = None) -> DataFrame:

@@ -226,8 +226,6 @@ def test_plans(spark):
     assert facets.count("lineitem.parquet") == 1, "all facets come from one scan of the postings"
     normal = postings.normalise(raw_job(spark, [(0, 0, "1", "Developer", "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in normal and "EvalPython" not in normal
-    top = matching._numbered(i.raw("postings"), ["role_family"], 400)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in top
 
 
 def test_daily_plans_end_to_end(spark):
