@@ -67,7 +67,7 @@ def board_name_agreement(spark, sf):
 
 
 # ---------------------------------------------------------------- links
-def _board_sql(expr: str) -> str:
+def board_sql(expr: str) -> str:
     reserved = ", ".join(q(s) for s in rules.RESERVED_SLUGS)
     arms = []
     for vendor, pattern in rules.BOARD_LINKS:
@@ -83,7 +83,7 @@ def _board_sql(expr: str) -> str:
     return f"coalesce({', '.join(arms)})"
 
 
-@query("K9", f"""SELECT page_id, {_board_sql('html')} AS board FROM site_pages""", ("site_pages",))
+@query("K9", f"""SELECT page_id, {board_sql('html')} AS board FROM site_pages""", ("site_pages",))
 def page_board_links(spark, sf):
     p = Inputs(spark, sf).raw("site_pages")
     return p.withColumn("b", pages.board_link(F.col("html"))).select("page_id", F.when(F.col("b").isNotNull(), F.concat("b.ats", F.lit(":"), "b.slug")).alias("board"))
@@ -113,10 +113,13 @@ def _top(inner: str) -> str:
 _ROOT = "array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 2, 1), len(string_split(host, '.'))), '.')"
 
 
-@query("K10 E6", f"""WITH {LINKS}, scored AS (SELECT *, {_board_sql('link')} IS NOT NULL AS board FROM a4 WHERE NOT {d.rx('href', rules.CAREER_NOISE)}), """ + _top(
+CAREERS = f"""{LINKS}, scored AS (SELECT *, {board_sql('link')} IS NOT NULL AS board FROM a4 WHERE NOT {d.rx('href', rules.CAREER_NOISE)}), """ + _top(
     f"""SELECT * FROM (SELECT *, CAST(CASE WHEN board THEN 6 ELSE 0 END + CASE WHEN {d.rx("concat(path, regexp_extract(link, '^https?://([^/?#:]+)', 1))", rules.CAREER_HREF)} THEN 3 ELSE 0 END
         + CASE WHEN {d.rx('txt', rules.CAREER_TEXT)} AND length(txt) < 60 THEN 2 ELSE 0 END AS INTEGER) AS score FROM scored
-      WHERE board OR ends_with(lhost, {_ROOT}) OR ends_with({_ROOT}, lhost)) x WHERE score >= 2 AND (board OR score >= 3 OR {d.rx('path', rules.CAREER_HREF)})""").replace("SELECT page_id, link, score, rank", "top AS (SELECT page_id, link, score, rank", 1) + ") SELECT * FROM top", ("site_pages",))
+      WHERE board OR ends_with(lhost, {_ROOT}) OR ends_with({_ROOT}, lhost)) x WHERE score >= 2 AND (board OR score >= 3 OR {d.rx('path', rules.CAREER_HREF)})""").replace("SELECT page_id, link, score, rank", "top AS (SELECT page_id, link, score, rank", 1) + ")"
+
+
+@query("K10 E6", f"WITH {CAREERS} SELECT * FROM top", ("site_pages",))
 def page_careers_links(spark, sf):
     p = Inputs(spark, sf).raw("site_pages")
     return pages.careers_links(p, ["page_id"]).select("page_id", "link", "score", F.col("rank").cast("long").alias("rank"))

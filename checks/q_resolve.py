@@ -10,7 +10,8 @@ from postmill.operators import register, resolve
 from . import duck as d
 from .bindings import NOW, pick, q
 from .catalog import AS_OF, Inputs, joined, query
-from .q_pages import scored_pages, sql_evidence
+from .q_company import PARSED, _sic_tags
+from .q_pages import CAREERS, board_sql, scored_pages, sql_evidence
 
 _GROUP = "concat('e', CAST(page_id - page_id % 5 AS VARCHAR))"
 
@@ -157,9 +158,66 @@ def register_forced_publication(spark, sf):
     return register.new_publications(files, log, force=again).select(F.date_format("published_on", "yyyy-MM-dd").alias("published_on"))
 
 
-@query("K12 K17")
+def _landed(p):
+    """The pages themselves, and careers pages on some of their hosts."""
+    origin = F.lower(F.regexp_extract("url", "^(https?://[^/?#]+)", 1))
+    body = (F.when(F.col("page_id") % 4 == 0, F.concat(F.lit('<title>Careers</title><a href="https://jobs.lever.co/team'), "page_id", F.lit('">x</a>')))
+            .when(F.col("page_id") % 4 == 1, "<h1>Join us</h1>").otherwise("<title>Nothing here</title>"))
+    more = p.where("page_id % 3 <> 1").select(
+        F.concat(origin, F.when(F.col("page_id") % 2 == 0, "/careers").otherwise("/careers/open")).alias("url"), "page_id", body.alias("html"))
+    one = more.groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
+    return p.select("url", "html").unionByName(one).withColumn("status", F.lit(200))
+
+
+_TAGS_OF = f"flatten(list_transform(list_filter(sic, lambda c: {_sic_tags('c')} <> ''), lambda c: string_split({_sic_tags('c')}, ',')))"
+
+
+def sql_assembled() -> str:
+    origin = "lower(regexp_extract(url, '^(https?://[^/?#]+)', 1))"
+    tag = lambda t: f"regexp_extract(html, '(?i)<{t}\\b[^>]*>([\\s\\S]*?)</{t}>', 1)"
+    paths = ", ".join(f"({i}, {q(p)})" for i, p in enumerate(rules.CAREER_PATHS))
+    site = d.sector_tags("title", rules.SITE_TEXT_TAGS)
+    return f"""WITH {PARSED}, {CAREERS}, ev AS ({sql_evidence()}),
+    c AS (SELECT concat('e', CAST(page_id - page_id % 5 AS VARCHAR)) AS name_key, page_id % 5 AS position, e.*, s.url, s.html, page_id % 5 = 4 AS claimed,
+          CASE WHEN page_id % 5 = 4 THEN greatest(confidence, 0.85) ELSE confidence END AS conf FROM ev e JOIN site_pages s USING (page_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY name_key ORDER BY NOT claimed, NOT (conf >= 0.8), CASE WHEN conf >= 0.8 THEN 0.0 ELSE -conf END, position) AS n FROM c),
+    w AS (SELECT *, {origin} AS home, CASE WHEN conf >= 0.6 THEN 'resolved' WHEN conf >= 0.4 THEN 'candidate' ELSE 'not_found' END AS status FROM r WHERE n = 1),
+    ok AS (SELECT * FROM w WHERE status = 'resolved'),
+    more AS (SELECT concat({origin}, CASE WHEN page_id % 2 = 0 THEN '/careers' ELSE '/careers/open' END) AS url, page_id,
+          CASE page_id % 4 WHEN 0 THEN concat('<title>Careers</title><a href="https://jobs.lever.co/team', CAST(page_id AS VARCHAR), '">x</a>') WHEN 1 THEN '<h1>Join us</h1>'
+               ELSE '<title>Nothing here</title>' END AS html FROM site_pages WHERE page_id % 3 <> 1),
+    landed AS (SELECT url, html FROM site_pages UNION ALL SELECT url, arg_min(html, page_id) FROM more GROUP BY url),
+    page AS (SELECT url, coalesce({board_sql('url')}, {board_sql('html')}) AS board, {d.rx(f"concat_ws(' ', {tag('title')}, {tag('h1')})", rules.CAREER_HEADING)} AS speaks FROM landed),
+    followed AS (SELECT o.name_key, t.link, t.rank, {board_sql('t.link')} AS direct, page.board AS page_board, page.url IS NOT NULL AS seen
+          FROM ok o JOIN top t ON t.page_id = o.page_id LEFT JOIN page ON page.url = t.link),
+    by_link AS (SELECT name_key, arg_min(link, rank) FILTER (direct IS NOT NULL OR seen) AS careers_url,
+          arg_min(coalesce(direct, page_board), rank) FILTER (coalesce(direct, page_board) IS NOT NULL) AS link_board FROM followed GROUP BY 1),
+    tried AS (SELECT o.name_key, p.n AS n, page.url AS link, page.board AS board FROM ok o, (VALUES {paths}) p(n, path) JOIN page ON page.url = concat(o.home, p.path) WHERE page.speaks),
+    common AS (SELECT name_key, arg_min(struct_pack(link := link, board := board), n) AS m FROM tried GROUP BY 1),
+    careers AS (SELECT o.name_key, coalesce(l.careers_url, x.m.link) AS careers_url,
+          coalesce({board_sql('o.html')}, l.link_board, CASE WHEN l.careers_url IS NULL THEN x.m.board END) AS board
+        FROM ok o LEFT JOIN by_link l ON l.name_key = o.name_key LEFT JOIN common x ON x.name_key = o.name_key),
+    labels AS (SELECT *, {d.normalise_text("CASE page_id % 3 WHEN 0 THEN phrase WHEN 1 THEN concat(phrase, ' research centre') ELSE 'something else' END")} AS label FROM c),
+    found AS (SELECT name_key, min(page_id) AS k FROM labels WHERE page_id % 4 = 0 AND (label = phrase OR starts_with(label, concat(phrase, ' '))) GROUP BY 1),
+    firms AS (SELECT concat('e', CAST(CAST(number AS BIGINT) * 5 AS VARCHAR)) AS name_key, number, status, born, sic FROM companies),
+    j AS (SELECT w.*, k.careers_url, k.board, f.k, b.number, b.born, coalesce(b.sic, []) AS sic, CASE WHEN w.status = 'resolved' THEN {site} ELSE '' END AS site
+        FROM w LEFT JOIN careers k ON k.name_key = w.name_key LEFT JOIN found f ON f.name_key = w.name_key LEFT JOIN firms b ON b.name_key = w.name_key),
+    t AS (SELECT *, list_concat({_TAGS_OF}, CASE WHEN site = '' THEN [] ELSE string_split(concat(site, ',tech'), ',') END) AS tags FROM j)
+    SELECT name_key, status AS resolve_status, CASE WHEN status = 'resolved' THEN home END AS website, careers_url,
+      CASE WHEN board IS NOT NULL THEN string_split(board, ':')[1] END AS ats_type, CASE WHEN board IS NOT NULL THEN substr(board, strpos(board, ':') + 1) END AS ats_slug,
+      array_to_string(list_filter(tags, lambda e, i: list_position(tags, e) = i), ',') AS sector_tags,
+      'Q' || CAST(k AS VARCHAR) AS wikidata_id, CASE WHEN k * 3 <= 0 THEN NULL WHEN k * 3 < 10 THEN '1-9' WHEN k * 3 < 50 THEN '10-49' WHEN k * 3 < 250 THEN '50-249'
+        WHEN k * 3 < 1000 THEN '250-999' WHEN k * 3 < 5000 THEN '1000-4999' WHEN k IS NOT NULL THEN '5000+' END AS size_band,
+      number AS companies_house_no, strftime(born, '%Y-%m-%d') AS incorporated_on,
+      CASE WHEN status = 'resolved' THEN 'inferred' ELSE 'unconfirmed' END AS website_status,
+      CASE WHEN status <> 'not_found' AND claimed THEN 'wikidata' ELSE 'domain_guess' END AS website_source,
+      CASE WHEN status = 'resolved' THEN CASE WHEN careers_url IS NULL THEN 'unconfirmed' WHEN conf >= 0.85 THEN 'verified' ELSE 'inferred' END END AS careers_status,
+      board AS ats_note FROM t"""
+
+
+@query("K12 K17", sql_assembled, ("site_pages", "company_rows"))
 def profiles_assembled(spark, sf):
-    """The whole research job over landed pages: evidence, website, careers, board, profile. Rows only."""
+    """The whole research job over landed pages: evidence, website, careers, board, entity, company, profile."""
     from postmill.operators import pages
 
     p = scored_pages(spark, sf).withColumn("name_key", F.concat(F.lit("e"), (F.col("page_id") - F.col("page_id") % 5).cast("string")))
@@ -167,11 +225,18 @@ def profiles_assembled(spark, sf):
     sites = resolve.choose_website(c)
     homes = sites.where("home_url is not null").join(p.select("name_key", F.col("url").alias("home_url"), "html"), ["name_key", "home_url"])
     links = pages.careers_links(homes.withColumnRenamed("home_url", "url"), ["name_key"])
-    landed = p.select("url", F.lit(200).alias("status"), "html")
-    careers = resolve.choose_careers(homes, links, landed)
-    none = sites.limit(0)
-    entities = none.select("name_key", F.lit("").alias("entity_id"), F.lit("").alias("size_band"), F.array(F.lit("")).alias("industry"))
-    companies = none.select("name_key", F.lit("").alias("number"), F.lit("").alias("status"), F.lit(None).cast("date").alias("incorporated_on"), F.array(F.lit("")).alias("sic_codes"))
+    careers = resolve.choose_careers(homes, links, _landed(p.select("page_id", "url", "html")))
+    n = F.col("page_id")
+    phrase = text.core_phrase(F.col("org_name"))
+    label = F.when(n % 3 == 0, phrase).when(n % 3 == 1, F.concat(phrase, F.lit(" research centre"))).otherwise("something else")
+    none = F.lit(None).cast("string")
+    entities = resolve.pick_entity(p.select(
+        "name_key", "org_name", n.alias("position"), F.concat(F.lit("Q"), n).alias("entity_id"), label.alias("label"), F.lit("A company").alias("description"), none.alias("website"),
+        F.when(n % 4 == 0, F.array(F.lit("Q145"))).otherwise(F.array(F.lit("Q30"))).alias("countries"), (n * 3).alias("employees"), F.array(F.lit("software")).alias("industry")))
+    firms = Inputs(spark, sf).company_rows()
+    companies = firms.select(F.concat(F.lit("e"), F.col("number").cast("long") * 5).alias("name_key"), "number", "status", "incorporated_on", "sic_codes")
     out = resolve.assemble_profiles(sites, careers, entities, companies, AS_OF)
-    return out.select("name_key", "resolve_status", "website", "careers_url", "ats_type", "ats_slug", joined("sector_tags"),
-                      F.col("provenance")["website"]["detail"].alias("website_note"), F.col("provenance")["ats"]["detail"].alias("ats_note"))
+    said = lambda key, what: F.col("provenance")[key][what]
+    return out.select("name_key", "resolve_status", "website", "careers_url", "ats_type", "ats_slug", joined("sector_tags"), "wikidata_id", "size_band", "companies_house_no",
+                      F.date_format("incorporated_on", "yyyy-MM-dd").alias("incorporated_on"), said("website", "status").alias("website_status"),
+                      said("website", "source").alias("website_source"), said("careers_url", "status").alias("careers_status"), said("ats", "detail").alias("ats_note"))

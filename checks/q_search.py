@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from postmill.functions import dates, labels, rules
-from postmill.operators import search
+from postmill.operators import search, text_index
+from postmill.session import checkpoint_folder
 
 from . import duck as d
 from .bindings import NOW, q
@@ -60,6 +63,15 @@ def search_page_text(spark, sf):
     return search.posting_page(Inputs(spark, sf).posting_view(), F1, AS_OF).select(*SHOWN.split(", "))
 
 
+@query("B3 N2 F1", sql_page(W1, 0), VIEW_FRAMES)
+def search_page_indexed(spark, sf):
+    """The same page through the trigram index of titles and employers' names."""
+    view = Inputs(spark, sf).posting_view()
+    index = text_index.table(spark, f"{checkpoint_folder(spark).rstrip('/')}/grams-{uuid.uuid4().hex}")
+    text_index.build(index, 1, view, "posting_id", "title", "org_name")
+    return search.posting_page(text_index.narrowed(view, index, "posting_id", F1.q), F1, AS_OF).select(*SHOWN.split(", "))
+
+
 @query("B1 B5 B8 N2 F1", sql_page(W2, 20), VIEW_FRAMES)
 def search_page_filters(spark, sf):
     return search.posting_page(Inputs(spark, sf).posting_view(), F2, AS_OF).select(*SHOWN.split(", "))
