@@ -6,11 +6,13 @@ ceil(k / w). In every slot the released block with the earliest deadline goes
 next. Each source is then less than one block away from its share at every
 moment.
 
-Weights are whole tickets out of a period, which grows with the number of sources
-and the smallest weight; the schedule repeats after that many slots, in which a
+Weights are whole tickets out of a period, which is as long as the number of sources
+and the smallest weight ask for; the schedule repeats after that many slots, in which a
 source gets exactly its tickets. So one table with a row per slot holds the whole
-schedule, and a block's slot is found by arithmetic and one
-look-up. Only DataFrame functions are used.
+schedule, and a block's slot is found by arithmetic and one look-up. A source too
+light for one ticket in the longest period has one and uses it in as many periods
+as its exact weight gives; in the others that slot stays empty. One rule holds for any
+number of sources. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -24,40 +26,34 @@ BLOCK = 32
 PERIOD = 1000
 EXPONENT = 0.8
 SALTS = 1024
-#: Tickets of the smallest source below which the period grows, and those it then gets.
-FEW, ENOUGH = 5, 20
-#: The period does not grow beyond this for a small weight; for many sources it does (4 slots a source).
+#: Tickets that the smallest source shall have.
+ENOUGH = 20
+#: Longest period, the rows of the schedule's table, unless there are so many sources (4 slots a source).
 LONGEST = 1 << 18
-#: Up to so many sources, op9's query rounds as its SQL does.
-AS_SQL = 20
 
 
-def tickets(sizes: DataFrame, period: int = PERIOD, exponent: float = EXPONENT, as_sql: int = 0) -> DataFrame:
-    """(source, n) -> (source, n, tickets): target weights in proportion to n ** exponent.
+def tickets(sizes: DataFrame, period: int = PERIOD, exponent: float = EXPONENT) -> DataFrame:
+    """(source, n) -> (source, n, tickets, thin): target weights in proportion to n ** exponent.
 
-    An exponent below one lifts small sources. `period` is the least sum of tickets; it
-    grows where the smallest source would have fewer than FEW. Every source has one
+    An exponent below one lifts small sources. The sum of tickets is `period`, or more
+    where the smallest source would have fewer than ENOUGH. Every source has one
     ticket at least, the others share what is left; tickets that rounding leaves go to
     the largest fractional parts (ties: the first by size, then name, null before all).
-    With `as_sql` sources or fewer the SQL's rule holds: out of `period`, rounded
-    down, and what is left over or missing falls to the largest source.
+    `thin` is 1, or the part of the periods in which a source uses its one ticket.
     """
     # An order, so that sums of doubles come out alike whenever they are computed.
     every = Window.partitionBy(F.lit(1)).orderBy(F.col("n").desc(), F.col("source").asc_nulls_first())
     whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     power = F.pow(F.col("n").cast("double"), F.lit(exponent))
     low = sizes.withColumn("sources", F.count("*").over(whole)).withColumn("rank", F.row_number().over(every)).withColumn("share", power / F.sum(power).over(whole))
-    plain = F.greatest(F.lit(1), F.floor(F.lit(period) * power / F.sum(power).over(Window.partitionBy(F.lit(1)))).cast("int"))
-    least = F.min("share").over(whole)
-    grown = F.greatest(F.lit(period), 4 * F.col("sources"), F.least(F.ceil(ENOUGH / least), F.lit(LONGEST)))
-    low = low.withColumn("plain", plain).withColumn("period", F.when(least * period >= FEW, F.lit(period).cast("long")).otherwise(grown.cast("long")))
-    above = F.greatest(F.lit(0.0), F.col("share") * F.col("period") - 1)
+    long = F.greatest(F.lit(period), 4 * F.col("sources"), F.least(F.ceil(ENOUGH / F.min("share").over(whole)), F.lit(LONGEST)))
+    low = low.withColumn("period", long.cast("long")).withColumn("wish", F.col("share") * F.col("period"))
+    above = F.greatest(F.lit(0.0), F.col("wish") - 1)
     # One ticket each; what is above one shrinks by the part that lifts smaller sources to it.
     low = low.withColumn("exact", 1 + above * (F.col("period") - F.col("sources")) / F.sum(above).over(whole)).withColumn("down", F.floor(F.col("exact") + 1e-9))
     turn = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy((F.col("exact") - F.col("down")).desc(), "rank"))
-    fair = F.col("down") + F.when(turn <= F.col("period") - F.sum("down").over(whole), 1).otherwise(0)
-    to_first = F.col("plain") + F.when(F.col("rank") == 1, period - F.sum("plain").over(whole)).otherwise(0)
-    return low.select("source", "n", F.when(F.col("sources") <= as_sql, to_first).otherwise(fair).cast("int").alias("tickets"))
+    low = low.withColumn("tickets", (F.col("down") + F.when(turn <= F.col("period") - F.sum("down").over(whole), 1).otherwise(0)).cast("int"))
+    return low.select("source", "n", "tickets", F.when(F.col("tickets") == 1, F.least(F.lit(1.0), F.col("wish"))).otherwise(F.lit(1.0)).alias("thin"))
 
 
 def schedule(weights: DataFrame, period: int | None = None) -> DataFrame:
@@ -119,11 +115,11 @@ def numbered(df: DataFrame, key: str, source: str) -> DataFrame:
     return met.select(*[f"`{c}`" for c in df.columns], (F.col("source_row") + F.col("_before")).alias("source_row"))
 
 
-OWN = ("source_row", "tickets", "epoch", "block", "position", "salt", "_source", "_salt", "_before", "_n", "_period")
+OWN = ("source_row", "tickets", "_thin", "epoch", "block", "position", "salt", "_source", "_salt", "_before", "_n", "_period")
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: DataFrame | None = None, block: int = BLOCK,
-        period: int = PERIOD, exponent: float = EXPONENT, repeat: bool = True, as_sql: int = 0) -> DataFrame:
+        period: int = PERIOD, exponent: float = EXPONENT, repeat: bool = True) -> DataFrame:
     """The rows with their place in the mix: `epoch`, `block` (slot in the schedule) and `position` (order of rows).
 
     weights: (source, tickets) summing to `period`; without it, targets come from
@@ -140,17 +136,18 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: Dat
     """
     rows = numbered(without(df, *OWN), key, source)
     sizes = df.groupBy(F.col(f"`{source}`").alias("source")).agg(F.count("*").alias("n"))
-    plan = tickets(sizes, period, exponent, as_sql) if weights is None else sizes.join(F.broadcast(weights.select(F.col("source").alias("_w"), "tickets")), F.col("source").eqNullSafe(F.col("_w")), "left").drop("_w")
+    given = None if weights is None else weights.select(F.col("source").alias("_w"), "tickets", F.lit(1.0).alias("thin"))
+    plan = tickets(sizes, period, exponent) if weights is None else sizes.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("_w")), "left").drop("_w")
     every = Window.partitionBy(F.lit(1))
     plan = plan.withColumn("period", F.sum("tickets").over(every) if weights is None else F.lit(period).cast("long"))
     # Rows of a mix in which the source that lasts longest comes once.
-    length = F.max(F.ceil(F.col("n") * F.col("period") / F.col("tickets"))).over(every)
+    length = F.max(F.ceil(F.col("n") * F.col("period") / (F.col("tickets") * F.col("thin")))).over(every)
     plan = plan.withColumn("length", length)
     # One row per source.
-    p = plan.select(F.col("source").alias("_source"), F.col("n").alias("_n"), F.col("tickets"), F.col("period").alias("_period"), "length")
+    p = plan.select(F.col("source").alias("_source"), F.col("n").alias("_n"), F.col("tickets"), F.col("thin").alias("_thin"), F.col("period").alias("_period"), "length")
     met = rows.join(F.broadcast(p), F.col(f"`{source}`").eqNullSafe(F.col("_source")), "left")
     if repeat:
-        wanted = F.greatest(F.floor(F.col("length") * F.col("tickets") / F.col("_period")), F.col("_n"))
+        wanted = F.greatest(F.floor(F.col("length") * F.col("tickets") * F.col("_thin") / F.col("_period")), F.col("_n"))
         times = F.ceil((wanted - F.col("source_row")) / F.col("_n"))
         met = met.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), times).cast("int") - 1)))
     else:
@@ -159,35 +156,44 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: Dat
     met = met.withColumn("_k", F.floor(place / block)).withColumn("_in", place % block)
     table = schedule(plan.select("source", "tickets"), None if weights is None else period).select(F.col("source").alias("t_source"), F.col("k").alias("t_k"), "slot")
     slot = met.join(F.broadcast(table), F.col(f"`{source}`").eqNullSafe(F.col("t_source")) & (F.col("_k") % F.col("tickets") == F.col("t_k")), "left")
-    at = F.floor(F.col("_k") / F.col("tickets")) * F.col("_period") + F.col("slot")
+    # A thin source's k-th block comes when half a block more than k is due.
+    turn = F.when(F.col("_thin") < 1, F.ceil((F.col("_k") + 0.5) / F.col("_thin")) - 1).otherwise(F.floor(F.col("_k") / F.col("tickets")))
+    at = turn * F.col("_period") + F.col("slot")
     out = slot.withColumn("block", at).withColumn("position", at * block + F.col("_in"))
     return out.select(*[f"`{c}`" for c in rows.columns], "tickets", "epoch", "block", "position")
 
 
 SQL = f"""
 WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-low AS (
-  SELECT source, n, greatest(1, CAST(floor({PERIOD} * pow(n, {EXPONENT}) / sum(pow(n, {EXPONENT})) OVER ()) AS INTEGER)) AS low,
+shares AS (
+  SELECT source, n, pow(n, {EXPONENT}) / sum(pow(n, {EXPONENT})) OVER () AS share, count(*) OVER () AS sources,
          row_number() OVER (ORDER BY n DESC, source NULLS FIRST) AS rank, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM sizes),
-w AS (SELECT source, n, i, CAST(CASE WHEN rank = 1 THEN low + {PERIOD} - sum(low) OVER () ELSE low END AS BIGINT) AS w FROM low),
-weights AS (SELECT list(w ORDER BY i) AS ws, list(i ORDER BY i) AS ids FROM w),
+long AS (SELECT *, CAST(greatest({PERIOD}, 4 * sources, least(ceil({ENOUGH} / min(share) OVER ()), {LONGEST})) AS BIGINT) AS period FROM shares),
+above AS (SELECT *, share * period AS wish, greatest(0.0, share * period - 1) AS above FROM long),
+exact AS (SELECT *, 1 + above * (period - sources) / sum(above) OVER () AS exact FROM above),
+down AS (SELECT *, CAST(floor(exact + 1e-9) AS BIGINT) AS down FROM exact),
+w AS (
+  SELECT source, n, i, period, wish, down + CASE WHEN row_number() OVER (ORDER BY exact - down DESC, rank) <= period - sum(down) OVER () THEN 1 ELSE 0 END AS w FROM down),
+weights AS (SELECT list(w ORDER BY i) AS ws, list(i ORDER BY i) AS ids, any_value(period) AS period FROM w),
 run(t, ks, pick) AS (
   SELECT CAST(-1 AS BIGINT), list_transform(ids, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS STRUCT(d BIGINT, i BIGINT, k BIGINT)) FROM weights
   UNION ALL
   SELECT t + 1, list_transform(ids, lambda x: CASE WHEN x = best.i THEN ks[x + 1] + 1 ELSE ks[x + 1] END), best
-  FROM (SELECT t, ks, ids, list_sort(list_transform(list_filter(ids, lambda x: (ks[x + 1] * {PERIOD}) // ws[x + 1] <= t + 1),
-               lambda x: struct_pack(d := CAST(((ks[x + 1] + 1) * {PERIOD} + ws[x + 1] - 1) // ws[x + 1] AS BIGINT), i := CAST(x AS BIGINT), k := CAST(ks[x + 1] AS BIGINT))))[1] AS best
-        FROM run, weights WHERE t < {PERIOD - 1})),
-plan AS (SELECT source, n, i, w, max(CAST(ceil(n * {PERIOD} / w) AS BIGINT)) OVER () AS length FROM w),
-longest AS (SELECT source, n, i, w, greatest(CAST(floor(length * w / {PERIOD}) AS BIGINT), n) AS wanted FROM plan),
+  FROM (SELECT t, ks, ids, period, list_sort(list_transform(list_filter(ids, lambda x: (ks[x + 1] * period) // ws[x + 1] <= t + 1),
+               lambda x: struct_pack(d := CAST(((ks[x + 1] + 1) * period + ws[x + 1] - 1) // ws[x + 1] AS BIGINT), i := CAST(x AS BIGINT), k := CAST(ks[x + 1] AS BIGINT))))[1] AS best
+        FROM run, weights WHERE t < period - 1)),
+thinned AS (SELECT source, n, i, period, w, CASE WHEN w = 1 THEN least(1.0, wish) ELSE 1.0 END AS thin FROM w),
+plan AS (SELECT *, max(CAST(ceil(n * period / (w * thin)) AS BIGINT)) OVER () AS length FROM thinned),
+longest AS (SELECT *, greatest(CAST(floor(length * w * thin / period) AS BIGINT), n) AS wanted FROM plan),
 docs AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY h % {SALTS}, h, doc_id) - 1 AS r
   FROM (SELECT doc_id, source, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents)),
 places AS (
-  SELECT doc_id, d.source, w, i, n, r, unnest(range(greatest(1, CAST(ceil((wanted - r) / n) AS BIGINT)))) AS epoch
+  SELECT doc_id, d.source, w, thin, period, i, n, r, unnest(range(greatest(1, CAST(ceil((wanted - r) / n) AS BIGINT)))) AS epoch
   FROM docs d JOIN longest l ON d.source IS NOT DISTINCT FROM l.source),
-slots AS (SELECT *, (r + epoch * n) // {BLOCK} AS k, (r + epoch * n) % {BLOCK} AS inside FROM places)
+slots AS (SELECT *, (r + epoch * n) // {BLOCK} AS k, (r + epoch * n) % {BLOCK} AS inside FROM places),
+turns AS (SELECT *, CASE WHEN thin < 1 THEN CAST(ceil((k + 0.5) / thin) AS BIGINT) - 1 ELSE k // w END AS turn FROM slots)
 SELECT doc_id, source, CAST(r AS BIGINT) AS source_row, CAST(w AS INTEGER) AS tickets, CAST(epoch AS INTEGER) AS epoch,
-       CAST((k // w) * {PERIOD} + t AS BIGINT) AS block, CAST(((k // w) * {PERIOD} + t) * {BLOCK} + inside AS BIGINT) AS position
-FROM slots s JOIN run ON run.pick.i = s.i AND run.pick.k = s.k % s.w
+       CAST(turn * period + t AS BIGINT) AS block, CAST((turn * period + t) * {BLOCK} + inside AS BIGINT) AS position
+FROM turns s JOIN run ON run.pick.i = s.i AND run.pick.k = s.k % s.w
 """

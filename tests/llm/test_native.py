@@ -1,6 +1,7 @@
 """Sharding and mixing against plain folds."""
 
 import hashlib
+import math
 from collections import Counter
 
 import pytest
@@ -75,8 +76,9 @@ def test_mix_keeps_every_row_and_its_shares(spark):
     assert Counter((r.doc_id, r.source) for r in out if r.epoch == 0) == Counter(rows)
     assert len({r.position for r in out}) == len(out)
     n = Counter(r.source for r in out)
+    period = sum(t for _, t in {(r.source, r.tickets) for r in out})
     for r in {r.source: r for r in out}.values():
-        assert abs(n[r.source] / len(out) - r.tickets / 100) < 0.02
+        assert abs(n[r.source] / len(out) - r.tickets / period) < 0.02
     once = mixing.mix(df, block=4, period=100, repeat=False).collect()
     assert Counter((r.doc_id, r.source) for r in once) == Counter(rows)
     assert mixing.mix(df.limit(0)).count() == 0
@@ -92,19 +94,53 @@ def test_mix_to_given_weights(spark):
         assert abs(ordered[:t].count("a") - t / 2) < 2
 
 
-@pytest.mark.parametrize("small", [300, 1200])
-def test_any_number_of_sources_gets_its_target(spark, small):
-    sizes = spark.createDataFrame([("big", small * 5)] + [(f"s{i:04}", 10) for i in range(small)], "source string, n long")
-    got = {r.source: r.tickets for r in mixing.tickets(sizes).collect()}
-    exact = (small * 5) ** 0.8 / ((small * 5) ** 0.8 + small * 10**0.8)
-    period = sum(got.values())
-    assert len(got) == small + 1 and abs(got["big"] / period - exact) < 0.001
-    assert all(abs(n / period - (1 - exact) / small) < 0.06 * (1 - exact) / small for s, n in got.items() if s != "big")
+def plain_tickets(sizes, period=1000, exponent=0.8):
+    """sizes: [(source, n)] -> {source: (tickets, part of the periods in which its one ticket is used)}."""
+    order = sorted(sizes, key=lambda x: (-x[1], x[0] is not None, x[0] or ""))
+    total = sum(n**exponent for _, n in order)
+    share = {s: n**exponent / total for s, n in order}
+    period = max(period, 4 * len(order), min(math.ceil(mixing.ENOUGH / min(share.values())), mixing.LONGEST))
+    above = {s: max(0.0, x * period - 1) for s, x in share.items()}
+    exact = {s: 1 + x * (period - len(order)) / sum(above.values()) for s, x in above.items()}
+    got = {s: math.floor(x + 1e-9) for s, x in exact.items()}
+    place = {s: i for i, (s, _) in enumerate(order)}
+    for s in sorted(got, key=lambda s: (round(got[s] - exact[s], 9), place[s]))[: period - sum(got.values())]:
+        got[s] += 1
+    return {s: (t, min(1.0, share[s] * period) if t == 1 else 1.0) for s, t in got.items()}
+
+
+@pytest.mark.parametrize("small, size", [(18, 500), (19, 500), (20, 500), (300, 10), (1200, 10)])
+def test_one_rule_for_any_number_of_sources(spark, small, size):
+    sizes = [("big", 15000 if size == 500 else small * 5)] + [(f"s{i:04}", size) for i in range(small)]
+    got = {r.source: (r.tickets, r.thin) for r in mixing.tickets(spark.createDataFrame(sizes, "source string, n long")).collect()}
+    assert got == plain_tickets(sizes)
+    total, period = sum(n**0.8 for _, n in sizes), sum(t for t, _ in got.values())
+    assert all(abs(got[s][0] / period - n**0.8 / total) < 0.06 * n**0.8 / total for s, n in sizes)
+
+
+def test_a_source_of_almost_no_weight(spark):
+    sizes = [("big", 10**9), ("mid", 10**6), ("one", 1)]
+    got = {r.source: r for r in mixing.tickets(spark.createDataFrame(sizes, "source string, n long")).collect()}
+    period, total = sum(r.tickets for r in got.values()), sum(n**0.8 for _, n in sizes)
+    for s, n in sizes:
+        assert abs(got[s].tickets * got[s].thin / period - n**0.8 / total) < 0.01 * n**0.8 / total
+    # Its one ticket is used in few periods, about evenly: never more than a block off.
+    rows = [(i, "big") for i in range(4000)] + [(9000 + i, "rare") for i in range(3)]
+    old = mixing.LONGEST
+    mixing.LONGEST = 20
+    try:
+        out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block=1, period=20).collect()
+    finally:
+        mixing.LONGEST = old
+    share = 3**0.8 / (4000**0.8 + 3**0.8)
+    at = sorted(r.position for r in out if r.source == "rare")
+    assert Counter((r.doc_id, r.source) for r in out if r.epoch == 0) == Counter(rows) and len({r.position for r in out}) == len(out)
+    assert all(abs(k - share * p) < 1 and abs(k + 1 - share * (p + 1)) < 1.05 for k, p in enumerate(at))
 
 
 def test_mix_of_many_sources(spark):
     rows = [(i, "big" if i % 3 == 0 else f"s{i % 60}") for i in range(1800)]
-    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block=1, period=30, as_sql=20).collect()
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block=1, period=30).collect()
     assert Counter((r.doc_id, r.source) for r in out if r.epoch == 0) == Counter(rows) and len({r.position for r in out}) == len(out)
     tickets = {r.source: r.tickets for r in out}
     want = [(t, s, k) for s, k, t in plain_schedule(tickets)]
