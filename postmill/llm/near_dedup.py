@@ -9,7 +9,8 @@ far less for closer texts.
 
 Candidates are confirmed on full shingle sets:
 
-1. Texts of one shingle set are one representative.
+1. Texts of one shingle set are one representative, known by the set's digest; rows that
+   share an id but not a text so stay apart.
 2. Keys that only one representative has are dropped before tables are formed.
 3. In each table all members are compared with one hub, the member that meets
    most others. That is one pair per member, not one per pair of members.
@@ -84,14 +85,29 @@ def _sketches(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 
 def _full_sets(df: DataFrame, size: int) -> DataFrame:
-    """(id, text) -> (id, set)."""
+    """(text) -> (sig, set)."""
 
     def run(batches):
         for batch in batches:
-            for lo, hi, w in bw.words(batch.column(1), bw.NOT_SPACE):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.view(np.int64) for s in shingle_sets(w, size)], pa.list_(pa.int64()))], names=["id", "set"])
+            for lo, hi, w in bw.words(batch.column(0), bw.NOT_SPACE):
+                sets = list(shingle_sets(w, size))
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sig", "set"])
+
+    return df.select("text").mapInArrow(run, "sig binary, set array<bigint>")
+
+
+def _with_sig(df: DataFrame, text: str, size: int) -> DataFrame:
+    """The rows with `_sig`, the digest of their set (null for an empty one)."""
+
+    def run(batches):
+        for batch in batches:
+            sig = []
+            for _, _, w in bw.words(batch.column(batch.schema.get_field_index(text)), bw.NOT_SPACE):
+                sig += [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in shingle_sets(w, size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sig, pa.binary())], names=[*batch.schema.names, "_sig"])
 
-    return df.select("id", "text").mapInArrow(run, "id bigint, set array<bigint>")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, f"{kinds}, _sig binary")
 
 
 def _linked(inter, n1, n2, percent: int):
@@ -155,16 +171,21 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int =
     one shingle). component_id is the smallest key that can be reached. Null and empty
     texts have no shingle and are linked with nothing. A row without a key is linked
     with nothing, has no component and is kept. Rows with equal keys are judged each
-    by its own text. An empty table stays empty. Keys are whole numbers.
+    by its own text: equal texts under one key share all values. An empty table stays
+    empty. Keys are whole numbers. The result's columns are fixed; others of the input are
+    not read.
     """
     with scratch(df.sparkSession) as keep:
-        return cut_lineage(_group(df, key, text, shingle, percent, keep))
+        out = _judged(df, key, text, shingle, percent, keep)
+        return cut_lineage(out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", "kept"))
 
 
-def _group(df: DataFrame, key: str, text: str, shingle: int, percent: int, keep) -> DataFrame:
+def _judged(df: DataFrame, key: str, text: str, shingle: int, percent: int, keep) -> DataFrame:
+    """(id, n, sig, component_id, kept) of each row. Within, a representative is known by a number of its own."""
     sketches = keep(_sketches(df, key, text, shingle))
     usable = sketches.filter("n > 0 AND id IS NOT NULL")
-    reps = keep(usable.groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")))
+    reps = usable.groupBy("sig").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
+    reps = keep(reps.withColumn("id", F.monotonically_increasing_id()))
 
     def common(side: str) -> DataFrame:
         each = reps.select("id", F.explode(side).alias(side))
@@ -180,15 +201,17 @@ def _group(df: DataFrame, key: str, text: str, shingle: int, percent: int, keep)
     pairs = spokes.filter("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
 
     wanted = met.select("id").distinct()
-    texts = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    # A representative's set: of rows with its key, the one whose digest is the representative's.
-    sets = keep(_full_sets(texts.join(wanted, "id", "left_semi"), shingle).join(reps.select("id", "n", "b"), "id").filter(F.size("set") == F.col("n")).dropDuplicates(["id", "n"]))
+    wanted = reps.join(wanted, "id", "left_semi").select("sig", "id", "n", "b", "least")
+    # A representative's set: of the rows with its least key, the one whose digest is its own.
+    texts = df.select(F.col(f"`{key}`").cast("long").alias("least"), F.col(f"`{text}`").alias("text")).join(wanted.select("least").distinct(), "least", "left_semi")
+    sets = keep(_full_sets(texts, shingle).dropDuplicates(["sig"]).join(wanted.drop("least"), "sig").select("id", "n", "b", "set"))
     one, two = sets.select(F.col("id").alias("u"), F.col("n").alias("n1"), F.col("set").alias("s1")), sets.select(F.col("id").alias("v"), F.col("n").alias("n2"), F.col("set").alias("s2"))
     sized = sets.select("id", "n")
     pairs = pairs.join(sized.select(F.col("id").alias("u"), F.col("n").alias("m1")), "u").join(sized.select(F.col("id").alias("v"), F.col("n").alias("m2")), "v")
     pairs = pairs.filter(100 * F.least("m1", "m2") >= percent * F.greatest("m1", "m2")).select("u", "v")
     inter = F.size(F.array_intersect("s1", "s2"))
-    links = written(pairs.join(one, "u").join(two, "v").withColumn("inter", inter).filter(_linked(F.col("inter"), F.col("n1"), F.col("n2"), percent)).select("u", "v"), keep)
+    # Members' own sets come first: a hub's set then goes to its members' tasks, not with each member.
+    links = written(pairs.join(two, "v").join(one, "u").withColumn("inter", inter).filter(_linked(F.col("inter"), F.col("n1"), F.col("n2"), percent)).select("u", "v"), keep)
 
     first = written(components(links, keep), keep)
     labelled = spokes.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -201,17 +224,33 @@ def _group(df: DataFrame, key: str, text: str, shingle: int, percent: int, keep)
     linked = links.union(more)
     found = components(linked, keep)
 
-    classes = reps.select("sig", F.col("id").alias("rep")).join(found, F.col("rep") == F.col("id"), "left").select("sig", F.coalesce("component", "rep").alias("component"))
+    classes = reps.select("sig", "least", F.col("id").alias("rep")).join(found, F.col("rep") == F.col("id"), "left").select("sig", "least", F.coalesce("component", "rep").alias("component"))
+    first_ids = written(classes.groupBy("component").agg(F.min("least").alias("component_id")), keep)
+    classes = classes.join(first_ids, "component").select("sig", "component_id")
     out = sketches.select("id", "n", "sig").join(classes, "sig", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select("id", "n", "sig", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of which `group` keeps; of other groups' members only those of the smallest key stay."""
-    gone = group(df, key, text, shingle, percent).filter("NOT kept").select(F.col(key).alias("_gone")).distinct()
-    return without(df, "_gone").join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    """One row of each group stays, with the smallest key; rows without a shingle or a key all stay.
+
+    Rows that share a key are judged by their texts: of equal texts under the group's key
+    one stays, and a text of another group is not lost with its namesake.
+    """
+    rows = without(df, "_gone", "_sig")
+    id_ = F.col(f"`{key}`").cast("long")
+    with scratch(df.sparkSession) as keep:
+        judged = keep(_judged(rows, key, text, shingle, percent, keep).filter("id IS NOT NULL"))
+        # Keys of several rows, as a rule none: their rows are told apart by digest. These small tables outlive the block.
+        repeated = written(judged.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("id").alias("_gone")))
+        gone = written(judged.filter("NOT kept").select(F.col("id").alias("_gone"), F.col("sig").alias("_lost")).distinct())
+    single = rows.join(gone.select("_gone").union(repeated), id_ == F.col("_gone"), "left_anti")
+    several = _with_sig(rows.join(repeated, id_ == F.col("_gone"), "left_semi"), text, shingle)
+    several = several.join(gone, (id_ == F.col("_gone")) & (F.col("_sig") == F.col("_lost")), "left_anti")
+    texts = several.filter("_sig IS NOT NULL").dropDuplicates([key, "_sig"])
+    return single.unionByName(texts.drop("_sig")).unionByName(several.filter("_sig IS NULL").drop("_sig"))
 
 
 def sql(shingle: int, percent: int) -> str:

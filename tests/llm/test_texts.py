@@ -87,19 +87,24 @@ def shingles(t, k):
 
 
 def brute_groups(docs, k, percent):
+    """Rows are nodes; a group's id is the least of its rows' ids."""
     sets = [(i, shingles(t, k)) for i, t in docs]
-    root = {i: i for i, _ in docs if i is not None}
+    root = list(range(len(sets)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for (i, a), (j, b) in combinations(sets, 2):
+    for x, y in combinations(range(len(sets)), 2):
+        (i, a), (j, b) = sets[x], sets[y]
         if a and b and i is not None and j is not None and 100 * len(a & b) >= percent * len(a | b):
-            x, y = find(i), find(j)
-            root[max(x, y)] = min(x, y)
-    return sorted(((i, len(s), None if i is None else find(i), i is None or find(i) == i) for i, s in sets), key=repr)
+            root[max(find(x), find(y))] = min(find(x), find(y))
+    least = {}
+    for x, (i, _) in enumerate(sets):
+        if i is not None:
+            least[find(x)] = min(i, least.get(find(x), i))
+    return sorted(((i, len(s), None if i is None else least[find(x)], i is None or least[find(x)] == i) for x, (i, s) in enumerate(sets)), key=repr)
 
 
 def edited(rng, words, n):
@@ -133,6 +138,18 @@ def test_keeping_one_of_each_group(spark):
     assert sorted(r.doc_id for r in out.collect()) == [0, 9, 10, 11] and out.columns == d.columns
 
 
+def test_rows_that_share_an_id(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "sun moon star sky cloud rain")
+    rows = [(1, a, 1), (5, b, 2), (5, a, 3), (9, b, 4), (7, c, 5), (7, c, 6), (8, None, 7), (8, "", 8), (None, a, 9), (None, a, 10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, KEPT int")
+    got = near_dedup.group(d)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_groups([r[:2] for r in rows], 5, 80)
+    left = near_dedup.keep_one(d)
+    assert left.columns == d.columns
+    kept = sorted(((r.doc_id, r.text) for r in left.collect()), key=repr)
+    assert kept == sorted([(1, a), (5, b), (7, c), (8, None), (8, ""), (None, a), (None, a)], key=repr)
+
+
 # -- repeated strings --------------------------------------------------------
 
 def test_suffix_array():
