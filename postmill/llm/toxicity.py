@@ -6,10 +6,11 @@ the inner products of the features' vectors, so words that are harmful only
 together are learnt as pairs.
 
 The machine is fitted on a bounded sample of labelled rows (SAMPLE, the first by
-hash of their id), by full-batch Adam on the places that tell the classes apart
-best, alone (`telling`) or within the texts that hold one of those (`partners`):
-at most FEATURES of each kind, counted by Spark; only these of each row reach the
-driver. Scoring reads every whole text.
+hash of their id), by full-batch Adam on the places that tell the classes apart,
+alone (`telling`) or as two words in one text (`together`), however little either
+word tells by itself: at most FEATURES of each kind, counted by Spark; only these of
+each row reach the driver. All words' pairs are counted, in blocks of columns of the
+words' co-occurrence matrix. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -30,16 +31,23 @@ FACTORS = 8
 FEATURES = 8192
 SAMPLE = 20_000
 THRESHOLD = 0.3
-#: Standard units from chance from which a place counts: by itself, and within the texts of another one.
-ALONE, BESIDE = 3.0, 4.5
-#: Texts that must hold a pair.
+#: Standard units from chance from which a place counts, and (by likelihood ratio) from the likelier of its two words from which a pair does.
+ALONE, PAIR = 2.5, 6.0
+#: Texts, and toxic ones, that must hold a word or pair to be counted as a pair.
 TOGETHER = 8
-#: Places are dealt to so many groups (a power of two) by their last bits to be counted beside seeds.
-GROUPS = 32
+#: Blocks of the co-occurrence matrix, a task each.
+GROUPS = 8
+#: Texts that are multiplied at a time.
+_CHUNK = 512
 #: Lengths in bytes of the beginnings that count beside the word itself.
 BEGINNINGS = (4, 5, 6, 7, 8)
 
 
+def word_places(w: bw.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place) of all words, not yet distinct."""
+    return w.text_of(), (bw.mix64(bw.range_hash(bw.BYTE_VALUE[w.data], w.start, w.end)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def places(w: bw.Words) -> tuple[np.ndarray, np.ndarray]:
     """(text, place) of all words and of their beginnings, not yet distinct."""
     size, text = w.end - w.start, w.text_of()
@@ -86,39 +94,54 @@ def telling(both: np.ndarray, in1: np.ndarray, n: float, n1: float, features: in
     return np.sort(first[contrast[first] > ALONE])
 
 
-def seeds(chosen: np.ndarray, both: np.ndarray) -> np.ndarray:
-    """The chosen places, ascending, within whose texts another one can be BESIDE units from chance: m texts allow at most sqrt(m - 1)."""
-    return chosen[both[chosen] - 1 > BESIDE**2]
+def pairable(both: np.ndarray, in1: np.ndarray, features: int) -> np.ndarray:
+    """The places, ascending, in texts enough to stand in a pair; of more than `features` those in most toxic texts."""
+    found = np.flatnonzero((both >= TOGETHER) & (in1 >= TOGETHER))
+    return np.sort(found[np.lexsort((found, -in1[found]))[:features]])
 
 
-def _spans(low: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers from each low, size of them, one run after the other."""
-    return np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
+def surprise(n: np.ndarray, n1: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Root of the likelihood ratio statistic of n1 of n where `chance` of n is expected; 0 where there are no more than that."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        hits = np.where(n1 > 0, n1 * np.log(n1 / (n * chance)), 0)
+        rest = np.where(n > n1, (n - n1) * np.log((n - n1) / (n * (1 - chance))), 0)
+    return np.where(n1 > n * chance, np.sqrt(2 * np.maximum(0, np.nan_to_num(hits + rest, posinf=0))), 0)
 
 
-def beside(first: np.ndarray, place: np.ndarray, label: np.ndarray, seed: np.ndarray, seed_text: np.ndarray, seed_n: np.ndarray, seed_n1: np.ndarray, size: int) -> np.ndarray:
-    """Of each place under `size`: how far its share of toxic texts is from that of all the texts of a seed, where furthest; 0 up to BESIDE.
+def together(first: np.ndarray, word: np.ndarray, label: np.ndarray, low: int, high: int, both: np.ndarray, in1: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(word, contrast): words numbered from 0 that tell as a pair with one of [low, high) that comes before it, and that one.
 
-    Text t has the places place[first[t]:first[t + 1]]. (seed, seed_text): which seeds, by number, are in which texts.
-    seed_n, seed_n1: of each seed, all texts that hold it and the toxic ones. Pairs in fewer than TOGETHER texts do not count.
+    Text t has the words word[first[t]:first[t + 1]]. A pair's toxic texts are compared
+    with what the likelier of its two words, or chance (`share`), lets expect; the
+    contrast counts where above PAIR.
     """
-    best = np.zeros(size)
-    order = np.argsort(seed, kind="stable")
-    ends = np.cumsum(np.bincount(seed, minlength=len(seed_n)))
-    for m, m1, texts in zip(seed_n, seed_n1, np.split(seed_text[order], ends[:-1])):
-        k = first[texts + 1] - first[texts]
-        found = place[_spans(first[texts], k)]
-        n, n1, share = np.bincount(found, minlength=size), np.bincount(found, np.repeat(label[texts], k), size), m1 / m
-        spread = n * share * (1 - share) * (m - n) / max(1, m - 1)
-        contrast = np.maximum(0, np.abs(n1 - n * share) - 0.5) / np.sqrt(np.maximum(0, spread) + 0.5)
-        best = np.where((n >= TOGETHER) & (contrast > BESIDE), np.maximum(best, contrast), best)
-    return best
-
-
-def partners(best: np.ndarray, features: int) -> np.ndarray:
-    """The places, ascending, that tell most beside a seed."""
-    first = np.lexsort((np.arange(len(best)), -best))[:features]
-    return np.sort(first[best[first] > 0])
+    size, wide = high - low, len(both)
+    n, n1 = np.zeros((size, wide), np.float32), np.zeros((size, wide), np.float32)
+    for t in range(0, len(label), _CHUNK):
+        ends = first[t : t + _CHUNK + 1]
+        x = np.zeros((len(ends) - 1, wide), np.float32)
+        x[np.repeat(np.arange(len(ends) - 1), np.diff(ends)), word[ends[0] : ends[-1]]] = 1
+        toxic = label[t : t + _CHUNK] > 0
+        n += x[:, low:high].T @ x
+        n1 += x[toxic, low:high].T @ x[toxic]
+    rate = np.maximum(in1 / np.maximum(both, 1), share)
+    found, contrasts = [], []
+    for k in range(size):
+        chance = np.maximum(rate[low + k], rate)
+        contrast = surprise(n[k].astype(float), n1[k].astype(float), chance)
+        hit = np.flatnonzero((n[k] >= TOGETHER) & (contrast > PAIR) & (np.arange(wide) > low + k))
+        if len(hit):
+            found += [hit, [low + k]]
+            contrasts += [contrast[hit], [contrast[hit].max()]]
+    return (np.concatenate(found), np.concatenate(contrasts)) if found else (np.zeros(0, np.int64), np.zeros(0))
+
+
+def partners(word: np.ndarray, contrast: np.ndarray, features: int) -> np.ndarray:
+    """The distinct words, ascending; of more than `features` those of the highest contrasts."""
+    best: dict[int, float] = {}
+    for w, c in zip(word.tolist(), contrast.tolist()):
+        best[w] = max(c, best.get(w, 0.0))
+    return np.array(sorted(sorted(best, key=lambda w: (-best[w], w))[:features]), np.int64)
 
 
 def _numbers(places: np.ndarray) -> np.ndarray:
@@ -127,17 +150,11 @@ def _numbers(places: np.ndarray) -> np.ndarray:
     return index
 
 
-def _others(both: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    wanted = both >= TOGETHER
-    wanted[chosen] = False
-    return wanted
-
-
 def fit(text: np.ndarray, place: np.ndarray, label: np.ndarray, factors: int = FACTORS, features: int = FEATURES, chosen: np.ndarray | None = None,
         steps: int = 120, rate: float = 0.05, weight_decay: float = 5e-5, vector_decay: float = 2e-4, seed: int = 1) -> Machine:
     """From distinct (text, place) pairs, ascending by text, and the texts' labels (0 or 1).
 
-    Only `chosen` places count: by default the telling ones and their partners. A pair
+    Only `chosen` places count: by default the telling ones and those of telling pairs. A pair
     in a share s of the texts gets a weight only if s times what is left of its texts'
     error (up to 1) is above `vector_decay`.
     """
@@ -148,11 +165,10 @@ def fit(text: np.ndarray, place: np.ndarray, label: np.ndarray, factors: int = F
     if chosen is None:
         both, in1 = np.bincount(place, minlength=1 << BITS), np.bincount(place, label[text], 1 << BITS)
         chosen = telling(both, in1, n, n1, features)
-        first = seeds(chosen, both)
-        if len(first):
-            number, other = _numbers(first)[place], _others(both, chosen)[place]
-            starts = np.searchsorted(text[other], np.arange(n + 1))
-            chosen = np.union1d(chosen, partners(beside(starts, place[other], label, number[number >= 0], text[number >= 0], both[first], in1[first], 1 << BITS), features))
+        able = pairable(both, in1, features)
+        number = _numbers(able)[place]
+        starts = np.searchsorted(text[number >= 0], np.arange(n + 1))
+        chosen = np.union1d(chosen, able[partners(*together(starts, number[number >= 0], label, 0, len(able), both[able], in1[able], n1 / n), features)])
     index[chosen] = np.arange(len(chosen))
     feature = index[place]
     text, feature = text[feature >= 0], feature[feature >= 0]
@@ -192,28 +208,29 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     first = known.join(own.select("id").distinct(), "id", "left_semi").orderBy(key_hash(F.col("id")), "id").limit(sample)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each place: texts that have it, and toxic ones among them."""
+        """Of each place: texts that have it, toxic ones among them, and whether it is a whole word's."""
         for batch in batches:
             label_of = batch.column(1).to_numpy()
             for lo, hi, w in bw.words(batch.column(2), bw.ALPHA, bw.lower_latin):
                 t, p = bw.distinct_per_text(*places(w))
                 found, code = np.unique(p, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(code)), pa.array(np.bincount(code, label_of[lo:hi][t]).astype(np.int64))], names=["place", "n", "n1"])
+                whole = np.isin(found, word_places(w)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(code)), pa.array(np.bincount(code, label_of[lo:hi][t]).astype(np.int64)), pa.array(whole)], names=["place", "n", "n1", "word"])
 
     chosen_rows = own.join(F.broadcast(first), "id").select("id", "label", "text")
-    totals = first.agg(F.count("*"), F.sum("label")).first()
-    stats = chosen_rows.mapInArrow(counts, "place bigint, n bigint, n1 bigint").groupBy("place").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).filter("n >= 3").toArrow()
-    both, in1 = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    counted = chosen_rows.mapInArrow(counts, "place bigint, n bigint, n1 bigint, word boolean").groupBy("place")
+    stats = counted.agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"), F.max("word").alias("word")).filter("n >= 3").toArrow()
+    # Rows, as the counts are of rows: an id may come more than once.
+    totals = chosen_rows.select("label").agg(F.count("*"), F.sum("label")).first()
+    both, in1, is_word = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS, bool)
     at = stats.column("place").to_numpy()
-    both[at], in1[at] = stats.column("n").to_numpy(), stats.column("n1").to_numpy()
+    both[at], in1[at], is_word[at] = stats.column("n").to_numpy(), stats.column("n1").to_numpy(), stats.column("word").to_numpy(zero_copy_only=False).astype(bool)
     chosen = telling(both, in1, totals[0], totals[1], FEATURES) if totals[0] else np.zeros(0, np.int64)
-    begin = seeds(chosen, both)
-    if len(begin):
-        dealt = chosen_rows.mapInArrow(_dealer(_numbers(begin), _others(both, chosen)), "part int, label int, seeds array<int>, places array<int>")
-        far = dealt.groupBy("part").applyInArrow(_judge(both[begin], in1[begin]), "place int, contrast double").toArrow()
-        best = np.zeros(1 << BITS)
-        best[far.column("place").to_numpy()] = far.column("contrast").to_numpy()
-        chosen = np.union1d(chosen, partners(best, FEATURES))
+    able = pairable(np.where(is_word, both, 0), in1, FEATURES)
+    if len(able) > 1:
+        dealt = chosen_rows.mapInArrow(_dealer(_numbers(able)), "part int, label int, words array<int>")
+        far = dealt.groupBy("part").applyInArrow(_judge(both[able], in1[able], totals[1] / totals[0]), "word bigint, contrast double").toArrow()
+        chosen = np.union1d(chosen, able[partners(far.column("word").to_numpy(), far.column("contrast").to_numpy(), FEATURES)])
     index = _numbers(chosen)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,43 +248,32 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), chosen[lists.flatten().to_numpy()], label_of, chosen=chosen)
 
 
-def _dealer(seed: np.ndarray, wanted: np.ndarray):
-    """(id, label, text) rows -> of each text with seeds, a row for each group of its wanted places, with all its seeds."""
+def _dealer(number: np.ndarray):
+    """(id, label, text) rows -> each text's words by number, once for each block of the matrix."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label_of = batch.column(1).to_numpy()
             for lo, hi, w in bw.words(batch.column(2), bw.ALPHA, bw.lower_latin):
-                t, p = bw.distinct_per_text(*places(w))
-                number = seed[p]
-                begun, seeds_of = t[number >= 0], number[number >= 0]
-                t, p = t[wanted[p]], p[wanted[p]]
-                low, high = np.searchsorted(begun, t), np.searchsorted(begun, t, side="right")
-                t, p, low, high = (x[high > low] for x in (t, p, low, high))
-                order = np.argsort(t * GROUPS + p % GROUPS, kind="stable")
-                t, p, low, high = t[order], p[order], low[order], high[order]
-                start = np.flatnonzero(np.diff(t * GROUPS + p % GROUPS, prepend=-1))
-                size = (high - low)[start]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array((p[start] % GROUPS).astype(np.int32)), pa.array(label_of[lo:hi][t[start]].astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(seeds_of[_spans(low[start], size)].astype(np.int32))),
-                    pa.ListArray.from_arrays(pa.array(np.append(start, len(p)).astype(np.int32)), pa.array((p // GROUPS).astype(np.int32))),
-                ], names=["part", "label", "seeds", "places"])
+                t, p = word_places(w)
+                known = number[p] >= 0
+                t, f = bw.distinct_per_text(t[known], number[p[known]].astype(np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(t, np.arange(hi - lo + 1)).astype(np.int32)), pa.array(f))
+                for part in range(GROUPS):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, part, np.int32)), batch.column(1).slice(lo, hi - lo), lists], names=["part", "label", "words"])
 
     return deal
 
 
-def _judge(seed_n: np.ndarray, seed_n1: np.ndarray):
-    """One group's rows of `_dealer` -> its places that tell beside a seed."""
+def _judge(both: np.ndarray, in1: np.ndarray, share: float):
+    """One block's rows of `_dealer` -> its words in telling pairs."""
 
     def judge(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        seeds_of, places_of = (table.column(c).combine_chunks() for c in ("seeds", "places"))
-        first = np.concatenate([[0], np.cumsum(places_of.value_lengths().to_numpy())])
-        texts = np.repeat(np.arange(len(table)), seeds_of.value_lengths().to_numpy())
-        best = beside(first, places_of.flatten().to_numpy(), table.column("label").to_numpy(), seeds_of.flatten().to_numpy(), texts, seed_n, seed_n1, (1 << BITS) // GROUPS)
-        at = np.flatnonzero(best)
-        return pa.table({"place": pa.array((at * GROUPS + part).astype(np.int32)), "contrast": pa.array(best[at])})
+        cuts = np.linspace(0, len(both), GROUPS + 1).astype(int)
+        lists = table.column("words").combine_chunks()
+        first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        word, contrast = together(first, lists.flatten().to_numpy(), table.column("label").to_numpy(), cuts[part], cuts[part + 1], both, in1, share)
+        return pa.table({"word": pa.array(word, pa.int64()), "contrast": pa.array(contrast, pa.float64())})
 
     return judge
 
