@@ -34,10 +34,14 @@ SMOOTHING = 0.5
 SCRIPT_SHARE = 0.001
 
 #: First code points of script ranges: others, Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, other abjads, Indic, Thai and neighbours,
-#: Georgian, Hangul, other alphabets, Latin additions, Greek additions, symbols, kana, Han, others, Hangul, others.
+#: Georgian, Hangul, other alphabets, Latin additions, Greek additions, symbols, kana, Han, others, Hangul, others. Beyond U+FFFF: other
+#: alphabets, Indic, other alphabets, kana, other alphabets, symbols, Latin letters for mathematics, signs, Latin, other alphabets, Adlam,
+#: other alphabets, numbers, Arabic letters for mathematics, pictures, Han, others.
 _RANGES = ((0x0, 0), (0x41, 1), (0x5B, 0), (0x61, 1), (0x7B, 0), (0xAA, 1), (0xAB, 0), (0xC0, 1), (0x250, 1), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x780, 7), (0x900, 8),
-           (0xE00, 9), (0x10A0, 10), (0x1100, 11), (0x1200, 12), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 13), (0x3100, 14), (0x3130, 11), (0x3190, 14), (0xA000, 12), (0xAC00, 11), (0xD7B0, 0), (0xF900, 14), (0xFB00, 0))
-SCRIPTS = 15
+           (0xE00, 9), (0x10A0, 10), (0x1100, 11), (0x1200, 12), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 13), (0x3100, 14), (0x3130, 11), (0x3190, 14), (0xA000, 12), (0xAC00, 11), (0xD7B0, 0), (0xF900, 14), (0xFB00, 0), (0x10000, 12), (0x11000, 8),
+           (0x12000, 12), (0x1AFF0, 13), (0x1B170, 12), (0x1BCA0, 0), (0x1D400, 1), (0x1D800, 0), (0x1DF00, 1), (0x1E000, 12), (0x1E900, 15), (0x1E960, 12), (0x1EC70, 0),
+           (0x1EE00, 6), (0x1EF00, 0), (0x20000, 14), (0x40000, 0))
+SCRIPTS = 16
 _STARTS = np.array([s for s, _ in _RANGES])
 _SCRIPT = np.array([k for _, k in _RANGES])
 
@@ -51,7 +55,7 @@ def scripts_of(data: np.ndarray) -> np.ndarray:
     two, three, four = (d >= 0xC0) & (d < 0xE0), (d >= 0xE0) & (d < 0xF0), d >= 0xF0
     point[two] = ((d & 0x1F) << 6 | (pad[1 : n + 1] & 0x3F))[two]
     point[three] = ((d & 0x0F) << 12 | (pad[1 : n + 1] & 0x3F) << 6 | (pad[2 : n + 2] & 0x3F))[three]
-    point[four] = 0x10FFFF
+    point[four] = ((d & 0x07) << 18 | (pad[1 : n + 1] & 0x3F) << 12 | (pad[2 : n + 2] & 0x3F) << 6 | (pad[3 : n + 3] & 0x3F))[four]
     point[(d >= 0x80) & (d < 0xC0)] = 0
     return _SCRIPT[np.searchsorted(_STARTS, point, side="right") - 1]
 

@@ -288,3 +288,18 @@ def test_scripts_narrow_the_choice(spark):
     assert m.allowed[3].tolist() == [True, False] and m.allowed[1].tolist() == [False, True]
     got = language.identify(spark.createDataFrame([(1, "these хора words")], "doc_id long, text string"), m, penalty=0.1, spans=True).first()
     assert [s.lang for s in got.spans] == ["en", "bg", "en"]
+
+
+def test_scripts_beyond_the_basic_plane(spark):
+    letters = "".join(chr(0x1E900 + i) for i in range(28))
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices(letters, k=5))
+    rows = [(i, " ".join(word() for _ in range(6)) if i % 2 else "these are words of a people", "ff" if i % 2 else "en") for i in range(120)]
+    m = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    new = [(i, " ".join(word() for _ in range(4))) for i in range(20)] + [(90, "words of people"), (91, "\U0001F600 \U0001F4A9"), (92, "\U00020000\U00020001")]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(new, "doc_id long, text string"), m).collect()}
+    assert all(got[i].lang_pred == "ff" and got[i].score > 0.9 for i in range(20)) and got[90].lang_pred == "en"
+    assert got[91].lang_pred == "und" and got[92].lang_pred in m.languages
+    points = "aé\u0416\u4e2d\U0001E901\U00010400\U00011103\U0001F600"
+    at = np.cumsum([0] + [len(c.encode()) for c in points[:-1]])
+    assert language.scripts_of(np.frombuffer(points.encode(), np.uint8))[at].tolist() == [1, 1, 3, 14, 15, 12, 8, 0]
