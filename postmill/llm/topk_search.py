@@ -1,7 +1,7 @@
 """Exact top-k inner products with a bit-sliced index.
 
-Vectors are whole numbers. The index keeps blocks of up to BLOCK vectors: their
-exact values, and for every component COARSE_BITS bitmaps (slices) of its value
+Vectors are whole numbers. The index is a written table of blocks of up to BLOCK
+vectors: their exact values, and for every component COARSE_BITS bitmaps (slices) of its value
 rounded to a coarser step, offset so that it is not negative. A query adds the
 slices of all components, weighted by its own rounded values, with carry-save
 bitmap arithmetic; the sum is again a set of slices. From the most significant
@@ -9,8 +9,9 @@ slice downward the k-th best coarse score is found. Rounding errors are bounded,
 so every row that could still be among the best is above that score less twice
 the bound; those boundary rows are scored exactly.
 
-Blocks of vectors meet blocks of queries in a join on (part, query block), so
-neither side is broadcast or gathered. A block returns k rows per query.
+The index is not moved: queries, in blocks, come to it by broadcasts of at most
+QUERY_BYTES, as many one after the other as their table needs. So there are as many
+tasks as the index has splits. A block returns k rows per query.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.session import cut_lineage
+from postmill.session import cut_lineage, scratch
 
 BLOCK = 16384
 QUERY_BLOCK = 256
-PARTS = 32
+#: Bytes of queries broadcast at a time.
+QUERY_BYTES = 32 << 20
 COARSE_BITS = 7
 QUERY_BITS = 7
 
@@ -38,32 +40,33 @@ def quantised(df: DataFrame, key: str, vector: str, scale: int = 1024) -> DataFr
     return df.filter(fine).select(F.col(f"`{key}`").cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("values"))
 
 
-def _index(rows: DataFrame) -> DataFrame:
-    """(dim, ids, matrix): blocks of vectors of one length, as bytes of 64-bit numbers."""
+def _blocks(rows: DataFrame, size: int, sliced: bool) -> DataFrame:
+    """(dim, ids, matrix): blocks of up to `size` vectors of one length, as bytes of 64-bit numbers; and `slices`, `bounds` of a `Slices`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
         def block(dim: int) -> pa.RecordBatch:
             ids, vectors = (np.concatenate(x) for x in zip(*held.pop(dim)))
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], names=["dim", "ids", "matrix"])
+            index = Slices.of(vectors).stored() if sliced else (None, None)
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *[pa.array([x], pa.binary()) for x in (ids.tobytes(), vectors.tobytes(), *index)]], names=["dim", "ids", "matrix", "slices", "bounds"])
 
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-            start = np.concatenate([[0], np.cumsum(size)])
-            for dim in np.unique(size).tolist():
-                own = np.flatnonzero(size == dim)
-                for lo in range(0, len(own), BLOCK):
-                    part = own[lo : lo + BLOCK]
+            flat, length = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            start = np.concatenate([[0], np.cumsum(length)])
+            for dim in np.unique(length).tolist():
+                own = np.flatnonzero(length == dim)
+                for lo in range(0, len(own), size):
+                    part = own[lo : lo + size]
                     vectors = flat[start[part][:, None] + np.arange(dim)] if dim else np.zeros((len(part), 0), np.int64)
                     held.setdefault(dim, []).append((ids[part], vectors))
-                    if sum(len(x) for x, _ in held[dim]) >= BLOCK:
+                    if sum(len(x) for x, _ in held[dim]) >= size:
                         yield block(dim)
         for dim in list(held):
             yield block(dim)
 
-    return rows.filter("id IS NOT NULL").mapInArrow(run, "dim int, ids binary, matrix binary")
+    return rows.filter("id IS NOT NULL").mapInArrow(run, "dim int, ids binary, matrix binary, slices binary, bounds binary")
 
 
 def _packed(bits: np.ndarray) -> np.ndarray:
@@ -71,25 +74,39 @@ def _packed(bits: np.ndarray) -> np.ndarray:
     pad = -bits.shape[-1] % 64
     if pad:
         bits = np.concatenate([bits, np.zeros((*bits.shape[:-1], pad), bool)], axis=-1)
-    return np.packbits(bits, axis=-1, bitorder="little").view(np.uint64)
+    return np.ascontiguousarray(np.packbits(bits, axis=-1, bitorder="little")).view(np.uint64)
 
 
 class Slices:
     """The coarse values of one block: slices[d][b] is the bitmap of bit b of component d."""
 
-    def __init__(self, matrix: np.ndarray):
-        self.rows, self.dim = matrix.shape
-        most = int(np.abs(matrix).max(initial=0))
-        self.shift = max(0, most.bit_length() + 1 - COARSE_BITS)
-        half = (1 << self.shift) >> 1
-        self.offset = 1 << (COARSE_BITS - 1)
-        coarse = np.clip(((matrix + half) >> self.shift) + self.offset, 0, 2 * self.offset - 1)
-        #: The most that a component is off, the clipping of the largest values included.
-        self.off = int(np.abs(((coarse - self.offset) << self.shift) - matrix).max(initial=0))
-        self.total = int(np.abs(matrix).sum(axis=1).max(initial=0))
-        self.bits = [[_packed(((coarse[:, d] >> b) & 1).astype(bool)) for b in range(COARSE_BITS)] for d in range(self.dim)]
+    def __init__(self, bits: np.ndarray, bounds: np.ndarray):
+        self.bits = bits  # dim x COARSE_BITS x words
+        self.rows, self.dim, self.shift, self.off, self.total = bounds.tolist()
         self.all = _packed(np.ones(self.rows, bool))
 
+    @classmethod
+    def of(cls, matrix: np.ndarray) -> "Slices":
+        rows, dim = matrix.shape
+        most = int(np.abs(matrix).max(initial=0))
+        shift = max(0, most.bit_length() + 1 - COARSE_BITS)
+        half, offset = (1 << shift) >> 1, 1 << (COARSE_BITS - 1)
+        coarse = np.clip(((matrix + half) >> shift) + offset, 0, 2 * offset - 1)
+        # The most that a component is off, the clipping of the largest values included.
+        off = int(np.abs(((coarse - offset) << shift) - matrix).max(initial=0))
+        total = int(np.abs(matrix).sum(axis=1).max(initial=0))
+        bits = np.stack([_packed(((coarse.T >> b) & 1).astype(bool)) for b in range(COARSE_BITS)], axis=1)
+        return cls(bits, np.array([rows, dim, shift, off, total], np.int64))
+
+    def stored(self) -> tuple[bytes, bytes]:
+        return self.bits.tobytes(), np.array([self.rows, self.dim, self.shift, self.off, self.total], np.int64).tobytes()
+
+    @classmethod
+    def read(cls, slices, bounds) -> "Slices":
+        sizes = np.frombuffer(bounds, np.int64)
+        words = np.frombuffer(slices, np.uint64) if len(slices) else np.zeros(0, np.uint64)
+        return cls(words.reshape(int(sizes[1]), COARSE_BITS, -(-int(sizes[0]) // 64)), sizes)
+
     def scores(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices of a coarse score, least significant first, and by how much an exact score can differ from it, in its unit.
 
@@ -151,12 +168,13 @@ class Slices:
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows of (dim, ids, matrix, slices, bounds, q_ids, q_matrix) -> the k best of each block for each of the queries."""
     for batch in batches:
         for r in range(batch.num_rows):
             dim = batch.column(0)[r].as_py()
-            ids, q_ids = (np.frombuffer(batch.column(c)[r].as_buffer(), np.int64) for c in (1, 3))
-            matrix, queries = (np.frombuffer(batch.column(c)[r].as_buffer(), np.int64).reshape(-1, dim) if dim else np.zeros((n, 0), np.int64) for c, n in ((2, len(ids)), (4, len(q_ids))))
-            index = Slices(matrix)
+            ids, q_ids = (np.frombuffer(batch.column(c)[r].as_buffer(), np.int64) for c in (1, 5))
+            matrix, queries = (np.frombuffer(batch.column(c)[r].as_buffer(), np.int64).reshape(-1, dim) if dim else np.zeros((n, 0), np.int64) for c, n in ((2, len(ids)), (6, len(q_ids))))
+            index = Slices.read(*(batch.column(c)[r].as_buffer() for c in (3, 4)))
             found = []
             for q, vector in zip(q_ids.tolist(), queries):
                 # One more than asked for: the query's own row may be among them.
@@ -169,6 +187,11 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found)], names=["query_id", "vec_id", "score"])
 
 
+def build(vectors: DataFrame, keep=cut_lineage) -> DataFrame:
+    """The index of (id, values) rows as a written table; `search` may use it again and again."""
+    return keep(_blocks(vectors, BLOCK, True))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the k greatest integer inner products per query, ties to the smaller id.
 
@@ -176,37 +199,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     no candidate; vectors of another length than the query's are none either. Fewer
     candidates give fewer rows. Ids that are null take no part. Queries that repeat an
     id count once (the least vector); candidates that repeat one come as often. Empty
-    tables give no rows. Scores are 64-bit numbers.
+    tables give no rows. Scores are 64-bit numbers. The result's columns are fixed.
     """
-    index = cut_lineage(_index(vectors))
+    with scratch(vectors.sparkSession) as keep:
+        return cut_lineage(search_index(build(vectors, keep), queries, k, keep))
+
+
+def search_index(index: DataFrame, queries: DataFrame, k: int, keep=cut_lineage) -> DataFrame:
+    """As `search`, over an index that was built before."""
     least = queries.filter("id IS NOT NULL").groupBy("id").agg(F.min("values").alias("values"))
-    asked = cut_lineage(_index(least.withColumn("n", F.lit(0)).select("id", "values")))
-    small = asked.select("dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    split = cut_lineage(_split_queries(small))
-    blocks = max(1, split.count())
-    split = split.withColumn("q_block", F.pmod(F.xxhash64("q_ids"), F.lit(blocks)).cast("int"))
-    cells = index.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(PARTS)).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    wanted = split.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    met = cells.join(wanted, ["part", "q_block", "dim"]).select("dim", "ids", "matrix", "q_ids", "q_matrix")
-    best = met.mapInArrow(lambda batches: _search(batches, k), "query_id bigint, vec_id bigint, score bigint")
+    asked = keep(_blocks(least, QUERY_BLOCK, False).select("dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")))
+    size = asked.agg(F.coalesce(F.sum(F.length("q_ids") + F.length("q_matrix")), F.lit(0))).first()[0]
+    turns = max(1, -(-size // QUERY_BYTES))
+    turn = F.pmod(F.xxhash64("q_ids"), F.lit(turns))
+    best = None
+    for n in range(turns):
+        met = index.join(F.broadcast(asked.filter(turn == n)), "dim").select("dim", "ids", "matrix", "slices", "bounds", "q_ids", "q_matrix")
+        part = met.mapInArrow(lambda batches: _search(batches, k), "query_id bigint, vec_id bigint, score bigint")
+        best = part if best is None else best.union(part)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _split_queries(asked: DataFrame) -> DataFrame:
-    """Query blocks of at most QUERY_BLOCK rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                dim, ids, matrix = (batch.column(c)[r].as_py() for c in range(3))
-                for lo in range(0, len(ids), 8 * QUERY_BLOCK):
-                    hi = lo + 8 * QUERY_BLOCK
-                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[lo:hi]], pa.binary()), pa.array([matrix[lo * dim : hi * dim]], pa.binary())], names=["dim", "q_ids", "q_matrix"])
-
-    return asked.mapInArrow(run, "dim int, q_ids binary, q_matrix binary")
-
-
 SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings

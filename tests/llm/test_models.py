@@ -26,15 +26,17 @@ def brute_top(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("scale", [0.2, 40.0])
-def test_search(spark, scale, monkeypatch):
+@pytest.mark.parametrize("scale, query_bytes", [(0.2, 1 << 20), (40.0, 200)])
+def test_search(spark, scale, query_bytes, monkeypatch):
     monkeypatch.setattr(topk_search, "BLOCK", 128)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk_search, "QUERY_BYTES", query_bytes)
     rng = random.Random(4)
     rows = [(i, [rng.gauss(0, scale) for _ in range(9)]) for i in range(700)]
     same = [0.5] * 9
     rows += [(1000 + i, same) for i in range(150)] + [(2000, [0.0] * 9), (2100, [1.0, 2.0]), (2101, [1.0, 3.0]), (2102, []), (2200, [])]
     rows += [(3000, None), (3001, [None] * 9), (3002, [float("nan")] * 9), (3003, [float("inf")] * 9), (None, same), (5, rows[5][1]), (100, rows[7][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, SCORE int").repartition(4)
     v = topk_search.quantised(df, "vec_id", "embedding")
     got = sorted(map(tuple, topk_search.search(v, v.filter("id % 100 = 0"), 10).collect()))
     assert got == brute_top(rows, 10)
@@ -44,7 +46,7 @@ def test_search(spark, scale, monkeypatch):
 def test_boundary_is_small_and_whole():
     rng = np.random.default_rng(1)
     m = rng.normal(0, 130, (5000, 64)).astype(np.int64)
-    s = topk_search.Slices(m)
+    s = topk_search.Slices.read(*topk_search.Slices.of(m).stored())
     for q in m[:5]:
         near = s.boundary(q, 11)
         assert set(np.argsort(-(m @ q))[:11]) <= set(near.tolist()) and len(near) < 1500
