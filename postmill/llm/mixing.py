@@ -136,31 +136,66 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: Dat
     """
     rows = numbered(without(df, *OWN), key, source)
     sizes = df.groupBy(F.col(f"`{source}`").alias("source")).agg(F.count("*").alias("n"))
-    given = None if weights is None else weights.select(F.col("source").alias("_w"), "tickets", F.lit(1.0).alias("thin"))
-    plan = tickets(sizes, period, exponent) if weights is None else sizes.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("_w")), "left").drop("_w")
-    every = Window.partitionBy(F.lit(1))
-    plan = plan.withColumn("period", F.sum("tickets").over(every) if weights is None else F.lit(period).cast("long"))
-    # Rows of a mix in which the source that lasts longest comes once.
-    length = F.max(F.ceil(F.col("n") * F.col("period") / (F.col("tickets") * F.col("thin")))).over(every)
-    plan = plan.withColumn("length", length)
-    # One row per source.
-    p = plan.select(F.col("source").alias("_source"), F.col("n").alias("_n"), F.col("tickets"), F.col("thin").alias("_thin"), F.col("period").alias("_period"), "length")
-    met = rows.join(F.broadcast(p), F.col(f"`{source}`").eqNullSafe(F.col("_source")), "left")
+    plan = _plan(sizes, weights, period, exponent)
+    met = rows.join(F.broadcast(_of_plan(plan)), F.col(f"`{source}`").eqNullSafe(F.col("_source")), "left")
     if repeat:
         wanted = F.greatest(F.floor(F.col("length") * F.col("tickets") * F.col("_thin") / F.col("_period")), F.col("_n"))
         times = F.ceil((wanted - F.col("source_row")) / F.col("_n"))
         met = met.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), times).cast("int") - 1)))
     else:
         met = met.withColumn("epoch", F.lit(0))
+    out = _placed(met, plan, source, block, None if weights is None else period)
+    return out.select(*[f"`{c}`" for c in rows.columns], "tickets", "epoch", "block", "position")
+
+
+def _plan(sizes: DataFrame, weights: DataFrame | None, period: int, exponent: float) -> DataFrame:
+    """(source, n) -> (source, n, tickets, thin, period, length): a row for each source."""
+    given = None if weights is None else weights.select(F.col("source").alias("_w"), "tickets", F.lit(1.0).alias("thin"))
+    plan = tickets(sizes, period, exponent) if weights is None else sizes.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("_w")), "left").drop("_w")
+    every = Window.partitionBy(F.lit(1))
+    plan = plan.withColumn("period", F.sum("tickets").over(every) if weights is None else F.lit(period).cast("long"))
+    # Rows of a mix in which the source that lasts longest comes once.
+    return plan.withColumn("length", F.max(F.ceil(F.col("n") * F.col("period") / (F.col("tickets") * F.col("thin")))).over(every))
+
+
+def _of_plan(plan: DataFrame) -> DataFrame:
+    return plan.select(F.col("source").alias("_source"), F.col("n").alias("_n"), F.col("tickets"), F.col("thin").alias("_thin"), F.col("period").alias("_period"), "length")
+
+
+def _placed(met: DataFrame, plan: DataFrame, source: str, block: int, period: int | None) -> DataFrame:
+    """Rows with source_row, epoch and their source's plan -> with block and position."""
     place = F.col("source_row") + F.col("epoch") * F.col("_n")
     met = met.withColumn("_k", F.floor(place / block)).withColumn("_in", place % block)
-    table = schedule(plan.select("source", "tickets"), None if weights is None else period).select(F.col("source").alias("t_source"), F.col("k").alias("t_k"), "slot")
+    table = schedule(plan.select("source", "tickets"), period).select(F.col("source").alias("t_source"), F.col("k").alias("t_k"), "slot")
     slot = met.join(F.broadcast(table), F.col(f"`{source}`").eqNullSafe(F.col("t_source")) & (F.col("_k") % F.col("tickets") == F.col("t_k")), "left")
     # A thin source's k-th block comes when half a block more than k is due.
     turn = F.when(F.col("_thin") < 1, F.ceil((F.col("_k") + 0.5) / F.col("_thin")) - 1).otherwise(F.floor(F.col("_k") / F.col("tickets")))
     at = turn * F.col("_period") + F.col("slot")
-    out = slot.withColumn("block", at).withColumn("position", at * block + F.col("_in"))
-    return out.select(*[f"`{c}`" for c in rows.columns], "tickets", "epoch", "block", "position")
+    return slot.withColumn("block", at).withColumn("position", at * block + F.col("_in"))
+
+
+def ordered(mixed: DataFrame, key: str = "doc_id", source: str = "source", block: int = BLOCK, period: int = PERIOD, exponent: float = EXPONENT) -> DataFrame:
+    """The rows of a mix that lost their place, with `position` again.
+
+    A row's copies stand for its epochs, and the distinct keys of a source for its rows, so
+    the arithmetic of `mix` gives the places once more. Keys must be distinct before
+    mixing; where rows share one (or have none), their copies count on, and positions
+    may be shared or left open. Input columns named like the result's are replaced.
+    """
+    rows = without(mixed, *OWN)
+    keyed = rows.withColumn("_hash", key_hash(F.col(f"`{key}`"))).withColumn("salt", (F.col("_hash") % SALTS).cast("int"))
+    stream = Window.partitionBy(f"`{source}`", "salt").orderBy("_hash", f"`{key}`")
+    copy = Window.partitionBy(f"`{source}`", "salt", "_hash", f"`{key}`").orderBy(F.lit(1))
+    told = keyed.withColumn("source_row", F.dense_rank().over(stream) - 1).withColumn("epoch", F.row_number().over(copy) - 1)
+    # Distinct keys of each stream, from ids alone.
+    sizes = keyed.select(F.col(f"`{source}`").alias("_source"), F.col("salt").alias("_salt"), F.col(f"`{key}`").alias("_key")).distinct().groupBy("_source", "_salt").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_source").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(F.col("_source").alias("_of"), F.col("_salt"), F.coalesce(before, F.lit(0)).alias("_before"))
+    met = told.join(offsets, F.col(f"`{source}`").eqNullSafe(F.col("_of")) & (F.col("salt") == F.col("_salt")))
+    met = met.withColumn("source_row", F.col("source_row") + F.col("_before")).drop("_of", "_salt", "_before")
+    plan = _plan(sizes.groupBy(F.col("_source").alias("source")).agg(F.sum("_n").alias("n")), None, period, exponent)
+    met = met.join(F.broadcast(_of_plan(plan)), F.col(f"`{source}`").eqNullSafe(F.col("_source")), "left")
+    return _placed(met, plan, source, block, None).select(*[f"`{c}`" for c in rows.columns], "position")
 
 
 SQL = f"""

@@ -146,3 +146,12 @@ def test_mix_of_many_sources(spark):
     want = [(t, s, k) for s, k, t in plain_schedule(tickets)]
     period = sum(tickets.values())
     assert sorted((r.position, r.source) for r in out if r.position < period) == [x[:2] for x in want if x[:2] in {(r.position, r.source) for r in out}]
+
+
+def test_a_mix_finds_its_places_again(spark):
+    rows = [(i, "big" if i % 3 == 0 else None if i % 7 == 0 else f"s{i % 5}") for i in range(900)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block=4)
+    want = sorted((r.doc_id, r.position) for r in mixed.select("doc_id", "position").collect())
+    again = mixing.ordered(mixed.drop("position").repartition(5, F.rand(3)), block=4)
+    assert sorted((r.doc_id, r.position) for r in again.collect()) == want
+    assert again.columns == ["doc_id", "source", "position"] and mixing.ordered(mixed.limit(0)).count() == 0
