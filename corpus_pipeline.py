@@ -43,8 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the slot and shard of their id."""
-    return sharding.place(docs)
+    """The documents with the slot and shard of their id, and their `position` in the mix, by which a shard is to be read."""
+    return sharding.place(mixing.ordered(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
