@@ -59,6 +59,12 @@ def test_each_stage_on_its_own_input(spark, corpus):
     rows = corpus_pipeline.run(spark, path).collect()
     assert sorted((r.doc_id, r.shard) for r in rows) == sorted((r.doc_id, r.shard) for r in docs.collect())
     assert {r.shard for r in rows} <= set(range(sharding.SHARDS))
+    # The order of the mix outlives the files: in every prefix each source is less than a block off.
+    assert len({r.position for r in rows}) == len(rows)
+    at = sorted({(r.position // mixing.BLOCK, r.source) for r in rows}, key=lambda x: x[0])
+    whole = min(max(b for b, s in at if s == x) for x in shares)
+    for t in range(1, whole + 1):
+        assert all(abs(sum(s == x and b < t for b, s in at) - t * plan[x] / sum(plan.values())) < 1 for x in shares)
 
 
 def test_an_empty_corpus(spark, corpus, tmp_path):
