@@ -28,6 +28,7 @@ from .columns import crc_of_id, key_hash, without
 
 BITS = 20
 FACTORS = 8
+#: At most 32767, as words are numbered in 16 bits.
 FEATURES = 8192
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -36,9 +37,9 @@ ALONE, PAIR = 2.5, 6.0
 #: Texts, and toxic ones, that must hold a word or pair to be counted as a pair.
 TOGETHER = 8
 #: Blocks of the co-occurrence matrix, a task each.
-GROUPS = 8
+GROUPS = 16
 #: Texts that are multiplied at a time.
-_CHUNK = 512
+_CHUNK = 128
 #: Lengths in bytes of the beginnings that count beside the word itself.
 BEGINNINGS = (4, 5, 6, 7, 8)
 
@@ -228,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = telling(both, in1, totals[0], totals[1], FEATURES) if totals[0] else np.zeros(0, np.int64)
     able = pairable(np.where(is_word, both, 0), in1, FEATURES)
     if len(able) > 1:
-        dealt = chosen_rows.mapInArrow(_dealer(_numbers(able)), "part int, label int, words array<int>")
+        dealt = chosen_rows.mapInArrow(_dealer(_numbers(able)), "part int, label int, words array<smallint>")
         far = dealt.groupBy("part").applyInArrow(_judge(both[able], in1[able], totals[1] / totals[0]), "word bigint, contrast double").toArrow()
         chosen = np.union1d(chosen, able[partners(far.column("word").to_numpy(), far.column("contrast").to_numpy(), FEATURES)])
     index = _numbers(chosen)
@@ -256,7 +257,7 @@ def _dealer(number: np.ndarray):
             for lo, hi, w in bw.words(batch.column(2), bw.ALPHA, bw.lower_latin):
                 t, p = word_places(w)
                 known = number[p] >= 0
-                t, f = bw.distinct_per_text(t[known], number[p[known]].astype(np.int32))
+                t, f = bw.distinct_per_text(t[known], number[p[known]].astype(np.int16))
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(t, np.arange(hi - lo + 1)).astype(np.int32)), pa.array(f))
                 for part in range(GROUPS):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, part, np.int32)), batch.column(1).slice(lo, hi - lo), lists], names=["part", "label", "words"])
