@@ -117,3 +117,29 @@ def test_a_table_of_one_row_group_is_dealt_out(spark, tmp_path):
     df = bindings.spread(spark.read.parquet(str(tmp_path / "one")))
     sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 2 * min(sizes)
+
+
+def test_totals_by_bitmaps_equal_a_count(spark):
+    from postmill.operators import totals
+
+    def some(rows):
+        return spark.createDataFrame(rows, "name_key string, source string, status string, last_seen_at timestamp")
+
+    at = dt.datetime(2026, 1, 1)
+    rows = [(f"e{i % 70}", ("lever", "ashby")[i % 2], "live" if i % 3 else "expired", at + dt.timedelta(hours=i)) for i in range(500)]
+    numbers = totals.number_employers(None, some(rows))
+    parts = totals.live_parts(some(rows), numbers, 16)
+    live = [r for r in rows if r[2] == "live"]
+    one = totals.live_summary(parts).first()
+    assert (one.live, one.orgs, one.last_seen_at) == (len(live), len({r[0] for r in live}), max(r[3] for r in live))
+    # Two boards change and a new employer comes; all other parts are as they were.
+    later = [r if r[0] not in ("e1", "e2") else (r[0], r[1], "expired", r[3]) for r in rows] + [("new", "lever", "live", at + dt.timedelta(days=99))]
+    boards = spark.createDataFrame([("e1", "ashby"), ("e1", "lever"), ("e2", "lever"), ("e2", "ashby"), ("new", "lever")], "name_key string, source string")
+    more = totals.number_employers(numbers, some(later))
+    assert {r.name_key: r.number for r in more.collect()}.items() >= {r.name_key: r.number for r in numbers.collect()}.items()
+    now = totals.refreshed(parts, some(later), more, boards, 16)
+    live = [r for r in later if r[2] == "live"]
+    one = totals.live_summary(now).first()
+    assert (one.live, one.orgs, one.last_seen_at) == (len(live), len({r[0] for r in live}), max(r[3] for r in live))
+    empty = totals.live_summary(totals.live_parts(some([]), numbers)).first()
+    assert (empty.live, empty.orgs, empty.last_seen_at) == (0, 0, None)
