@@ -15,8 +15,12 @@ out first, by content:
    anchor each class is trimmed to what it shares with any other at most, which
    leaves nothing of chance meetings. What remains, many anchors to one string, is
    suffix-sorted; that brings equal strings of different classes together, and all
-   but the first place of each are marked. An anchor with more than MOST
-   classes is dealt out once more, by its strings themselves.
+   but the first place of each are marked.
+5. An anchor with more than MOST classes is too much for a task. Its strings are
+   dealt out within it by anchors of twice the size, and go through 3 and 4 again;
+   an anchor as long as the string has one class.
+
+Joins on anchors and classes deal a key that holds much of all rows out in slices.
 
 The suffix array is built by grouping: suffixes are grouped by their longest Lyndon
 prefix; groups are gone through in descending order, and each hands its prefix
@@ -42,7 +46,10 @@ from .columns import released
 
 LENGTH = 100
 GRAM = 16
+#: Classes of an anchor that meet in one task.
 MOST = 100_000
+#: A key with more than this part of a join's rows is dealt out.
+SHARE = 1024
 #: Bytes sorted at a time; an anchor's classes stay together.
 JOINT = 1 << 16
 
@@ -329,36 +336,88 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     return released(runs)
 
 
+def _split_join(left: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of (.., id, place) with `counted`, whose c is the number of left's rows of each key.
+
+    A key that holds more than a SHARE-th of the rows (so there are fewer than SHARE
+    of them, and they may be broadcast) is dealt out in slices of about that size.
+    """
+    rows = counted.agg(F.sum("c")).first()[0] or 0
+    of = F.ceil(F.col("c") * SHARE / F.lit(max(rows, 1))).cast("int")
+    hot = counted.select(*keys, of.alias("_of")).filter("_of > 1")
+    slice_ = F.when(F.col("_of").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "place"), F.col("_of")).cast("int"))
+    left = left.join(F.broadcast(hot), keys, "left").withColumn("_slice", slice_).drop("_of")
+    right = counted.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.greatest(of, F.lit(1)) - 1)))
+    return left.join(right, [*keys, "_slice"]).drop("_slice")
+
+
+def _classes(met: DataFrame, length: int, keep) -> tuple[DataFrame, DataFrame]:
+    """Of segments (hash, seg, id, place, ..): (id, start, n) of those that equal an earlier one, and
+    (hash, id, place, .., c) of each class's first place where an anchor has several classes, c of them."""
+    base = length + 1
+    here = F.struct("id", "place", *[c for c in met.columns if c == "bytes"])
+    classes = keep(met.groupBy("hash", "seg").agg(F.min(here).alias("first"), F.count("*").alias("c")))
+    released(classes)
+    copies = _split_join(met, classes.filter("c > 1"), ["hash", "seg"])
+    copies = copies.filter((F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place")))
+    copies = keep(copies.select("id", F.floor(F.col("place") / (base * base)).alias("start"), (F.col("place") % base).alias("n")))
+    released(copies)
+    several = keep(classes.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1"))
+    return copies, _split_join(classes.select("hash", "first.*"), several, ["hash"])
+
+
+def _dealt_again(cut: DataFrame, length: int, gram: int) -> DataFrame:
+    """(hash, id, start, bytes) -> segments by wider anchors, within the anchor they had: (hash, seg, id, place, bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = bw.texts_of(batch.column(3).cast(pa.large_binary()))
+            for lo, hi in bw.pieces(offsets):
+                part = data[offsets[lo] : offsets[hi]]
+                begin = offsets[lo : hi + 1] - offsets[lo]
+                text, start, at, n, h = anchors(part, begin, length, gram)
+                if not len(text):
+                    continue
+                before, ids, starts = (batch.column(c).to_numpy()[lo:hi][text] for c in range(3))
+                s = begin[text] + start
+                e = s + n + length - 1
+                seg = bw.range_hash(bw.BYTE_VALUE[part], s, e).view(np.int64)
+                # A key says only who meets whom; strings that met by chance are told apart by their bytes.
+                key = bw.mix64(before.view(np.uint64) + h).view(np.int64)
+                place = ((starts + start) * (length + 1) + at) * (length + 1) + n
+                own = [part[x:y].tobytes() for x, y in zip(s.tolist(), e.tolist())]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (key, seg, ids, place)), pa.array(own, pa.binary())], names=["hash", "seg", "id", "place", "bytes"])
+
+    return cut.select("hash", "id", "start", "bytes").mapInArrow(run, "hash bigint, seg bigint, id bigint, place bigint, bytes binary")
+
+
 def _repeats(own: DataFrame, length: int, gram: int, keep) -> DataFrame:
     """(id, start, n): the strings that start at start, .., start + n - 1 also start at an earlier place."""
     base = length + 1
 
     # Segments whose anchor comes more than once, and their classes.
-    often = keep(_segments(own, length, gram, False).groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1").select("hash"))
+    often = keep(_segments(own, length, gram, False).groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1"))
     released(often)
-    met = keep(_segments(own, length, gram, True).join(often, "hash"))
+    met = keep(_split_join(_segments(own, length, gram, True), often, ["hash"]).drop("c"))
     released(met)
-    here = F.struct("id", "place")
-    classes = keep(met.groupBy("hash", "seg").agg(F.min(here).alias("first")))
-    released(classes)
-    copies = met.join(classes, ["hash", "seg"]).filter(here != F.col("first"))
-    copies = keep(copies.select("id", F.floor(F.col("place") / (base * base)).alias("start"), (F.col("place") % base).alias("n")))
-    released(copies)
+    found, firsts = _classes(met, length, keep)
 
     # Strings that classes of one anchor share.
-    several = classes.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1")
-    cuts = classes.join(several, "hash").select(F.col("first.id").alias("id"), F.struct("hash", F.col("first.place").alias("place"), "c").alias("cut"))
-    cuts = cuts.groupBy("id").agg(F.collect_list("cut").alias("cuts"))
+    cuts = firsts.groupBy("id").agg(F.collect_list(F.struct("hash", "place", "c")).alias("cuts"))
     cut = keep(_cut_out(own.join(cuts, "id"), length))
     released(cut)
-    few = cut.filter(F.col("c") <= MOST).select("hash", "id", "start", "at", "bytes")
-    across = few.repartition("hash").sortWithinPartitions("hash").mapInArrow(lambda b: _sorted_classes(b, length), "id bigint, start bigint, n bigint")
-    at = F.explode(F.sequence(F.lit(1), F.length("bytes") - length + 1))
-    many = cut.filter(F.col("c") > MOST).select("hash", "id", "start", "bytes", at.alias("p")).select("hash", "id", (F.col("start") + F.col("p") - 1).alias("start"), F.sha2(F.expr(f"substring(bytes, p, {length})"), 256).alias("s"))
-    there = F.struct("id", "start")
-    earliest = many.groupBy("hash", "s").agg(F.min(there).alias("first"), F.count("*").alias("c")).filter("c > 1")
-    apart = many.join(earliest, ["hash", "s"]).filter(there != F.col("first")).select("id", "start", F.lit(1).cast("long").alias("n"))
-    return copies.union(across).union(apart)
+    while True:
+        few = cut if gram >= length else cut.filter(F.col("c") <= MOST)
+        few = few.select("hash", "id", "start", "at", "bytes")
+        found = found.union(few.repartition("hash").sortWithinPartitions("hash").mapInArrow(lambda b: _sorted_classes(b, length), "id bigint, start bigint, n bigint"))
+        many = cut.filter(F.col("c") > MOST)
+        if gram >= length or many.isEmpty():
+            return found
+        gram = min(2 * gram, length)
+        copies, firsts = _classes(keep(_dealt_again(many, length, gram)), length, keep)
+        found = found.union(copies)
+        at = F.floor(F.col("place") / base)
+        cut = keep(firsts.select("hash", "id", F.floor(at / base).alias("start"), (at % base).alias("at"), "bytes", "c"))
 
 
 def _keep(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:

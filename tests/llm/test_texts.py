@@ -175,9 +175,10 @@ def brute_removed(docs, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("most", [1024, 1])
-def test_repeated_strings(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "share"), [(1024, 1024), (1, 4), (1, 1024)])
+def test_repeated_strings(spark, monkeypatch, most, share):
     monkeypatch.setattr(suffix_dedup, "MOST", most)
+    monkeypatch.setattr(suffix_dedup, "SHARE", share)
     rng = random.Random(2)
     words = [f"wörd{j}" if j % 9 == 0 else f"word{j}" for j in range(300)]
     passages = [" ".join(rng.choices(words, k=rng.randrange(12, 40))) for _ in range(8)]
