@@ -72,6 +72,22 @@ def search_page_indexed(spark, sf):
     return search.posting_page(text_index.narrowed(view, index, "posting_id", F1.q), F1, AS_OF).select(*SHOWN.split(", "))
 
 
+@query("B3 N2 F1", sql_page(W1, 0), VIEW_FRAMES)
+def search_page_index_kept(spark, sf):
+    """The same page through an index of older titles that is kept up: changes, folded into the lists, and more changes."""
+    view = Inputs(spark, sf).posting_view()
+    last = F.col("posting_id") % 10
+    older = view.where(last != 1).withColumn("title", F.when(last < 4, "Engineer of old").otherwise(F.col("title")))
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/grams-{uuid.uuid4().hex}"
+    index, changed = text_index.table(spark, f"{folder}/lists"), text_index.changed_table(spark, f"{folder}/changed")
+    said = ("posting_id", "title", "org_name")
+    text_index.build(index, 1, older, *said)
+    text_index.change(changed, 1, view.where(last < 2), *said)
+    text_index.fold(index, changed, 2)
+    text_index.change(changed, 3, view.where(last.isin(2, 3)), *said)
+    return search.posting_page(text_index.narrowed(view, index, "posting_id", F1.q, changed), F1, AS_OF).select(*SHOWN.split(", "))
+
+
 @query("B1 B5 B8 N2 F1", sql_page(W2, 20), VIEW_FRAMES)
 def search_page_filters(spark, sf):
     return search.posting_page(Inputs(spark, sf).posting_view(), F2, AS_OF).select(*SHOWN.split(", "))

@@ -34,8 +34,14 @@ def _meta_tag(html: Column, attribute: str, name: str) -> Column:
 
 
 # ---------------------------------------------------------------- page features
-def features(pages: DataFrame) -> DataFrame:
-    """Add title, description, head, foot, body text and parked flag to (.., url, html)."""
+def features(pages: DataFrame, footer_chars: int | None = rules.FOOTER_CHARS) -> DataFrame:
+    """Add title, description, head, foot, body text and parked flag to (.., url, html).
+
+    ``footer_chars``: how much of the end of the text counts as the page's foot; None: all of it.
+    """
+    foot = F.col("body_text")
+    if footer_chars is not None:
+        foot = F.substr(foot, F.greatest(F.length(foot) - footer_chars + 1, F.lit(1)))
     html = F.col("html")
     h1 = F.regexp_extract_all(html, F.lit(r"(?i)<h1\b[^>]*>([\s\S]*?)</h1>"), 1)
     ld = F.array_join(F.regexp_extract_all(html, F.lit(_LD), 1), "\n")
@@ -55,7 +61,7 @@ def features(pages: DataFrame) -> DataFrame:
     return out.select(
         "*",
         normalise_text(F.concat_ws(" ", "title", "site_name", "h1", "ld_names")).alias("head"),
-        normalise_text(F.substr("body_text", F.greatest(F.length("body_text") - rules.FOOTER_CHARS + 1, F.lit(1)))).alias("foot"),
+        normalise_text(foot).alias("foot"),
         normalise_text(F.col("body_text")).alias("page_words"),
     ).withColumn("parked", F.col("parked") | (F.length("body_text") < rules.EMPTY_PAGE_CHARS))
 

@@ -113,6 +113,33 @@ def test_trigrams_keep_every_match_and_few_others(spark, tmp_path):
     assert text_index.candidates(index, "e") is None
 
 
+def test_a_kept_index_equals_one_built_anew(spark, tmp_path):
+    def rows(*pairs):
+        return spark.createDataFrame(pairs, "id long, title string")
+
+    def ids(word):
+        return sorted(r.id for r in text_index.candidates(index, word, changed).collect())
+
+    index, changed = text_index.table(spark, str(tmp_path / "lists"), 16), text_index.changed_table(spark, str(tmp_path / "changed"), 4)
+    far = text_index.BLOCK * 3 + 7
+    text_index.build(index, 1, rows((1, "Chef"), (2, "Head chef"), (3, "Chef de partie"), (far, "Chef"), (5, "Cook")), "id", "title")
+    assert ids("chef") == [1, 2, 3, far]
+    for _ in range(2):  # a retry changes nothing
+        text_index.change(changed, 1, rows((2, "Head cook"), (9, "Sous chef"), (10, None)), "id", "title", removed=rows((3, ""), (9, "")))
+        assert ids("chef") == [1, 9, far] and ids("cook") == [2, 5]
+    text_index.change(changed, 2, rows((9, "Baker"), (3, "Pastry chef")), "id", "title", removed=rows((far, "")))
+    assert index.versions() == [1]
+    now = rows((1, "Chef"), (2, "Head cook"), (3, "Pastry chef"), (5, "Cook"), (9, "Baker"), (10, None))
+    anew = sorted(map(tuple, text_index.lists(now, "id", "title").collect()))
+    assert (ids("chef"), ids("cook"), ids("bak")) == ([1, 3], [2, 5], [9])
+    text_index.fold(index, changed, 3)
+    assert changed.read().count() == 0
+    assert (ids("chef"), ids("cook"), ids("bak")) == ([1, 3], [2, 5], [9])
+    assert sorted((r.gram, r.block, list(r.ids)) for r in index.read().collect()) == [(g, b, list(i)) for g, b, i in anew]
+    text_index.change(changed, 4, rows((20, "Chef")), "id", "title")
+    assert ids("chef") == [1, 3, 20]
+
+
 def test_reposts_group_no_more_than_new_postings_ask_for(spark):
     state = spark.range(1000).select(F.concat(F.lit("e"), F.col("id") % 100).alias("name_key"), F.concat(F.lit("Title "), F.col("id")).alias("title"), F.lit("Leeds").alias("location_raw"),
                                      F.lit("expired").alias("status"), (F.col("id") % 3).cast("int").alias("repost_count"))
