@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions import dates, labels, rules
 from postmill.operators import search, text_index
-from postmill.session import checkpoint_folder
+from postmill.session import checkpoint_folder, cut_lineage
 
 from . import duck as d
 from .bindings import NOW, q
@@ -75,7 +75,7 @@ def search_page_indexed(spark, sf):
 @query("B3 N2 F1", sql_page(W1, 0), VIEW_FRAMES)
 def search_page_index_kept(spark, sf):
     """The same page through an index of older titles that is kept up: changes, folded into the lists, and more changes."""
-    view = Inputs(spark, sf).posting_view()
+    view = cut_lineage(Inputs(spark, sf).posting_view())
     last = F.col("posting_id") % 10
     older = view.where(last != 1).withColumn("title", F.when(last < 4, "Engineer of old").otherwise(F.col("title")))
     folder = f"{checkpoint_folder(spark).rstrip('/')}/grams-{uuid.uuid4().hex}"
