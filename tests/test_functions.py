@@ -159,3 +159,28 @@ def test_rule_tables_are_arguments(spark):
         extract.skills(extract.skill_hits(F.col("body"), table), 1, table).alias("one"),
     ).first()
     assert (got.family, got.level, got.skills, got.one) == ("garden", "top", ["Roses", "Ferns"], ["Roses"])
+
+
+def test_text_is_read_once(spark):
+    """Each step of the markup reader stands once in the plan, also where its result is named more than once."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("&lt;p&gt;a &AMP;amp; b&lt;/p&gt; &#99;",)], "t string")
+    out = df.select(text.html_to_text(F.col("t")).alias("out"))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("</\\1>") == 1, plan
+    assert out.first().out == "a & b\nc"
+
+
+def test_entities_in_any_case_and_order(evaluate):
+    cases = {"&AMP;lt;": "&lt;", "&amp;lt;": "&lt;", "&#38;lt;": "&lt;", "&#65\n;": "&#65\n;", "&&lt;;": "&<;", "&zzz;&copy;": "&zzz;©", "&#x41;&#0;": "A&#0;"}
+    assert evaluate(text.decode_entities, [(c,) for c in cases], "t string") == [*cases.values()]
+
+
+def test_input_lookups_are_not_arm_by_arm(spark):
+    from checks import bindings as b
+
+    assert not any("CASE CAST((" in b._looked_up(sql) for sql in b.FRAMES.values())
+    expr = b.pick("x", ("a", None, "it''s"[:2]))
+    df = spark.sql("SELECT x FROM VALUES (0L), (1L), (2L), (3L), (-1L), (NULL) t(x)")
+    assert all(r[0] == r[1] for r in df.selectExpr(expr, b._looked_up(expr)).collect())
