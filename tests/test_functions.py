@@ -184,3 +184,29 @@ def test_input_lookups_are_not_arm_by_arm(spark):
     expr = b.pick("x", ("a", None, "it''s"[:2]))
     df = spark.sql("SELECT x FROM VALUES (0L), (1L), (2L), (3L), (-1L), (NULL) t(x)")
     assert all(r[0] == r[1] for r in df.selectExpr(expr, b._looked_up(expr)).collect())
+
+
+def test_screen_runs_after_rows_are_dealt_out(spark):
+    """The tests of the screen are not moved below the exchange, into the tasks that read the file."""
+    from checks import q_postings
+    from postmill.operators import postings
+
+    plan = postings.screen(q_postings.raw_boards(spark, "/root/testdata/sf0.001")).where("skip is null")._jdf.queryExecution().executedPlan().toString()
+    head, below = plan.split("RoundRobinPartitioning", 1)
+    assert "RLIKE(" in head and "RLIKE(" not in below
+
+
+def test_sponsorship_text_is_joined_once(spark):
+    df = spark.createDataFrame([("We cheer. No sponsorship. Visa support!",), ("cheese",), (None,)], "t string")
+    out = df.select(extract.sponsorship(F.col("t")).alias("s"))
+    assert out._jdf.queryExecution().analyzed().toString().count("array_join(") == 1
+    assert [r.s.signal for r in out.collect()] == ["unclear", "unmentioned", "unmentioned"]
+
+
+def test_variant_list_is_read_once(spark):
+    from postmill.sources import jsonld
+
+    df = spark.sql("SELECT parse_json(j) AS v FROM VALUES ('{\"a\":[1,2]}'), ('{\"a\":3}'), ('{\"a\":null}'), ('{}'), ('{\"a\":[]}') t(j)")
+    out = df.select(jsonld._list(F.col("v"), "$.a").alias("l"))
+    assert out._jdf.queryExecution().analyzed().toString().count("$.a") == 1
+    assert [r[0] for r in out.select(F.size("l")).collect()] == [2, 1, 0, 0, 0]
