@@ -68,3 +68,29 @@ def test_rows_are_cut_before_they_are_exchanged(spark):
     found = matching._role_newest(narrow, asked)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and narrow.count() <= 2 * len(posts) and found.count() == 10
+
+
+def test_readers_of_one_list_are_dealt_out(spark, monkeypatch):
+    """All people on one list: their pairs are made by as many tasks as the readers ask for, not by one."""
+    monkeypatch.setattr(matching, "_READERS", 5)
+    who = spark.range(200).select(F.col("id").alias("user_id"), F.lit(192).alias("since_hours"), F.lit("software").alias("shelf"))
+    shelves = spark.range(30).select(F.lit(192).alias("since_hours"), F.lit("software").alias("shelf"), F.col("id").alias("posting_id"), (F.col("id") + 1).cast("int").alias("place"))
+    met = matching._met(who, shelves)
+    rows = met.select(F.spark_partition_id().alias("task"), "user_id", "posting_id").collect()
+    tasks = [len({r.user_id for r in rows if r.task == t}) for t in {r.task for r in rows}]
+    assert len(tasks) > 15 and max(tasks) < 60 and sum(tasks) == 200
+    assert len({(r.user_id, r.posting_id) for r in rows}) == len(rows) == 6000
+
+
+def test_dismissed_places_need_no_pairs(spark):
+    pick = random.Random(8)
+    marked = {u: set(pick.sample(range(1, 301), pick.randrange(1, 200))) for u in range(12)}
+    who = spark.createDataFrame([(u, 0, "*", len(d)) for u, d in marked.items()], "user_id long, since_hours int, shelf string, dismissals long")
+    shelves = spark.range(1, 301).select(F.lit(0).alias("since_hours"), F.lit("*").alias("shelf"), F.col("id").alias("posting_id"), F.col("id").cast("int").alias("place"))
+    dismissed = spark.createDataFrame([(u, p) for u, d in marked.items() for p in [*d, 999]], "user_id long, posting_id long")
+    got = {r.user_id: r for r in matching._gone(who, shelves, dismissed, 100).collect()}
+    for u, d in marked.items():
+        left = [p for p in range(1, 301) if p not in d][:100]
+        reached = 100 + (got[u].extra if u in got else 0)
+        held = {64 * w + b for w, bits in enumerate(got[u].gone if u in got else []) for b in range(64) if bits >> b & 1}
+        assert [p for p in range(1, min(reached, 300) + 1) if p not in held] == left
