@@ -144,12 +144,12 @@ def register_publication_dates(spark, sf):
 
 # ---------------------------------------------------------------- from a CSV file
 def _landed_csv(spark, sf) -> str:
-    """The register rows as one CSV file, in their order: a publication is one file."""
+    """The register rows as one publication, in their order: CSV files that follow one another by name, a range of rows each."""
     folder = f"{checkpoint_folder(spark).rstrip('/')}/register-{uuid.uuid4().hex}"
     rows = Inputs(spark, sf).raw("register_rows").select(
         F.col("name").alias("Organisation Name"), F.col("town").alias("Town/City"), F.col("county").alias("County"), F.col("type_rating").alias("Type & Rating"),
         F.col("route").alias("Route"), "row_no")
-    rows.coalesce(1).sortWithinPartitions("row_no").drop("row_no").write.option("header", True).csv(f"{folder}/landed")
+    rows.repartitionByRange("row_no").sortWithinPartitions("row_no").drop("row_no").write.option("header", True).csv(f"{folder}/landed")
     return folder
 
 

@@ -142,6 +142,23 @@ def test_register_csv_keeps_file_order(spark, tmp_path):
     assert str(got[0].published_on) == "2026-09-30"
 
 
+def test_register_csv_of_many_files_keeps_their_order(spark, tmp_path):
+    """A publication that landed in several files: rows are numbered through all of them, and no number comes twice."""
+    folder = tmp_path / "the register"
+    folder.mkdir()
+    head = "Organisation Name,Town/City,County,Type & Rating,Route\n"
+    for k in range(5):
+        rows = "".join(f"Org {k}{i:05d},Town,,Worker (A rating),Skilled Worker\n" for i in range(3000 - 500 * k))
+        (folder / f"part-{k:05d}-2026-09-30.csv").write_text(head + rows, encoding="utf8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "131072")
+    try:
+        got = files.read_register(spark, str(folder)).orderBy("row_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    names = [r.name for r in got]
+    assert names == sorted(names) and len(names) == 10000 and len({r.row_no for r in got}) == 10000
+
+
 def test_company_match_decisions_with_hot_phrase(spark):
     orgs = spark.createDataFrame(
         [("one", "Solo Rockets Ltd", ["Leeds"], None), ("two", "Twin Stars Ltd", ["Leeds"], None), ("far", "Far Away Limited", ["York"], None),
