@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, rules, text
 from ..functions.dates import instant
+from ..session import cut_lineage
 from .ids import assign_ids
 
 _KEY = ["name_key", "town_key"]
@@ -136,8 +137,11 @@ def merge(stored: DataFrame, publication: DataFrame, import_id: int, as_of) -> D
 
 
 def with_ids(merged: DataFrame) -> DataFrame:
-    """Number new employers after the existing ones, in key order."""
-    return assign_ids(merged, "org_id", _KEY)
+    """Number new employers after the existing ones, in key order.
+
+    The merge is written once; the highest id, old and new employers are read from there.
+    """
+    return assign_ids(cut_lineage(merged), "org_id", _KEY)
 
 
 def import_summary(merged: DataFrame) -> DataFrame:

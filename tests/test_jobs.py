@@ -159,6 +159,22 @@ def test_register_csv_of_many_files_keeps_their_order(spark, tmp_path):
     assert names == sorted(names) and len(names) == 10000 and len({r.row_no for r in got}) == 10000
 
 
+def test_ids_come_from_one_merge(spark, tmp_path):
+    """The merge under the ids is written once, not computed for the top id, the old and the new employers."""
+    rows = [(f"Org {i}", "Leeds", "", "Worker (A rating)", "Skilled Worker", i) for i in range(20)]
+    read = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    kind = "name string, town string, county string, type_rating string, route string, row_no long"
+    df = spark.createDataFrame(rows, kind).mapInPandas(noted, kind)
+    out = register.with_ids(register.merge(register.empty_orgs(spark), register.collapse(df), 1, day(0)))
+    assert sorted(r.org_id for r in out.collect()) == list(range(1, 21)) and read.value == 20
+
+
 def test_company_match_decisions_with_hot_phrase(spark):
     orgs = spark.createDataFrame(
         [("one", "Solo Rockets Ltd", ["Leeds"], None), ("two", "Twin Stars Ltd", ["Leeds"], None), ("far", "Far Away Limited", ["York"], None),
