@@ -98,6 +98,24 @@ def test_a_batch_of_few_boards_writes_few_bytes(spark, tmp_path):
     assert now.count() == sum(before.values())
 
 
+def test_late_snapshots_are_counted_and_their_texts_not_read(spark, tmp_path, monkeypatch):
+    boards = spark.createDataFrame([("acme",), ("beta",)], "name_key string")
+    folder, read = str(tmp_path / "tables"), []
+    normalise = lifecycle_stream.postings.normalise
+
+    def noted(raw):
+        read.append(raw.count())
+        return normalise(raw)
+
+    monkeypatch.setattr(lifecycle_stream.postings, "normalise", noted)
+    lifecycle_stream.apply_batch(landed(spark, 2, boards.where("name_key = 'acme'"), 3), 0, folder)
+    lifecycle_stream.apply_batch(landed(spark, 1, boards, 3), 1, folder)
+    # The older snapshot of one board is late; the other board's is its first.
+    assert read == [3, 3]
+    assert [(r.name_key, r.scan_id) for r in lifecycle_stream.late_snapshots(spark, folder).collect()] == [("acme", 1)]
+    assert lifecycle_stream.current_postings(spark, folder).count() == 6
+
+
 def test_reposts_are_found_on_another_board_of_the_employer(spark, tmp_path):
     boards = spark.createDataFrame([("acme",)], "name_key string")
     folder, other = str(tmp_path / "tables"), F.lit("ashby")
