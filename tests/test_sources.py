@@ -147,3 +147,24 @@ def test_reposts_group_no_more_than_new_postings_ask_for(spark):
     found = lifecycle.repost_prior(state, wanted)
     assert {(r.name_key, r._title, r._prior) for r in found.collect()} == {("e1", "title 1", 1), ("e5", "title 305", 2)}
     assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+LD = """<script type="application/ld+json">%s</script>"""
+
+
+def test_embedded_postings_are_parsed_and_read_once(spark):
+    """The tests of block and title are not moved below the steps that make them, which would do these twice."""
+    from postmill.sources import jsonld
+
+    posting = {"@type": ["Thing", "JobPosting"], "title": {"name": " A &amp; b "}, "url": "/x?y=1", "jobLocation": ["Leeds", {"address": {"addressLocality": "Hull", "addressCountry": {"name": "GB"}}}, None],
+               "jobLocationType": "telecommute", "applicantLocationRequirements": {"name": "UK"}, "baseSalary": {"currency": "gbp", "value": {"minValue": "1", "maxValue": 2, "unitText": "year"}}}
+    page = LD % json.dumps({"@graph": [None, 3, {"item": posting}]}) + LD % (json.dumps({**posting, "title": "", "identifier": "z"})[:-1] + ",}") + LD % "broken{"
+    closed = LD % json.dumps({**posting, "validThrough": "2020-01-01", "title": "Closed"})
+    pages = spark.createDataFrame([("n", "s", 1, "https://ex.com/p", page + closed), ("n", "s", 2, None, None)], "name_key string, slug string, scan_id long, url string, html string")
+    raw = jsonld.read_pages(pages, "2024-02-01 00:00:00")
+    plan = raw._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 2, plan  # as it stands, and leniently
+    assert plan.count("addressLocality:variant") <= 2 and plan.count("jobLocationType:string") <= 2, plan
+    (got,) = raw.collect()
+    assert (got.external_id, got.title, got.locations, got.country_codes, got.apply_url, tuple(got.salary)) == (
+        "/x?y=1", "A & b", ["Leeds", "Hull, GB", "Remote", "UK"], ["GB"], "https://ex.com/x?y=1", (1.0, 2.0, "GBP", "year"))
