@@ -168,3 +168,19 @@ def test_embedded_postings_are_parsed_and_read_once(spark):
     (got,) = raw.collect()
     assert (got.external_id, got.title, got.locations, got.country_codes, got.apply_url, tuple(got.salary)) == (
         "/x?y=1", "A & b", ["Leeds", "Hull, GB", "Remote", "UK"], ["GB"], "https://ex.com/x?y=1", (1.0, 2.0, "GBP", "year"))
+
+
+def test_payloads_of_all_sources_are_built_in_compiled_methods(spark):
+    """The JVM does not compile a method of more than 8000 bytes."""
+    from checks import q_sources
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    limit = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    try:
+        plan = registry.read_boards(q_sources.all_payloads(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan()
+        made = getattr(spark.sparkContext._jvm.org.apache.spark.sql.execution.debug, "package$").__getattr__("MODULE$").codegenStringSeq(plan)
+        assert made.size() and max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", limit)
