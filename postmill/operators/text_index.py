@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..sources.tables import BucketedTable
 
 GRAM = 3
@@ -39,13 +40,21 @@ def changed_table(spark: SparkSession, path: str, buckets: int = 64) -> Bucketed
 
 def grams(text: Column) -> Column:
     """Distinct trigrams of a text, lower-cased; none for null and short ones."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    starts = F.when(F.length(low) >= GRAM, F.sequence(F.lit(1), F.length(low) - (GRAM - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(low, i, F.lit(GRAM))))
+    return F.array_distinct(_pieces(text))
+
+
+def _pieces(text: Column) -> Column:
+    """Trigrams of a text in order; it is lower-cased once, not once for each of them."""
+
+    def cut(low: Column) -> Column:
+        starts = F.when(F.length(low) >= GRAM, F.sequence(F.lit(1), F.length(low) - (GRAM - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substr(low, i, F.lit(GRAM)))
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), cut)
 
 
 def _every(texts: tuple[str, ...]) -> Column:
-    return F.array_distinct(F.flatten(F.array(*[grams(F.col(t)) for t in texts])))
+    return F.array_distinct(F.concat(*[_pieces(F.col(t)) for t in texts]))
 
 
 def _lists(each: DataFrame) -> DataFrame:
