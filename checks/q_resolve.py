@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions import names, rules, text
 from postmill.operators import register, resolve
+from postmill.session import cut_lineage
 
 from . import duck as d
 from .bindings import NOW, pick, q
@@ -222,7 +223,8 @@ def profiles_assembled(spark, sf):
 
     p = scored_pages(spark, sf).withColumn("name_key", F.concat(F.lit("e"), (F.col("page_id") - F.col("page_id") % 5).cast("string")))
     c = p.withColumn("position", F.col("page_id") % 5).withColumn("status", F.lit(200)).withColumn("claimed", F.col("page_id") % 5 == 4)
-    sites = resolve.choose_website(c)
+    # Written once: both the homes' links and the profiles are read from it, and each would score all pages anew.
+    sites = cut_lineage(resolve.choose_website(c))
     homes = sites.where("home_url is not null").join(p.select("name_key", F.col("url").alias("home_url"), "html"), ["name_key", "home_url"])
     links = pages.careers_links(homes.withColumnRenamed("home_url", "url"), ["name_key"])
     careers = resolve.choose_careers(homes, links, _landed(p.select("page_id", "url", "html")))
